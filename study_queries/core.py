@@ -194,13 +194,14 @@ def a5_nps(spark: SparkSession, path: str) -> DataFrame:
 
 @register("f1_filters", f"""
 WITH {r.EVALUATIONS_SQL}
-SELECT study_id, status, wave, CAST(count(*) AS BIGINT) AS n FROM evaluations
+SELECT study_id, status, coalesce(CAST(wave AS VARCHAR), '') AS wave,
+  CAST(count(*) AS BIGINT) AS n FROM evaluations
 WHERE (wave IN (1, 2) OR wave IS NULL) AND status IN ('F', 'O') GROUP BY ALL""")
 def f1_filters(spark: SparkSession, path: str) -> DataFrame:
     evaluation = r.evaluations(spark, path)
     chosen = {"wave": ["1", 2.0, None], "status": [" F", "O "], "nation": [], "unknown": [1]}
     return evaluation.filter(filter_condition(evaluation, chosen)).groupBy(
-        "study_id", "status", "wave"
+        "study_id", "status", code_text(F.col("wave"), column_type(evaluation, "wave")).alias("wave")
     ).agg(F.count("*").alias("n"))
 
 

@@ -1,0 +1,19 @@
+"""Broadcast only what is known to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 500_000
+
+
+def bounded_broadcast(side: DataFrame, bound: DataFrame | None = None,
+                      limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when `bound` proves that `side` has few rows.
+
+    `bound` is a frame with at least as many rows as `side` that is cheap to
+    count, such as the codebook behind an aggregate per variable.  Beyond the
+    limit the join is left to Spark, which shuffles and splits skewed keys.
+    """
+    rows = (bound if bound is not None else side).limit(limit + 1).count()
+    return F.broadcast(side) if rows <= limit else side
