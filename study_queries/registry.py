@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core", "multi")
+MODULES = ("core", "multi", "inference")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:

@@ -51,8 +51,12 @@ def erfc(x: Column) -> Column:
 
 
 def normal_two_sided(z: Column) -> Column:
-    """P(|Z| >= |z|)."""
-    return erfc(F.abs(z) / math.sqrt(2.0))
+    """P(|Z| >= |z|).
+
+    The lambda binds the argument once; inlined, the polynomials would repeat
+    the expression of z some forty times.
+    """
+    return F.transform(F.array(F.abs(z) / math.sqrt(2.0)), erfc)[0]
 
 
 _log_gamma = np.frompyfunc(math.lgamma, 1, 1)

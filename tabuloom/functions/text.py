@@ -38,6 +38,9 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 
 
 _FOLD_FROM, _FOLD_TO, _EXPANSIONS = _fold_tables()
+_EXPANSION_ARRAY = "array(" + ", ".join(
+    f"named_struct('char', '{c}', 'plain', '{p}')" for c, p in _EXPANSIONS.items()
+) + ")"
 # translate() deletes source characters that have no counterpart.
 _COMBINING = "".join(chr(p) for p in range(0x300, 0x370))
 
@@ -82,9 +85,8 @@ def code_text(col: Column, dtype: T.DataType | None = None) -> Column:
 def normalize_text(col: Column) -> Column:
     """Lower case, no accents, every other character run becomes '_' (X1)."""
     text = F.lower(col.cast("string"))
-    expanded = text
-    for char, plain in _EXPANSIONS.items():
-        expanded = F.replace(expanded, F.lit(char), F.lit(plain))
+    expanded = F.reduce(F.expr(_EXPANSION_ARRAY), text, lambda done, pair: F.replace(
+        done, pair["char"], pair["plain"]))
     text = F.when(text.rlike("[" + "".join(_EXPANSIONS) + "]"), expanded).otherwise(text)
     text = F.translate(text, _FOLD_FROM + _COMBINING, _FOLD_TO)
     text = F.regexp_replace(text, "[^a-z0-9]+", "_")
