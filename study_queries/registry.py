@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core", "multi", "inference", "canonical", "codebooks")
+MODULES = ("core", "multi", "inference", "canonical", "codebooks", "delivery")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:

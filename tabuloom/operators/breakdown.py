@@ -127,15 +127,20 @@ def respondent_dimension(
     filters: Mapping[str, Sequence[object]] | None = None,
     weight: str | None = None,
     extra: Sequence[str] = (),
+    missing_weight: str = "one",
 ) -> DataFrame:
     """Selected respondents with their weight and cells.
 
-    A missing or non-numeric weight is 1.0; so is every weight when none is chosen.
+    A missing or non-numeric weight is 1.0, or with missing_weight='exclude'
+    NULL, which leaves the respondent out of weighted sums.  Without a weight
+    every respondent has 1.0.
     """
     selected = respondents.filter(filter_condition(respondents, filters))
     value = F.lit(1.0)
     if weight and weight in respondents.columns:
-        value = F.coalesce(to_number(F.col(weight), column_type(respondents, weight)), F.lit(1.0))
+        value = to_number(F.col(weight), column_type(respondents, weight))
+        if missing_weight == "one":
+            value = F.coalesce(value, F.lit(1.0))
     cells = with_banner_cells(selected, banners, options, mode)
     return cells.select(
         STUDY, "respondent_id", *extra, value.alias("weight"), "banner_cells"

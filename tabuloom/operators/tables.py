@@ -172,3 +172,27 @@ def identity_rows(facts: DataFrame, respondents: DataFrame, banners: Sequence[st
         F.when(member, name).otherwise("").alias("banner_variable"),
         F.when(member, F.col("raw")).otherwise("").alias("banner_raw_value"),
     ).distinct()
+
+
+def split_grid_response(table: DataFrame) -> DataFrame:
+    """Entity and option of `entity | option`, at the first separator only."""
+    parts = F.split("response", r" \| ", 2)
+    return table.withColumns({
+        "entity": parts[0], "option": F.coalesce(F.try_element_at(parts, F.lit(2)), "response"),
+    })
+
+
+def canonical_projection(values: DataFrame, bases: DataFrame, slices: DataFrame,
+                         tokens: DataFrame) -> DataFrame:
+    """One row per value with its slice, base and letters (T4).
+
+    `values` carries base_id and slice_id, `tokens` (study_id, value_id or slice_id
+    with the response, letters) is joined on the columns it shares with values.
+    """
+    shared = [c for c in tokens.columns if c != "letters"]
+    return (
+        values.join(bases.drop("slice_id"), ["study_id", "base_id"], "left")
+        .join(slices, ["study_id", "slice_id"], "left")
+        .join(tokens, shared, "left")
+        .withColumn("letters", F.coalesce("letters", F.lit("")))
+    )
