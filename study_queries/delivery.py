@@ -633,3 +633,95 @@ def j7_compare(spark: SparkSession, path: str) -> DataFrame:
         "study_id", F.coalesce("status", F.lit("-")).alias("status"), "response",
         F.coalesce("left_value", F.lit(-1.0)).alias("left_value"),
         F.coalesce("right_value", F.lit(-1.0)).alias("right_value"), "classification", "reason")
+
+
+# --- remaining sources and scalar functions ---------------------------------
+
+@register("s1_load", """
+SELECT CAST(l_linenumber AS BIGINT) AS line, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(count(*) FILTER (WHERE l_quantity <> 7) AS BIGINT) AS n_values, round(avg(CASE WHEN l_quantity <> 7
+  THEN l_quantity END), 6) AS mean FROM lineitem GROUP BY ALL""")
+def s1_load(spark: SparkSession, path: str) -> DataFrame:
+    """NaN in the landed file is missing, so it stays out of counts and means."""
+    landed = r.table(spark, path, "lineitem").withColumn("l_quantity", F.when(
+        F.col("l_quantity") != 7, F.col("l_quantity")).otherwise(F.lit(float("nan"))))
+    return src.fold_nan(landed).groupBy(F.col("l_linenumber").cast("bigint").alias("line")).agg(
+        F.count("*").alias("n_rows"), F.count("l_quantity").alias("n_values"),
+        F.round(F.avg("l_quantity"), 6).alias("mean"))
+
+
+@register("s2_codebook", """
+WITH b AS (SELECT 'P' || p_partkey AS variable, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS label,
+    p_partkey FROM part WHERE p_partkey % 5 <> 4),
+o AS (SELECT 'P' || l_partkey AS variable, CASE WHEN count(DISTINCT l_linenumber) = 1 THEN CAST(min(l_linenumber)
+    AS VARCHAR) ELSE '' END AS label FROM lineitem WHERE l_quantity < 5 GROUP BY l_partkey)
+SELECT b.variable, CASE WHEN b.label = '' THEN coalesce(o.label, '') ELSE b.label END AS label
+FROM b LEFT JOIN o USING (variable) UNION ALL
+SELECT o.variable, o.label FROM o WHERE variable NOT IN (SELECT variable FROM b)""")
+def s2_codebook(spark: SparkSession, path: str) -> DataFrame:
+    """A main sheet, and one that names variables in a list cell."""
+    main = r.table(spark, path, "part").filter("p_partkey % 5 <> 4").select(
+        F.lit("s").alias("study_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+        .alias("variable"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name")).alias("label"))
+    listed = r.table(spark, path, "lineitem").filter("l_quantity < 5").select(
+        F.lit("s").alias("study_id"), F.concat(F.lit("1) P"), F.col("l_partkey").cast("string"),
+                                               F.lit(";")).alias("names"),
+        F.col("l_linenumber").cast("string").alias("label"))
+    merged = src.load_codebook([("main", main), ("list", listed)], {"list": "names"})
+    return merged.select("variable", "label")
+
+
+@register("d7_grid_long", f"""
+WITH {r.EVALUATIONS_SQL}, {r.GRID_SQL}
+SELECT study_id, 'GRID' AS question_id, entity, 'Estado ' || option AS option, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE value = '1') AS BIGINT) AS selected,
+  CAST(count(*) FILTER (WHERE valid) AS BIGINT) AS base_valid
+FROM (SELECT *, bool_or(value IS NOT NULL) OVER (PARTITION BY study_id, respondent_id, entity) AS valid FROM grid)
+GROUP BY ALL""")
+def d7_grid_long(spark: SparkSession, path: str) -> DataFrame:
+    """A wide grid file, one column per entity and option."""
+    grid = r.entity_grid(spark, path)
+    names = [(a, o) for a in "ANR" for o in "FO"]
+    wide = grid.groupBy("study_id", "respondent_id").agg(*[
+        F.max(F.when((F.col("entity") == a) & (F.col("option") == o), F.col("value")))
+        .alias(f"G_{a}_{o}") for a, o in names])
+    studies = r.table(spark, path, "region").select(F.col("r_name").alias("study_id"))
+    fixed = {"question_id": "GRID", "grid_id": "GRID", "parent_question": "", "question_type": "GRID_RM",
+             "grid_structure": "", "is_grid_rm_loop": "", "is_attached_open": "", "entity_label": "",
+             "row_text": "", "label": "", "option_code": "1"}
+    book = studies.select("study_id", F.inline(F.array(*[F.struct(
+        F.lit(f"G_{a}_{o}").alias("variable"), F.lit(a).alias("entity"),
+        F.lit(f"Estado {o}").alias("option_label")) for a, o in names]))).withColumns(
+        {c: F.lit(v) for c, v in fixed.items()})
+    labels = spark.createDataFrame(
+        [], "study_id string, variable string, code string, label string, ord int")
+    cells = s.unpivot_cells(wide, ["study_id", "respondent_id"], [f"G_{a}_{o}" for a, o in names])
+    return s.build_grid_long(cells, book, labels).groupBy(
+        "study_id", "question_id", "entity", "option").agg(
+        F.count("*").alias("n"), F.sum("selected").cast("bigint").alias("selected"),
+        F.sum("base_valid").cast("bigint").alias("base_valid"))
+
+
+@register("x2_truthy", """
+SELECT event_type AS word, event_type IN ('click', 'view') AS is_true, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""")
+def x2_truthy(spark: SparkSession, path: str) -> DataFrame:
+    from tabuloom.functions.text import truthy
+    words = {"click": " Sí ", "view": "RECOMENDADA", "error": "no", "signup": "2", "purchase": "1.0"}
+    word = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in words.items()])
+    return r.table(spark, path, "events").groupBy(
+        F.col("event_type").alias("word"), truthy(word).alias("is_true")).agg(F.count("*").alias("n"))
+
+
+@register("x8_text_parts", """
+SELECT page_id, regexp_extract(url, '([0-9]+)', 1) AS first_number,
+  list_extract(regexp_split_to_array(replace(url, '-', '_'), '_'), -1) AS suffix,
+  CASE WHEN length(trim(t)) <= 40 THEN trim(t) ELSE rtrim(substr(trim(t), 1, 39)) || '…' END AS short
+FROM (SELECT page_id, url, regexp_replace(url, '[/?=]', '_', 'g') AS t FROM pages)""")
+def x8_text_parts(spark: SparkSession, path: str) -> DataFrame:
+    from tabuloom.functions import text as x
+    flat = F.regexp_replace("url", "[/?=]", "_")
+    number = x.numeric_part(F.col("url")).cast("bigint").cast("string")
+    raw = F.regexp_extract("url", "([0-9]+)", 1)
+    return r.table(spark, path, "pages").select(
+        "page_id", F.when(number.isNull(), "").otherwise(raw).alias("first_number"),
+        x.suffix_code(F.col("url")).alias("suffix"), x.short_text(flat, 40).alias("short"))

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from tabuloom.session import prepare
+
 MODULES = ("core", "multi", "inference", "canonical", "codebooks", "delivery")
 
 QUERIES, SQL = {}, {}
+
+
+def prepared(function):
+    @wraps(function)
+    def run(spark, path):
+        return function(prepare(spark), path)
+    return run
+
+
 for _name in MODULES:
     _module = import_module(f"study_queries.{_name}")
-    QUERIES.update(_module.QUERIES)
+    QUERIES.update({key: prepared(f) for key, f in _module.QUERIES.items()})
     SQL.update(_module.SQL)

@@ -12,6 +12,9 @@ from tabuloom.constants import YES_WORDS
 # which a plain cast would accept.
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+# Starts with a letter, or is a whole number without sign or leading zero.
+PLAIN_TEXT_PATTERN = r"^(?:[A-Za-z]|(?:0|[1-9][0-9]{0,14})$)"
+
 
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
     """Characters that decompose to ASCII: one-to-one pairs and expansions."""
@@ -74,12 +77,19 @@ def code_text(col: Column, dtype: T.DataType | None = None) -> Column:
     """One text for one code: 12.0 -> '12', NULL -> '', text trimmed."""
     if isinstance(dtype, T.IntegralType):
         return F.coalesce(col.cast("string"), F.lit(""))
-    number = to_number(col, dtype)
-    whole = F.when(number == F.floor(number), number.try_cast("decimal(38,0)").cast("string"))
-    text = F.trim(col.cast("string"))
+
+    def whole(number: Column, text: Column) -> Column:
+        plain = number.try_cast("decimal(38,0)").cast("string")
+        return F.when(number == F.floor(number), F.coalesce(plain, text)).otherwise(text)
+
     if is_numeric_type(dtype):
-        text = F.when(number.isNotNull(), text)
-    return F.coalesce(whole, text, F.lit(""))
+        number = to_number(col, dtype)
+        return F.coalesce(whole(number, number.cast("string")), F.lit(""))
+    # Texts that are no numbers, and plain whole numbers, stay as they are.
+    text = F.trim(col.cast("string"))
+    return F.when(text.rlike(PLAIN_TEXT_PATTERN), text).when(
+        text.rlike(NUMBER_PATTERN), whole(text.try_cast("double"), text)
+    ).otherwise(F.coalesce(text, F.lit("")))
 
 
 def normalize_text(col: Column) -> Column:

@@ -53,14 +53,10 @@ def existing_variables(banners: str | Sequence[str] | None, columns: Sequence[st
     return [n for n in dict.fromkeys(names) if n in columns]
 
 
-def _cell(banner: Column, group: Column, position: int, key: Column) -> Column:
-    code = F.element_at(F.split(key, r" \| "), 1)
+def _cell(banner: Column, group: str, position: int) -> Column:
     return F.struct(
-        banner.alias("banner"),
-        group.alias("banner_group"),
+        banner.alias("banner"), F.lit(group).alias("banner_group"),
         F.lit(position).alias("group_pos"),
-        to_number(code).alias("code_number"),
-        F.lower(code).alias("code_text"),
     )
 
 
@@ -75,7 +71,7 @@ def with_banner_cells(
     Without a breakdown the only cell is Total.
     """
     names = existing_variables(banners, respondents.columns)
-    total = _cell(F.lit(TOTAL), F.lit(""), -1, F.lit(TOTAL))
+    total = _cell(F.lit(TOTAL), "", -1)
     if not names:
         return respondents.withColumn("banner_cells", F.array(total))
     labels = value_labels(options) if options is not None else None
@@ -97,25 +93,28 @@ def with_banner_cells(
     cells = [total]
     if normalize_mode(mode) == "separate" and len(names) > 1:
         for i, (name, text) in enumerate(zip(names, headings)):
-            banner = F.concat(F.lit(f"{name}: "), text)
-            cells.append(_cell(banner, F.lit(name), i, text))
+            cells.append(_cell(F.concat(F.lit(f"{name}: "), text), name, i))
     elif len(names) == 1:
-        cells.append(_cell(headings[0], F.lit(""), 0, headings[0]))
+        cells.append(_cell(headings[0], "", 0))
     else:
         banner = F.concat_ws(" / ", *[
             F.concat(F.lit(f"{name}: "), text) for name, text in zip(names, headings)
         ])
-        cells.append(_cell(banner, F.lit(""), 0, banner))
+        cells.append(_cell(banner, "", 0))
     return result.withColumn("banner_cells", F.array(*cells)).drop(*helpers)
 
 
-CELL_COLUMNS = ("banner", "banner_group", "group_pos", "code_number", "code_text")
+CELL_COLUMNS = ("banner", "banner_group", "group_pos")
 
 
 def explode_cells(df: DataFrame) -> DataFrame:
-    """One row per cell of the respondent."""
+    """One row per cell of the respondent.
+
+    The array is never empty.  The outer form keeps the optimizer from adding a
+    filter that would build every array a second time below the join.
+    """
     kept = [c for c in df.columns if c != "banner_cells"]
-    exploded = df.select(*kept, F.explode("banner_cells").alias("__cell"))
+    exploded = df.select(*kept, F.explode_outer("banner_cells").alias("__cell"))
     return exploded.select(*kept, *[F.col(f"__cell.{c}").alias(c) for c in CELL_COLUMNS])
 
 
@@ -158,8 +157,15 @@ def banner_order(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     Total has position 0, so the first compared column has position 1.
     """
     distinct = cells.select(*keys, *CELL_COLUMNS).distinct()
+    # The heading without its variable, up to the label.
+    group = F.col("banner_group")
+    shown = F.when(group == "", F.col("banner")).otherwise(
+        F.substring("banner", F.length(group) + 3, F.length("banner"))
+    )
+    code = F.element_at(F.split(shown, r" \| "), 1)
+    number = to_number(code)
     order = Window.partitionBy(*keys).orderBy(
-        "group_pos", F.col("code_number").isNull(), "code_number", "code_text", "banner"
+        "group_pos", number.isNull(), number, F.lower(code), "banner"
     )
     # Without a Total row the positions still start at 1.
     has_total = F.max(F.when(F.col("group_pos") == -1, 1).otherwise(0)).over(

@@ -374,21 +374,28 @@ def build_rm_bases(cells: DataFrame, codebook: DataFrame) -> DataFrame:
 
 # --- D7, D8, D12 ------------------------------------------------------------
 
+def starts_with_digit(value: Column) -> Column:
+    return F.substring(value, 1, 1).between("0", "9")
+
+
 def grid_missing(value: Column) -> Column:
-    return value.isNull() | normalize_text(value).isin("", "nan", "none", "null")
+    """Codes, which start with a digit, skip the text clean-up."""
+    blank = F.when(starts_with_digit(value), False).otherwise(
+        normalize_text(value).isin("", "nan", "none", "null")
+    )
+    return value.isNull() | blank
 
 
 def grid_selected(value: Column, code: Column) -> Column:
     """A yes-word, 1, or equal to the option code as number or text."""
-    number, code_number = to_number(value), to_number(code)
-    text = F.trim(F.coalesce(code, F.lit("")))
-    return F.coalesce(
-        normalize_text(value).isin(*SELECTED_WORDS)
-        | F.coalesce(number == 1, F.lit(False))
-        | F.coalesce(number == code_number, F.lit(False))
-        | ((text != "") & (F.trim(value) == text)),
-        F.lit(False),
-    )
+    text, trimmed = F.trim(F.coalesce(code, F.lit(""))), F.trim(value)
+    same = (trimmed == "1") | ((text != "") & (trimmed == text))
+    number = to_number(value)
+    as_number = F.coalesce(number == 1, F.lit(False)) | F.coalesce(
+        number == to_number(code), F.lit(False))
+    as_word = ~starts_with_digit(value) & normalize_text(value).isin(*SELECTED_WORDS)
+    # Cheap tests first; the others only run when those say no.
+    return F.coalesce(F.when(same, True).when(as_number, True).otherwise(as_word), F.lit(False))
 
 
 def build_grid_long(cells: DataFrame, codebook: DataFrame, labels: DataFrame) -> DataFrame:

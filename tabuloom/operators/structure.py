@@ -95,29 +95,33 @@ def denominator_ledger(records: DataFrame, duplicates: str = "error",
     Multiple response counts explicit yes/no keys; categories count respondents;
     numeric loops count (respondent, instance).
     """
-    options = _per_option(records, keys)
-    applies = F.col("n_applicable") > 0
+    # From here on a respondent has at most one row per declared option key, so
+    # one shuffle by respondent serves the two reductions that follow.
+    options = _per_option(records, keys).repartition(*keys, "respondent_id")
     decided = (F.col("n_selected") + F.col("n_not_selected")) > 0
-    people = options.groupBy(*keys, "structure_type", "respondent_id").agg(
-        F.max(applies.cast("int")).alias("applies"),
-        # A respondent has at most one entry per declared binding here.
-        F.size(F.collect_set(F.when(applies, F.col("instance")))).alias("n_instances"),
-        F.size(F.collect_set(F.when(applies, F.col("loop_id")))).alias("n_loops"),
+    counts = ("n_selected", "n_not_selected", "n_missing", "n_structural", "n_invalid")
+    person = [*keys, "structure_type", "respondent_id"]
+    instances = options.groupBy(*person, "instance").agg(
+        F.max((F.col("n_applicable") > 0).cast("int")).alias("applies"),
+        F.min(F.when(F.col("n_applicable") > 0, F.col("loop_id"))).alias("loop"),
         F.count_if(decided).alias("n_decided"),
         F.count_if(F.col("n_selected") > 0).alias("selected_keys"),
         F.count_if(F.col("n_not_selected") > 0).alias("not_selected_keys"),
-        *[F.sum(c).alias(c) for c in ("n_selected", "n_not_selected", "n_missing",
-                                      "n_structural", "n_invalid")],
+        *[F.sum(c).alias(c) for c in counts],
+    )
+    people = instances.groupBy(*person).agg(
+        F.max("applies").alias("applies"), F.sum("applies").alias("n_instances"),
+        F.coalesce(F.min("loop") != F.max("loop"), F.lit(False)).alias("repeats"),
+        *[F.sum(c).alias(c) for c in ("n_decided", "selected_keys", "not_selected_keys", *counts)],
     )
     kind = F.col("structure_type")
     multi, category = kind.isin(*RM_TYPES), kind.isin(*CATEGORY_TYPES)
     sums = people.groupBy(*keys, "structure_type").agg(
         F.sum("applies").alias("respondents"), F.sum("n_instances").alias("instances"),
-        F.sum("n_decided").alias("decided"), F.max("n_loops").alias("max_loops"),
+        F.sum("n_decided").alias("decided"), F.bool_or("repeats").alias("repeated_dependency"),
         F.sum("selected_keys").alias("selected_keys"),
         F.sum("not_selected_keys").alias("not_selected_keys"),
-        *[F.sum(c).alias(c) for c in ("n_selected", "n_not_selected", "n_missing",
-                                      "n_structural", "n_invalid")],
+        *[F.sum(c).alias(c) for c in counts],
     )
     denominator = F.when(multi, F.col("decided")).when(category, F.col("respondents")).otherwise(
         F.col("instances")
@@ -139,7 +143,7 @@ def denominator_ledger(records: DataFrame, duplicates: str = "error",
         F.col("n_invalid").alias("invalid_n"),
         F.when(denominator == 0, "VALID_ZERO_BASE").otherwise("NONZERO_BASE")
         .alias("zero_base_status"),
-        (F.col("max_loops") > 1).alias("repeated_dependency"),
+        "repeated_dependency",
     )
 
 

@@ -149,8 +149,8 @@ def cells_of(frame, rows, groups=None):
     groups = groups or {}
     return frame(
         "study_id string, question_id string, banner string, banner_group string, group_pos int, "
-        "code_number double, code_text string, response string, n int, base int, pct double",
-        [("s", "q", b, groups.get(b, ""), 0, None, b, resp, n, base, n / base)
+        "response string, n int, base int, pct double",
+        [("s", "q", b, groups.get(b, ""), 0, resp, n, base, n / base)
          for b, resp, n, base in rows])
 
 
