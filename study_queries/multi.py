@@ -137,30 +137,26 @@ RM_VARIABLES = (
 )
 
 
-def rm_codebook(spark: SparkSession, studies: DataFrame) -> DataFrame:
-    rows = [(i, v, q, f, c, label) for i, (v, q, f, c, label) in enumerate(RM_VARIABLES)]
-    book = spark.createDataFrame(
-        rows, "position int, variable string, question_id string, format_rm string, "
-              "option_code string, option_label string"
-    ).withColumns({
+def rm_codebook(studies: DataFrame) -> DataFrame:
+    names = ("variable", "question_id", "format_rm", "option_code", "option_label")
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), *[
+        F.lit(x).cast("string").alias(n) for n, x in zip(names, row)
+    ]) for i, row in enumerate(RM_VARIABLES)])
+    return studies.select("study_id", F.inline(rows)).withColumns({
         "question_type": F.lit("RM"), "calculation": F.lit("RM % Respondentes"),
         "analytic_class": F.lit("Pregunta analizable"), "in_dashboard": F.lit("si"),
         "row_axis_type": F.lit(""), "is_attached_open": F.lit(""),
         "label": F.concat(F.lit("Accion "), F.col("variable")),
     })
-    return studies.select("study_id", F.lit(1).alias("one")).distinct().join(
-        book.withColumn("one", F.lit(1)), "one"
-    ).drop("one")
 
 
-def rm_labels(spark: SparkSession, studies: DataFrame) -> DataFrame:
+def rm_labels(studies: DataFrame) -> DataFrame:
     rows = [("opt_purchase", "9", "Compra", 1), ("opt_purchase", "0", "No", 2),
             ("men_1", "error", "Ninguna", 1), ("men_2", "error", "Ninguna", 1),
             ("men_1", "view", "Ver", 2), ("men_2", "view", "Ver", 2)]
-    labels = spark.createDataFrame(rows, "variable string, code string, label string, ord int")
-    return studies.select("study_id", F.lit(1).alias("one")).distinct().join(
-        labels.withColumn("one", F.lit(1)), "one"
-    ).drop("one")
+    return studies.select("study_id", F.inline(F.array(*[F.struct(
+        F.lit(v).alias("variable"), F.lit(c).alias("code"), F.lit(t).alias("label"),
+        F.lit(i).alias("ord")) for v, c, t, i in rows])))
 
 
 def rm_mentions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -168,7 +164,7 @@ def rm_mentions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     names = [v[0] for v in RM_VARIABLES]
     cells = s.unpivot_cells(wide, ["study_id", "respondent_id"], names)
     studies = spark.createDataFrame([("arm0",), ("arm1",), ("arm2",)], "study_id string")
-    return cells, rm_codebook(spark, studies), rm_labels(spark, studies)
+    return cells, rm_codebook(studies), rm_labels(studies)
 
 
 RM_LONG_SQL = f"""{r.EVENT_DAYS_SQL}, {EVENT_WIDE_SQL},

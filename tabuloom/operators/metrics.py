@@ -89,11 +89,26 @@ def multi_response(facts: DataFrame, dimension: DataFrame, base: DataFrame | Non
         F.sum(F.col("n_rows") * F.col("weight")).alias("mentions_weighted"),
     )
     members = mentions.select(*keys, "respondent_id").distinct()
+    bases = cell_bases(members, dimension, keys)
     if base is not None:
         eligible = base.select(*keys, "respondent_id").distinct()
-        declared = eligible.select(*keys).distinct()
-        members = eligible.unionByName(members.join(declared, list(keys), "left_anti"))
-    return _rm_shares(counts, cell_bases(members, dimension, keys), keys)
+        bases = _prefer_declared(cell_bases(eligible, dimension, keys), bases, keys)
+    return _rm_shares(counts, bases, keys)
+
+
+def _prefer_declared(declared: DataFrame, answered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Declared bases where a question has any, else the bases of its mentions.
+
+    Decided on aggregated cells, so a question with very many rows is not a join key.
+    """
+    known = declared.select(*keys).distinct().withColumn("__declared", F.lit(True))
+    stated = declared.withColumnsRenamed({"base": "__base", "base_weighted": "__weighted"})
+    joined = answered.join(stated, [*keys, "banner"], "full_outer").join(known, list(keys), "left")
+    use = F.col("__declared").isNotNull()
+    return joined.select(
+        *keys, "banner", F.when(use, F.col("__base")).otherwise(F.col("base")).alias("base"),
+        F.when(use, F.col("__weighted")).otherwise(F.col("base_weighted")).alias("base_weighted"),
+    )
 
 
 def grid_multi_response(grid: DataFrame, dimension: DataFrame,

@@ -12,6 +12,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tabuloom.functions.predicates import filter_condition
+from tabuloom.functions.sizes import bounded_broadcast
 from tabuloom.functions.text import normalize_text
 from tabuloom.operators import metrics as m
 from tabuloom.operators import significance as z
@@ -73,6 +74,7 @@ def _split_units(tables: Mapping[str, DataFrame]) -> list[tuple[dict[str, DataFr
         *KEYS)
     if not person.take(1):
         return [(dict(tables), False)]
+    person = bounded_broadcast(person, questions)
     facts = [n for n in FACT_VALUES if n in tables]
     rows = {n: tables[n].join(person, list(KEYS), "left_anti") for n in facts}
     people = {n: tables[n].join(person, list(KEYS), "left_semi") for n in facts}

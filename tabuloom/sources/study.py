@@ -14,6 +14,7 @@ from typing import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tabuloom.functions.sizes import bounded_broadcast
 from tabuloom.functions.text import code_text
 from tabuloom.operators.codebook import explode_variables, merge_by_variable
 
@@ -151,9 +152,9 @@ FLAT_COLUMNS = ("study_id", "respondent_id", "question_id", "question_text", "va
 def flat_fact(tables: Mapping[str, DataFrame], banners: Sequence[str] = (),
               filters: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Four long tables as one, with breakdown columns and the first two filters."""
-    questions = tables["questions"].select(
+    questions = bounded_broadcast(tables["questions"].select(
         STUDY, "question_id", "question_text", F.col("question_type").alias("q_type"),
-        F.col("calculation").alias("q_calculation"))
+        F.col("calculation").alias("q_calculation")))
     empty, text = F.lit(""), lambda c: F.col(c).cast("string")
 
     def part(name: str, **given: Column) -> DataFrame | None:
