@@ -22,12 +22,21 @@ def cut(frame: DataFrame) -> DataFrame:
     The folder is the one `spark.checkpoint.dir` names; a temporary one is taken only where none is
     set, as in a local test.
     """
-    context = frame.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabuloom-checkpoint-"))
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabuloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def parts(spark: SparkSession) -> int:
     """Tasks of a shuffle as the session sizes them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

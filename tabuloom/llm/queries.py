@@ -4,15 +4,89 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabuloom.llm import simhash
+from tabuloom.llm import line_dedup, simhash, url_filter, warc
 from tabuloom.llm.common import table
 
+#: host, path, action
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the line windows that an earlier one holds."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say of every page."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
+    "op3_line_dedup": op3_line_dedup,
+    "op10_warc": op10_warc,
+}
 
 SQL: dict[str, str] = {}
+
+SQL["op2_url_filter"] = f"""
+WITH rules(r_host, r_path, action) AS (VALUES {", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+u AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, r_host || r_path AS rule, coalesce(action, 'allow') AS verdict
+FROM u LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC NULLS LAST, length(r_host) DESC, action DESC) = 1
+"""
+
+SQL["op3_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL),
+n AS (
+  SELECT doc_id, pos, t, count(*) OVER (PARTITION BY doc_id) AS m
+  FROM (SELECT doc_id, pos, trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g')) AS t FROM l) WHERE t <> ''),
+w AS (
+  SELECT * FROM (
+    SELECT doc_id, pos AS f, lead(pos, 2) OVER p AS z, t || chr(10) || lead(t, 1) OVER p || chr(10) || lead(t, 2) OVER p AS win
+    FROM n WHERE m >= 3 WINDOW p AS (PARTITION BY doc_id ORDER BY pos)) WHERE z IS NOT NULL
+  UNION ALL
+  SELECT doc_id, min(pos), max(pos), string_agg(t, chr(10) ORDER BY pos) FROM n WHERE m < 3 GROUP BY doc_id),
+a AS (SELECT win, min({'d': doc_id, 'f': f, 'z': z}) AS a FROM w GROUP BY win HAVING count(*) > 1),
+s AS (
+  SELECT doc_id, CASE WHEN doc_id = a.d THEN greatest(f, a.z + 1) ELSE f END AS f, z
+  FROM w JOIN a USING (win) WHERE NOT (doc_id = a.d AND f = a.f)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(f, z + 1)) AS pos FROM s WHERE f <= z),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS text
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+SELECT d.doc_id, k.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+SQL["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS origin FROM pages)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > origin THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > origin THEN origin END AS refers_to
+FROM p
+"""
