@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabuloom.llm import line_dedup, simhash, url_filter, warc
+from tabuloom.llm import bpe, language_model, line_dedup, simhash, url_filter, warc
 from tabuloom.llm.common import table
 
 #: host, path, action
@@ -30,6 +32,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def remainder(key: str, n: int) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a bigram model of nine tenths of them."""
+    return language_model.score(table(spark, sf_dir, "documents"), held_out=remainder("doc_id", 10) == 0)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Digests of the ids of every document and of the text they decode to."""
+    spec = bpe.load(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), spec)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives say of every page."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -39,6 +57,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_model": op4_language_model,
+    "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
 
