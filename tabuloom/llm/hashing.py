@@ -21,6 +21,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for at least `length` places."""
+    n = LEAST
+    while n < length:
+        n *= 2
+    return _powers(n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread all bits of integers of 64 bits over each other."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -34,10 +42,7 @@ def words(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside[1:-1] = is_word[data]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    n = LEAST
-    while n < len(data):
-        n *= 2
-    up, down = _powers(n)
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
     h = (sums[end] - sums[start]) * down[start]

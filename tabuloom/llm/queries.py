@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabuloom.llm import bpe, language_model, line_dedup, metric_join, simhash, url_filter, warc
+from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, metric_join, simhash, url_filter, warc
 from tabuloom.llm.common import table
 
 #: host, path, action
@@ -46,6 +46,11 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in each document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
     spec = bpe.load(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_language_model": op4_language_model,
     "op6_embeddings": op6_embeddings,
+    "op7_decontamination": op7_decontamination,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
