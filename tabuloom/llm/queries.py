@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, metric_join, simhash, url_filter, warc
+from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, metric_join, quality, simhash, url_filter, warc
 from tabuloom.llm.common import table
 
 #: host, path, action
@@ -51,6 +51,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of two thirds of the keys."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learned=remainder("doc_id", 3) != 1)
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
     spec = bpe.load(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
@@ -70,6 +78,7 @@ QUERIES = {
     "op4_language_model": op4_language_model,
     "op6_embeddings": op6_embeddings,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
