@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, metric_join, quality, simhash, url_filter, warc
+from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, metric_join, quality, quotes, simhash, url_filter, warc
 from tabuloom.llm.common import table
 
 #: host, path, action
@@ -41,6 +41,11 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"), held_out=remainder("doc_id", 10) == 0)
 
 
+def op5_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, under the message that it replies to."""
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -76,6 +81,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_model": op4_language_model,
+    "op5_quotations": op5_quotations,
     "op6_embeddings": op6_embeddings,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
@@ -122,6 +128,39 @@ SELECT d.doc_id, k.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+SQL["op5_quotations"] = r"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id AS c, turn AS t, role AS r, unnest(a) AS x, unnest(range(len(a))) AS pos
+  FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS a FROM conversations)),
+marked AS (SELECT *, regexp_extract(x, '^(?:[ \t]*>)+[ \t]?') AS marks FROM lines),
+l AS (
+  SELECT c, t, r, pos, length(replace(replace(marks, ' ', ''), chr(9), '')) AS level, substr(x, length(marks) + 1) AS line,
+         lower(trim(regexp_replace(substr(x, length(marks) + 1), '[\x09-\x0D\x20]+', ' ', 'g'))) AS passage FROM marked),
+inside AS (SELECT passage, c, min(t) AS f FROM l WHERE level = 0 AND passage <> '' GROUP BY ALL),
+everywhere AS (SELECT passage, min({'c': c, 't': f}) AS o FROM inside GROUP BY passage),
+q AS (SELECT c, t, level, passage, count(*) AS n FROM l WHERE level > 0 AND passage <> '' GROUP BY ALL),
+found AS (
+  SELECT q.*, CASE WHEN f < q.t THEN {'c': q.c, 't': f} WHEN o < {'c': q.c, 't': q.t} THEN o END AS dst
+  FROM q LEFT JOIN inside i ON i.passage = q.passage AND i.c = q.c LEFT JOIN everywhere e ON e.passage = q.passage),
+counted AS (SELECT c, t, level, dst, sum(n) AS n FROM found GROUP BY ALL),
+replies AS (
+  SELECT c, t, sum(n)::BIGINT AS quoted, coalesce(sum(n) FILTER (dst IS NOT NULL), 0)::BIGINT AS linked,
+         struct_extract(max({'l': -level, 'n': n, 'd': dst}) FILTER (dst IS NOT NULL), 'd') AS dst FROM counted GROUP BY c, t),
+chain AS (
+  SELECT c, t, dst.c AS rc, dst.t AS rt, 1 AS depth FROM replies WHERE dst IS NOT NULL
+  UNION ALL
+  SELECT a.c, a.t, b.dst.c, b.dst.t, depth + 1 FROM chain a JOIN replies b ON b.c = a.rc AND b.t = a.rt WHERE b.dst IS NOT NULL),
+ends AS (SELECT * FROM chain QUALIFY row_number() OVER (PARTITION BY c, t ORDER BY depth DESC) = 1),
+own AS (
+  SELECT c, t, coalesce(any_value(r), '') AS role,
+         regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), ''), '\A[\x09-\x0D\x20]+|[\x09-\x0D\x20]+\z', '', 'g') AS text
+  FROM l GROUP BY c, t)
+SELECT o.c AS conv_id, o.t AS turn, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) AS formatted,
+       coalesce(quoted, 0) AS quoted, coalesce(linked, 0) AS linked, dst.c AS reply_conv, dst.t AS reply_turn,
+       coalesce(rc, o.c) AS thread_conv, coalesce(rt, o.t) AS thread_turn, coalesce(depth, 0) AS depth
+FROM own o LEFT JOIN replies p ON p.c = o.c AND p.t = o.t LEFT JOIN ends e ON e.c = o.c AND e.t = o.t
+"""
+
 SQL["op10_warc"] = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest,
