@@ -118,7 +118,7 @@ def normal_words(text: str) -> np.ndarray:
 
 
 def prepared(items: DataFrame, key: str, text: str, walk: Walks) -> DataFrame:
-    """(item, n, words, runs, keys) per item that has words."""
+    """(item, passage, n, words, runs, keys) per item that has words; passage is a hash of the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -128,13 +128,13 @@ def prepared(items: DataFrame, key: str, text: str, walk: Walks) -> DataFrame:
                     n = np.array([len(words)])
                     found = runs(words, int(run_length(n)[0]))
                     keys = walk.keys(words, np.array([0]), n, n)[0]
-                    rows.append((name, len(words), words.tobytes(), np.unique(found).view(np.int64).tolist(), np.unique(keys).view(np.int64).tolist()))
-            columns = list(zip(*rows)) or [(), (), (), (), ()]
-            kinds = [batch.schema.types[0], pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item", "n", "words", "runs", "keys"])
+                    rows.append((name, xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63), len(words), words.tobytes(), np.unique(found).view(np.int64).tolist(), np.unique(keys).view(np.int64).tolist()))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [batch.schema.types[0], pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item", "passage", "n", "words", "runs", "keys"])
 
     kind = items.schema[key].dataType.simpleString()
-    return items.select(F.col(key).alias("item"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"item {kind}, n int, words binary, runs array<long>, keys array<long>")
+    return items.select(F.col(key).alias("item"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"item {kind}, passage long, n int, words binary, runs array<long>, keys array<long>")
 
 
 def _probes(hashed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,10 +216,7 @@ class Finder:
     @staticmethod
     def _contents(words: np.ndarray, start: np.ndarray, limit: np.ndarray, n: np.ndarray) -> np.ndarray:
         """A hash of the words of each window."""
-        up, down = hashing.powers(len(words) + 1)
-        sums = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * up[:len(words)], out=sums[1:])
-        return hashing.pairs((sums[start + limit] - sums[start]) * down[start], n.astype(np.uint64))
+        return hashing.pairs(hashing.spans(words, start, start + limit), n.astype(np.uint64))
 
 
 def edit_distance(item: list[int], region: list[int]) -> int:
@@ -242,11 +239,11 @@ def edit_distance(item: list[int], region: list[int]) -> int:
     return best
 
 
-def _pieces(text: bytes, overlap: int) -> Iterator[bytes]:
+def _pieces(text: bytes, overlap: int, block: int) -> Iterator[bytes]:
     """A very long text in pieces that overlap by more than an item."""
     start = 0
     while True:
-        stop = start + BLOCK_BYTES + overlap
+        stop = start + block + overlap
         while stop < len(text) and IS_WORD[text[stop]]:
             stop += 1
         yield text[start:stop]
@@ -261,10 +258,10 @@ def _row(docs: DataFrame, key: str, text: str):
     return F.xxhash64(F.col(key), F.col(text))
 
 
-def found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK_BYTES) -> DataFrame:
     """(k, row, item, distance, n_words) for every item found in a row of `docs`."""
     walk = Walks(walks(recall))
-    kind, item_kind = docs.schema[key].dataType, items.schema[item_key].dataType.simpleString()
+    kind = docs.schema[key].dataType
     listed = cut(prepared(items, item_key, item_text, walk))
     bounds = listed.agg(F.collect_set("n"), F.max(F.octet_length("words"))).first()
     longest = items.agg(F.max(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0
@@ -291,8 +288,8 @@ def found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
         for batch in batches:
             for name, row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 whole = (value.as_py() or "").lower().encode()
-                for piece in _pieces(whole, overlap) if len(whole) > BLOCK_BYTES + overlap else (whole,):
-                    if size + len(piece) > BLOCK_BYTES and held:
+                for piece in _pieces(whole, overlap, block) if len(whole) > block + overlap else (whole,):
+                    if size + len(piece) > block and held:
                         yield done()
                         held, size = [], 0
                     held.append((name, row, piece))
@@ -303,9 +300,9 @@ def found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
     rows = docs.select(F.col(key).alias("k"), _row(docs, key, text).alias("row"), F.col(text).cast("string").alias("t"))
     windows = cut(rows.mapInArrow(run, f"k {kind.simpleString()}, row long, region long, keys array<long>, words binary"))
     regions = windows.groupBy("region").agg(F.first("words").alias("words"))
-    items_of = listed.select("item", F.explode("keys").alias("key"))
-    pairs = windows.select("region", F.explode("keys").alias("key")).distinct().join(items_of, "key").select("region", "item").distinct()
-    pairs = pairs.join(regions, "region").join(listed.select("item", "n", F.col("words").alias("item_words")), "item")
+    passages = listed.groupBy("passage").agg(F.first("n").alias("n"), F.first("words").alias("item_words"), F.first("keys").alias("keys"))
+    pairs = windows.select("region", F.explode("keys").alias("key")).distinct().join(passages.select("passage", F.explode("keys").alias("key")), "key").select("region", "passage").distinct()
+    pairs = pairs.join(regions, "region").join(passages.drop("keys"), "passage")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,14 +311,14 @@ def found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
                 edit_distance(np.frombuffer(i, dtype=np.uint64).tolist(), np.frombuffer(r, dtype=np.uint64).tolist())
                 for i, r in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())], dtype=np.int32)
             good = pa.array(distance <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(distance)], ["region", "item", "n", "distance"]).filter(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(distance)], ["region", "passage", "n", "distance"]).filter(good)
 
-    sure = pairs.select("region", "item", "n", "item_words", "words").mapInArrow(verify, f"region long, item {item_kind}, n int, distance int")
-    hits = windows.select("k", "row", "region").join(sure, "region")
-    return hits.groupBy("k", "row", "item").agg(F.min("distance").alias("distance"), F.first("n").alias("n_words"))
+    sure = pairs.select("region", "passage", "n", "item_words", "words").mapInArrow(verify, "region long, passage long, n int, distance int")
+    hits = windows.select("k", "row", "region").join(sure, "region").groupBy("k", "row", "passage").agg(F.min("distance").alias("distance"), F.first("n").alias("n_words"))
+    return hits.join(listed.select("passage", "item").distinct(), "passage").drop("passage")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK_BYTES) -> DataFrame:
     """(key, item key, distance, n_words): the items found in `docs`, a row for each document and item.
 
     distance is the least word edit distance to a passage of the document, at most (1 - similarity) of
@@ -329,13 +326,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     items of fewer than five words must occur unchanged. Repeated items are found each; repeated rows
     give one row. Empty tables give an empty one; other columns are not read.
     """
-    hits = found(docs, items, key, text, item_key, item_text, similarity, recall)
+    hits = found(docs, items, key, text, item_key, item_text, similarity, recall, block)
     rows = hits.groupBy("k", "item").agg(F.min("distance").alias("distance"), F.first("n_words").alias("n_words"))
     return rows.select(F.col("k").alias(key), F.col("item").alias(item_key), "distance", "n_words")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` in which no item was found, with all their columns."""
-    hits = found(docs, items, key, text, item_key, item_text, similarity, recall).select(F.col("k").alias("_k"), F.col("row").alias("_row")).distinct()
+    hits = found(docs, items, key, text, item_key, item_text, similarity, recall, block).select(F.col("k").alias("_k"), F.col("row").alias("_row")).distinct()
     rows = docs.withColumn("_own", _row(docs, key, text))
     return rows.join(hits, (F.col("_own") == F.col("_row")) & F.col(key).eqNullSafe(F.col("_k")), "left_anti").drop("_own")

@@ -6,27 +6,35 @@ from functools import lru_cache
 
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 LEAST = 1 << 20
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers below n, modulo 2^64."""
+@lru_cache(maxsize=3)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base and its inverse to the powers below n, modulo 2^64."""
     both = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        steps = np.full(n, base, dtype=np.uint64)
+    for value in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(n, value, dtype=np.uint64)
         steps[0] = 1
         both.append(np.cumprod(steps, dtype=np.uint64))
     return both[0], both[1]
 
 
-def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(length: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Powers for at least `length` places."""
     n = LEAST
     while n < length:
         n *= 2
-    return _powers(n)
+    return _powers(n, base)
+
+
+def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A hash of the values of each span."""
+    up, down = powers(len(values) + 1, base)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:len(values)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,11 +50,7 @@ def words(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside[1:-1] = is_word[data]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64)), start, end
+    return spans(data, start, end), start, end
 
 
 def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
