@@ -310,7 +310,7 @@ SELECT study_id, slice_id, loop_id, CAST(count(*) AS BIGINT) AS denominator,
 FROM loops GROUP BY ALL""")
 def a18_loop_mean(spark: SparkSession, path: str) -> DataFrame:
     records = loop_records(spark, path).withColumn("response_state", F.lit("answered"))
-    means = st.loop_means(records, ["study_id", "slice_id"], weighted=True, anchor=25.0)
+    means = st.loop_means(records, ["study_id", "slice_id"], weighted=True)
     return means.select("study_id", "slice_id", "loop_id", big("denominator"), r6("value"),
                         r6("sd"))
 

@@ -173,6 +173,20 @@ def a4_scale(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@register("a4_large_values", f"""
+WITH {r.EVALUATIONS_SQL}, {r.LINES_SQL}, {SCALE_CELLS}
+SELECT study_id, question_id, banner, round(avg(value + 1e9), 4) AS mean,
+  round(stddev_samp(value + 1e9), 4) AS sd
+FROM cells GROUP BY ALL""")
+def a4_large_values(spark: SparkSession, path: str) -> DataFrame:
+    """The same scales a billion higher: the spread stays."""
+    dimension = respondent_dimension(r.evaluations(spark, path), "status", weight="factor")
+    facts = scale_facts(spark, path).withColumn("value", F.col("value") + 1e9)
+    return m.scale_summary(m.cell_moments(facts, dimension)).select(
+        "study_id", "question_id", "banner", F.round("mean", 4).alias("mean"),
+        F.round("sd", 4).alias("sd"))
+
+
 @register("a5_nps", f"""
 WITH {r.EVALUATIONS_SQL}, {r.LINES_SQL}, {SCALE_CELLS},
 s AS (SELECT study_id, question_id, banner, count(DISTINCT respondent_id) AS n,

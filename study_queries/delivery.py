@@ -16,6 +16,7 @@ from tabuloom.operators import significance as z
 from tabuloom.operators import tables as t
 from tabuloom.operators.breakdown import respondent_dimension
 from tabuloom.plans.tabulate import Request, report_cells, tabulate
+from tabuloom.session import shared_folder
 from tabuloom.sources import study as src
 
 QUERIES, SQL = {}, {}
@@ -462,8 +463,7 @@ WITH {r.EVALUATIONS_SQL}, {r.PRIORITY_SQL}
 SELECT study_id, response, CAST(count(*) AS BIGINT) AS n FROM priority GROUP BY ALL""")
 def s3_stored_question(spark: SparkSession, path: str) -> DataFrame:
     """Write a study, then read one question back from its partition."""
-    from tabuloom.session import checkpoint_dir
-    target = f"{checkpoint_dir(spark)}/study-{id(spark)}-{abs(hash(path))}"
+    target = shared_folder(spark, "study")
     src.write_study(small_study(spark, path), target)
     ok, missing, message = src.validate_study(spark, target)
     if not ok:
@@ -480,21 +480,31 @@ def s8_export_rows(spark: SparkSession, path: str) -> DataFrame:
     evaluation = r.evaluations(spark, path)
     cells = m.frequency(r.priority_facts(evaluation), respondent_dimension(evaluation, None))
     rows = cells.select("study_id", "response", big("n"))
-    return src.released_result(rows, False, "REVIEW_REQUIRED", official=False)
+    state = spark.createDataFrame([("REVIEW_REQUIRED", False)],
+                                  "qa_release_status string, releasable boolean")
+    target = shared_folder(spark, "export")
+    src.export_result(rows, state, target, official=False)
+    return spark.read.csv(target, header=True, schema="export_path string, release_releasable boolean, "
+                          "qa_release_status string, study_id string, response string, n bigint")
 
 
 @register("s9_canonical_order", f"""
 WITH {r.EVALUATIONS_SQL}, c AS (SELECT study_id, status, nullif(left(o_orderpriority, 1), '5') AS k, count(*) AS n
   FROM evaluations GROUP BY ALL)
-SELECT study_id, status, CAST(coalesce(k, '-1') AS BIGINT) AS semantic_order, CAST(n AS BIGINT) AS n FROM c""")
+SELECT study_id, status, CAST(coalesce(k, '-1') AS BIGINT) AS semantic_order, CAST(n AS BIGINT) AS n,
+  CAST(row_number() OVER (ORDER BY CAST(k AS BIGINT) NULLS LAST, '{{"n":' || n || CASE WHEN k IS NULL THEN ''
+    ELSE ',"semantic_order":' || k END || ',"status":"' || status || '","study_id":"' || study_id || '"}}') AS BIGINT) AS position
+FROM c""")
 def s9_canonical_order(spark: SparkSession, path: str) -> DataFrame:
     code = F.split("o_orderpriority", "-", 2)[0]
     values = r.evaluations(spark, path).groupBy(
         "study_id", "status", F.when(code != "5", code.cast("bigint")).alias("semantic_order")).agg(
         F.count("*").alias("n"))
-    return src.canonical_order(values).select(
+    target = shared_folder(spark, "canonical")
+    src.write_canonical({name: values for name in src.CANONICAL_TABLES}, target)
+    return spark.read.parquet(f"{target}/values").select(
         "study_id", "status", F.coalesce("semantic_order", F.lit(-1).cast("bigint"))
-        .alias("semantic_order"), "n")
+        .alias("semantic_order"), "n", "position")
 
 
 # --- quality ----------------------------------------------------------------
@@ -645,7 +655,12 @@ def s1_load(spark: SparkSession, path: str) -> DataFrame:
     """NaN in the landed file is missing, so it stays out of counts and means."""
     landed = r.table(spark, path, "lineitem").withColumn("l_quantity", F.when(
         F.col("l_quantity") != 7, F.col("l_quantity")).otherwise(F.lit(float("nan"))))
-    return src.fold_nan(landed).groupBy(F.col("l_linenumber").cast("bigint").alias("line")).agg(
+    target = shared_folder(spark, "landed")
+    labels = r.table(spark, path, "part").select("p_partkey", "p_name")
+    for name, frame in (("answers", landed), ("variable_labels", labels),
+                        ("value_labels", labels), ("missing_rules", labels.limit(0))):
+        frame.write.parquet(f"{target}/{name}")
+    return src.load_study(spark, target)["answers"].groupBy(F.col("l_linenumber").cast("bigint").alias("line")).agg(
         F.count("*").alias("n_rows"), F.count("l_quantity").alias("n_values"),
         F.round(F.avg("l_quantity"), 6).alias("mean"))
 

@@ -144,13 +144,47 @@ def z2_welch_stat(spark: SparkSession, path: str) -> DataFrame:
                         r6("t"), F.round("df", 4).alias("df"))
 
 
-@register("z2_welch_letters")
+def t_tail_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t by Simpson's rule on its density, which is even in the angle."""
+    start, steps = f"atan(abs({t}) / sqrt({df}))", 4000
+    # Beyond 14 standard deviations there is nothing left to add.
+    step = f"(least(pi() / 2 - {start}, 14 / sqrt({df})) / {steps})"
+    return f"""(2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {step} / 3 * list_sum(
+    list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4
+    ELSE 2 END) * pow(greatest(cos({start} + i * {step}), 0), {df} - 1))))"""
+
+
+WELCH_P_SQL = f"""{WELCH_SQL},
+w AS (SELECT study_id, question_id, banner_l, banner_r, difference, difference / sqrt(va + vb) AS t,
+        (va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1)) AS df FROM t),
+p AS (SELECT *, {t_tail_sql("t", "df")} AS p FROM w)"""
+
+
+@register("z2_welch_letters", f"""
+WITH {WELCH_P_SQL}
+SELECT study_id, question_id, banner_l, banner_r, round(t, 6) AS t, round(p, 9) AS p_value, p < 0.1 AS significant
+FROM p""")
 def z2_welch_letters(spark: SparkSession, path: str) -> DataFrame:
     pairs = z.welch_pairs(status_moments(spark, path), confidence=0.9)
     return pairs.select("study_id", "question_id", "banner_l", "banner_r", r6("t"),
                         F.round("p_value", 9).alias("p_value"), "significant")
 
 
+@register("z2_mean_letters", f"""
+WITH {WELCH_P_SQL},
+ordered AS (SELECT DISTINCT study_id, question_id, banner FROM s),
+pos AS (SELECT *, row_number() OVER (PARTITION BY study_id, question_id ORDER BY lower(banner)) AS pos FROM ordered),
+higher AS (SELECT study_id, question_id, CASE WHEN difference > 0 THEN banner_l ELSE banner_r END AS banner,
+             CASE WHEN difference > 0 THEN banner_r ELSE banner_l END AS other FROM p WHERE p < 0.5 AND difference <> 0)
+SELECT h.study_id, h.question_id, h.banner, string_agg(chr(CAST(64 + pos AS INTEGER)), '' ORDER BY pos) AS letters
+FROM higher h JOIN pos ON pos.study_id = h.study_id AND pos.question_id = h.question_id AND pos.banner = h.other
+GROUP BY ALL""")
+def z2_mean_letters(spark: SparkSession, path: str) -> DataFrame:
+    """Letters of the means, at a low confidence so that there are some."""
+    letters = z.mean_letters(status_moments(spark, path), confidence=0.5)
+    return letters.select("study_id", "question_id", "banner", "letters")
+
+
 @register("z3_box_letters", f"""
 WITH {r.EVALUATIONS_SQL}, {r.LINES_SQL}, {SCALE_CELLS},
 k AS (SELECT study_id || question_id AS study_id, 'Top2Box' AS response, banner,
@@ -450,7 +484,22 @@ def z6_paired_t_stat(spark: SparkSession, path: str) -> DataFrame:
                         r6("mean_a"), r6("mean_b"), r6("sd_difference"), r6("t"))
 
 
-@register("z6_paired_t")
+@register("z6_paired_t", f"""
+WITH RECURSIVE {r.EVENT_DAYS_SQL}, {PAIRED_SQL},
+g AS (SELECT study_id, count(a + b) AS n, avg(a - b) AS d, stddev_samp(a - b) / sqrt(count(a - b)) AS se
+      FROM pairs GROUP BY ALL),
+-- The quantile of t at 0.95 confidence: halve an interval until it is narrow enough.
+h AS (SELECT study_id, CAST(n - 1 AS DOUBLE) AS df, 0.0::DOUBLE AS low, 64.0::DOUBLE AS high, 0 AS i FROM g
+      UNION ALL
+      SELECT study_id, df, CASE WHEN tail > 0.05 THEN mid ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE mid END, i + 1
+      FROM (SELECT *, (low + high) / 2 AS mid, {t_tail_sql("((low + high) / 2)", "df")} AS tail FROM h WHERE i < 45)),
+k AS (SELECT g.*, (low + high) / 2 AS q FROM g JOIN h USING (study_id) WHERE i = 45),
+p AS (SELECT *, {t_tail_sql("(d / se)", "CAST(n - 1 AS DOUBLE)")} AS p FROM k)
+SELECT study_id, CAST(n AS BIGINT) AS pairs, round(d, 6) AS difference,
+  CASE WHEN n >= 30 THEN round(d - q * se, 6) END AS ci_low, CASE WHEN n >= 30 THEN round(d + q * se, 6) END AS ci_high,
+  CASE WHEN n >= 30 THEN round(p, 9) END AS p_value,
+  CASE WHEN n < 30 THEN 'Base insuficiente' WHEN p < 1 - 0.95 THEN 'Diferencia significativa'
+    ELSE 'Sin diferencia significativa' END AS result FROM p""")
 def z6_paired_t(spark: SparkSession, path: str) -> DataFrame:
     stats = p.paired_means(event_pairs(spark, path), duplicates="person_mean")
     return stats.select("study_id", big("pairs"), r6("difference"), r6("ci_low"), r6("ci_high"),

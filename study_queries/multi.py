@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from study_queries import roles as r
 from study_queries.core import big, r6
+from study_queries.inference import letters_sql
 from tabuloom.operators import metrics as m
 from tabuloom.operators import reshape as s
 from tabuloom.operators.breakdown import respondent_dimension
 from tabuloom.operators.tables import grid_rank
+from tabuloom.plans.tabulate import Request, tabulate
 
 QUERIES, SQL = {}, {}
 
@@ -89,6 +91,40 @@ def a2_multi_base(spark: SparkSession, path: str) -> DataFrame:
     return rm_output(m.multi_response(chosen, dimension, base))
 
 
+@register("tabulate_mention_letters", f"""
+WITH {r.EVENT_RESPONDENTS_SQL},
+facts AS (SELECT study_id, respondent_id, response FROM event_days),
+base AS (SELECT DISTINCT study_id, respondent_id FROM event_days),
+{WEEK_CELLS},
+k AS (SELECT study_id, banner, response, mentions AS x, sum(mentions) OVER (PARTITION BY study_id, banner) AS n FROM c),
+{letters_sql("k", "x", "n")}
+SELECT study_id, banner, response, coalesce(letters, '') AS letters
+FROM k LEFT JOIN marks USING (study_id, banner, response) WHERE banner <> 'Total'""")
+def tabulate_mention_letters(spark: SparkSession, path: str) -> DataFrame:
+    """Letters on shares of mentions; each user day is a person here."""
+    people = r.event_respondents(spark, path).withColumn("person_id", F.col("respondent_id"))
+    tables = {"respondents": people, "multi_responses": r.event_days(spark, path)}
+    report = tabulate(tables, Request(["week"], significance=True, tests=("pct_mentions",)))
+    return report.letters.select("study_id", "banner", "response", "letters")
+
+
+@register("tabulate_order", f"""
+WITH {r.EVENT_RESPONDENTS_SQL},
+n AS (SELECT study_id, 'ACTIONS' AS question_id, response, count(*) AS total FROM event_days GROUP BY ALL UNION ALL
+      SELECT study_id, 'WEEK', 'week ' || week, count(*) FROM event_respondents GROUP BY ALL)
+SELECT study_id, question_id, response, CAST(row_number() OVER (PARTITION BY study_id, question_id
+  ORDER BY total DESC, lower(response), response) AS BIGINT) AS pos FROM n""")
+def tabulate_order(spark: SparkSession, path: str) -> DataFrame:
+    """One order for single and multiple responses."""
+    people = r.event_respondents(spark, path)
+    single = people.select("study_id", "respondent_id", F.lit("WEEK").alias("question_id"),
+                           F.concat(F.lit("week "), F.col("week").cast("string")).alias("response"))
+    tables = {"respondents": people, "responses": single, "multi_responses": r.event_days(spark, path)}
+    report = tabulate(tables, Request(response_order="frequency"))
+    return report.order.select("study_id", "question_id", "response",
+                               F.col("response_pos").cast("bigint").alias("pos"))
+
+
 @register("a24_mean_mentions", f"""
 WITH {r.EVENT_RESPONDENTS_SQL},
 facts AS (SELECT study_id, respondent_id, response FROM event_days),

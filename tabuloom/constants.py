@@ -38,6 +38,32 @@ INVALID_TEXTS = ("", "nan", "none", "null", "na", "n/a")
 # Texts that count as an empty codebook cell.
 EMPTY_CELLS = ("", "nan", "none")
 
-MAX_BANNER_CATEGORIES = 50
+# Words of a variable's name or label that mark a weight.
+WEIGHT_WORDS = ("pond", "ponder", "peso", "weight", "wgt", "factor")
+
+# Words that mark an identifier of a case.
+ID_WORDS = ("id", "folio", "case", "record", "respondent", "respondiente", "entrevista")
+
+# Words that mark a control variable.
+CONTROL_WORDS = (
+    "sys", "system", "rotation", "rotacion", "rotación", "cell", "celda", "key", "clave",
+    "product", "producto", "lot", "lote", "classification", "clasificacion", "clasificación",
+    "quota", "cuota", "sample", "muestra", "usuario",
+)
+
+# Parts of a name, in capitals, that make a variable a weight.
+WEIGHT_NAME_PARTS = ("POND", "PONDERADOR", "WEIGHT", "FACTOR_EXPANSION", "PESO")
+
+# Parts of a class, in normal form, that make a variable a weight.
+WEIGHT_CLASS_PARTS = ("ponderador", "peso", "weight")
+
+# Fixed value: the form of a variable name; dots are legal inside it.
+VARIABLE_PATTERN = r"[A-Za-z@#$][A-Za-z0-9_@#$]*(?:\.[A-Za-z0-9_@#$]+)*"
+
+# Fixed value: the form of one `code: count` entry of a base distribution.
+COUNT_ENTRY = r"(-?[0-9]+(?:\.[0-9]+)?)\s*:\s*([0-9,]+)"
+
+# Categories up to which a variable is offered as a filter.
+MAX_FILTER_CATEGORIES = 50
 MIN_CANONICAL_BASE = 30
 MIN_EXPECTED_COUNT = 5

@@ -7,6 +7,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabuloom.functions.checks import guarded
 from tabuloom.constants import OUT_OF_BANDS
 from tabuloom.operators.metrics import ratio
 
@@ -69,11 +70,10 @@ def add_derived(tables: Mapping[str, DataFrame], value: Column, source: str, nam
         raise ValueError("a derived variable needs an identifier as its name")
     variables = tables["variables"]
     taken = (F.col("variable") == name) & (F.coalesce("analytic_class", F.lit("")) != "Derivada")
-    if variables.filter(taken).take(1):
-        raise ValueError(f"{name} exists and is not derived")
     ordered = check_bands(bands)
     respondents = tables["respondents"].withColumn(name, apply_bands(value, ordered))
-    others = variables.filter(F.col("variable") != name)
+    others = guarded(variables.filter(F.col("variable") != name), variables.filter(taken),
+                     f"{name} exists and is not derived")
     counts = respondents.groupBy("study_id").agg(
         F.count(name).alias("n_valid"), (F.count("*") - F.count(name)).alias("n_missing"),
         F.count_distinct(name).alias("n_distinct"))

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabuloom.constants import NO_DATA, TOTAL
 from tabuloom.functions.predicates import filter_condition
-from tabuloom.functions.sizes import bounded_broadcast
 from tabuloom.functions.text import code_text, column_type, to_number
 
 STUDY = "study_id"
@@ -87,8 +86,6 @@ def with_banner_cells(
             side = labels.filter(F.col("variable") == name).select(
                 STUDY, F.col("code").alias(code), F.col("label").alias(label)
             )
-            # A category is a hot join key, so the labels are broadcast when few.
-            side = bounded_broadcast(side, options.filter(F.col("variable") == name))
             result = result.join(side, [STUDY, code], "left")
             helpers.append(label)
             text = F.coalesce(F.col(label), F.lit(""))

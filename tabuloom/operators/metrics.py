@@ -130,20 +130,14 @@ def grid_multi_response(grid: DataFrame, dimension: DataFrame,
     return _rm_shares(counts, cell_bases(members, dimension, keys), keys)
 
 
-def respondent_moments(scale: DataFrame, keys: Sequence[str] = KEYS,
-                       anchor: float = 0.0) -> DataFrame:
-    """Sums of one respondent's scale rows; all of them add up across cells.
-
-    Squares are taken around `anchor`, which keeps the variance accurate when
-    values lie far from 0.
-    """
-    distance = F.col("value") - anchor
+def respondent_moments(scale: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One respondent's scale rows: sums, mean and squared deviations from it."""
     nps = F.col("nps_group")
     return scale.groupBy(*keys, "respondent_id").agg(
         F.count("value").alias("n_rows"),
         F.sum("value").alias("s1"),
-        F.sum(distance).alias("d1"),
-        F.sum(distance * distance).alias("d2"),
+        F.avg("value").alias("mean"),
+        F.coalesce(F.var_pop("value") * F.count("value"), F.lit(0.0)).alias("m2"),
         F.sum("top2box").alias("top"), F.count("top2box").alias("top_n"),
         F.sum("bottombox").alias("low"), F.count("bottombox").alias("low_n"),
         F.count_if(nps == PROMOTER).alias("promoter_n"),
@@ -152,26 +146,69 @@ def respondent_moments(scale: DataFrame, keys: Sequence[str] = KEYS,
     )
 
 
-def variance(n: Column, d1: Column, d2: Column) -> Column:
-    """Sample variance from shifted sums; NULL below two rows."""
-    spread = F.greatest(d2 - d1 * d1 / F.when(n > 0, n), F.lit(0.0))
-    return F.when(n > 1, spread / F.when(n > 1, n - 1))
+def variance(n: Column, m2: Column) -> Column:
+    """Sample variance from squared deviations; NULL below two rows."""
+    return F.when(n > 1, m2 / F.when(n > 1, n - 1))
+
+
+def merged_m2(groups: Column) -> Column:
+    """Squared deviations of several groups (n, mean, m2) taken together."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        step = b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"), (a["mean"] + step * b["n"] / n).alias("mean"),
+            (a["m2"] + b["m2"] + step * step * a["n"] * b["n"] / n).alias("m2"),
+        )
 
+    return F.aggregate(groups, start, merge, lambda x: x["m2"])
 
-def cell_moments(scale: DataFrame, dimension: DataFrame, keys: Sequence[str] = KEYS,
-                 anchor: float = 0.0) -> DataFrame:
-    """Additive sums per banner: input of A4, Z2 and Z3."""
-    cells = breakdown(respondent_moments(scale, keys, anchor), dimension)
+
+def cell_moments(scale: DataFrame, dimension: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Moments and NPS counts per banner: input of A4, A5, Z2 and Z3.
+
+    Squared deviations are merged from respondents without a fixed anchor.  A
+    respondent weighs as many rows as it has, and rows of equal weight have a
+    plain variance: so respondents are grouped by the binary digits of their
+    row number, and the groups of a cell, 63 at most, are merged exactly.
+    """
+    cells = breakdown(respondent_moments(scale, keys), dimension)
     w = F.col("weight")
-    return cells.groupBy(*keys, *CELL_COLUMNS).agg(
-        F.count_if(F.col("n_rows") > 0).alias("n"),
-        F.sum("n_rows").alias("rows"),
-        F.sum("s1").alias("s1"), F.sum("d1").alias("d1"), F.sum("d2").alias("d2"),
-        F.sum(F.col("s1") * w).alias("sw"),
-        F.sum(F.col("n_rows") * w).alias("w"),
-        F.sum("top").alias("top"), F.sum("top_n").alias("top_n"),
-        F.sum("low").alias("low"), F.sum("low_n").alias("low_n"),
+    digit = F.explode_outer(F.when(F.col("n_rows") == 1, F.array(F.lit(0))).otherwise(F.expr(
+        "filter(sequence(0, 62), b -> getbit(n_rows, b) = 1)")))
+    rows = cells.select("*", digit.alias("digit"))
+    once = F.coalesce(F.col("digit") == F.expr("bit_count((n_rows & -n_rows) - 1)"), F.lit(True))
+
+    def total(value: Column) -> Column:
+        return F.sum(F.when(once, value))
+
+    grouped = F.col("promoter_n") + F.col("passive_n") + F.col("detractor_n")
+    size = F.count("mean") * F.expr("shiftleft(1L, coalesce(digit, 0))")
+    parts = rows.groupBy(*keys, *CELL_COLUMNS, "digit").agg(
+        F.count_if(once & (F.col("n_rows") > 0)).alias("n"),
+        total(F.col("n_rows")).alias("rows"), total(F.col("s1")).alias("s1"),
+        total(F.col("m2")).alias("inner_m2"),
+        size.cast("double").alias("size"), F.avg("mean").alias("mean"),
+        (F.var_pop("mean") * size).alias("m2"),
+        total(F.col("s1") * w).alias("sw"), total(F.col("n_rows") * w).alias("w"),
+        total(F.col("top")).alias("top"), total(F.col("top_n")).alias("top_n"),
+        total(F.col("low")).alias("low"), total(F.col("low_n")).alias("low_n"),
+        F.count_if(once & (grouped > 0)).alias("nps_n"),
+        total(F.col("promoter_n") * w).alias("p"), total(F.col("passive_n") * w).alias("q"),
+        total(F.col("detractor_n") * w).alias("d"),
+    )
+    sums = ("n", "rows", "s1", "sw", "w", "top", "top_n", "low", "low_n", "nps_n", "p", "q", "d")
+    group = F.when(F.col("size") > 0, F.struct("size", "mean", "m2"))
+    merged = parts.groupBy(*keys, *CELL_COLUMNS).agg(
+        *[F.sum(c).alias(c) for c in sums], F.sum("inner_m2").alias("inner_m2"),
+        F.array_sort(F.collect_list(group)).alias("groups"),
     )
+    groups = F.transform("groups", lambda g: F.struct(
+        g["size"].alias("n"), g["mean"].alias("mean"), g["m2"].alias("m2")))
+    return merged.select(
+        *keys, *CELL_COLUMNS, *sums, (F.col("inner_m2") + merged_m2(groups)).alias("m2"))
 
 
 def scale_summary(moments: DataFrame) -> DataFrame:
@@ -181,34 +218,44 @@ def scale_summary(moments: DataFrame) -> DataFrame:
     """
     n = F.col("rows")
     kept = [c for c in moments.columns
-            if c not in ("rows", "s1", "d1", "d2", "sw", "w", "top", "top_n", "low", "low_n")]
+            if c not in ("rows", "s1", "m2", "sw", "w", "top", "top_n", "low", "low_n",
+                         "nps_n", "p", "q", "d")]
     return moments.select(
         *kept,
         ratio(F.col("s1"), n).alias("mean"),
-        F.sqrt(variance(n, F.col("d1"), F.col("d2"))).alias("sd"),
+        F.sqrt(variance(n, F.col("m2"))).alias("sd"),
         ratio(F.col("sw"), F.col("w")).alias("mean_weighted"),
         ratio(F.col("top"), F.col("top_n")).alias("top2box"),
         ratio(F.col("low"), F.col("low_n")).alias("bottombox"),
     )
 
 
+def nps_of(moments: DataFrame, keys: Sequence[str] = KEYS, nps_scale: int = 100) -> DataFrame:
+    """A5 of the cells that have a grouped answer, from moments already there."""
+    return _nps(moments.filter("nps_n > 0"), [*keys, *CELL_COLUMNS], nps_scale)
+
+
 def nps_summary(scale: DataFrame, dimension: DataFrame, keys: Sequence[str] = KEYS,
                 nps_scale: int = 100) -> DataFrame:
-    """Weighted promoter, passive and detractor shares per banner (A5)."""
+    """A5 from scale rows; `nps_of` serves it from moments already there."""
     cells = breakdown(respondent_moments(scale, keys), dimension)
     w = F.col("weight")
     grouped = F.col("promoter_n") + F.col("passive_n") + F.col("detractor_n")
     sums = cells.groupBy(*keys, *CELL_COLUMNS).agg(
-        F.count_if(grouped > 0).alias("n"),
+        F.count_if(grouped > 0).alias("nps_n"),
         F.sum(F.col("promoter_n") * w).alias("p"),
         F.sum(F.col("passive_n") * w).alias("q"),
         F.sum(F.col("detractor_n") * w).alias("d"),
     )
+    return _nps(sums, [*keys, *CELL_COLUMNS], nps_scale)
+
+
+def _nps(sums: DataFrame, kept: Sequence[str], nps_scale: int) -> DataFrame:
     total = F.col("p") + F.col("q") + F.col("d")
     share = {name: F.coalesce(ratio(F.col(c), total), F.lit(0.0))
              for name, c in (("promoters", "p"), ("passives", "q"), ("detractors", "d"))}
     return sums.select(
-        *keys, *CELL_COLUMNS, "n",
+        *kept, F.col("nps_n").alias("n"),
         *[col.alias(name) for name, col in share.items()],
         ((share["promoters"] - share["detractors"]) * nps_scale).alias("nps"),
     )

@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabuloom.functions.checks import fails
 from tabuloom.functions.pvalues import (
     binomial_half_two_sided, student_quantile, student_two_sided,
 )
@@ -52,9 +53,11 @@ def _counts() -> list[Column]:
     ]
 
 
-def _reject_repeats(pairs: DataFrame) -> None:
-    if pairs.filter("rows_a > 1 or rows_b > 1").take(1):
-        raise PairingError("a person has several evaluations in one condition")
+def _reject_repeats(stats: DataFrame) -> DataFrame:
+    """Fails, when computed, where a person has several evaluations in one condition."""
+    repeats = F.col("repeated_a") + F.col("repeated_b") > 0
+    return stats.filter(F.when(
+        repeats, fails("a person has several evaluations in one condition")).otherwise(True))
 
 
 def paired_means(pairs: DataFrame, by: Sequence[str] = ("study_id",), confidence: float = 0.95,
@@ -67,10 +70,10 @@ def paired_means(pairs: DataFrame, by: Sequence[str] = ("study_id",), confidence
     """
     if duplicates not in ("reject", "person_mean"):
         raise ValueError("duplicates must be 'reject' or 'person_mean'")
-    if duplicates == "reject":
-        _reject_repeats(pairs)
     d = F.col("a") - F.col("b")
     stats = pairs.groupBy(*by).agg(*_counts(), F.stddev_samp(d).alias("sd_difference"))
+    if duplicates == "reject":
+        stats = _reject_repeats(stats)
     n, sd = F.col("pairs"), F.col("sd_difference")
     stats = stats.withColumns({
         "without_pair_a": F.col("persons_a") - n, "without_pair_b": F.col("persons_b") - n,
@@ -96,13 +99,13 @@ def paired_proportions(pairs: DataFrame, by: Sequence[str] = ("study_id",),
                        confidence: float = 0.95, min_pairs: int = 30,
                        with_p: bool = True, check: bool = True) -> DataFrame:
     """Exact McNemar on two 0/1 conditions (Z7).  There is no interval."""
-    if check:
-        _reject_repeats(pairs)
     stats = pairs.groupBy(*by).agg(
         *_counts(),
         F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("yes_no"),
         F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("no_yes"),
     )
+    if check:
+        stats = _reject_repeats(stats)
     n = F.col("pairs")
     enough = n >= min_pairs
     stats = stats.withColumns({

@@ -6,8 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabuloom.constants import ID_NAMES, INVALID_TEXTS, MAX_BANNER_CATEGORIES, NO_DATA
-from tabuloom.functions.sizes import bounded_broadcast
+from tabuloom.constants import COUNT_ENTRY, ID_NAMES, INVALID_TEXTS, MAX_FILTER_CATEGORIES, NO_DATA
 from tabuloom.functions.text import code_text, column_type, normalize_text, to_number
 from tabuloom.operators.breakdown import heading
 from tabuloom.operators.metrics import ratio
@@ -146,9 +145,8 @@ def parse_distribution(texts: DataFrame, labels: DataFrame, column: str = "base_
                        ) -> DataFrame:
     """Rewrite old `code: count` texts with labels; other texts stay."""
     keys = list(KEYS)
-    pattern = r"(-?[0-9]+(?:\.[0-9]+)?)\s*:\s*([0-9,]+)"
-    codes = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1))
-    counts = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(2))
+    codes = F.regexp_extract_all(F.col(column), F.lit(COUNT_ENTRY), F.lit(1))
+    counts = F.regexp_extract_all(F.col(column), F.lit(COUNT_ENTRY), F.lit(2))
     pairs = texts.select(*keys, F.posexplode(F.arrays_zip(
         codes.alias("code"), counts.alias("n"))).alias("pos", "pair")).select(
         *keys, "pos", code_text(F.col("pair.code")).alias("code"),
@@ -183,7 +181,7 @@ def looks_like_id(variable: Column) -> Column:
 
 
 def variable_safety(cells: DataFrame, candidates: DataFrame,
-                    limit: int = MAX_BANNER_CATEGORIES) -> DataFrame:
+                    limit: int = MAX_FILTER_CATEGORIES) -> DataFrame:
     """Why a variable must not be a breakdown or filter; '' when it may.
 
     `candidates` holds (study_id, variable).  Names that look like identifiers
@@ -192,7 +190,7 @@ def variable_safety(cells: DataFrame, candidates: DataFrame,
     keys = list(KEYS)
     text = F.lower(F.trim("value"))
     valid = cells.filter(F.col("value").isNotNull() & ~text.isin(*INVALID_TEXTS)).join(
-        bounded_broadcast(candidates.select(*keys).distinct()), keys, "left_semi")
+        candidates.select(*keys).distinct(), keys, "left_semi")
     named = valid.filter(looks_like_id(F.col("variable"))).groupBy(*keys).agg(
         F.count("*").alias("n_valid"),
         F.when(F.min("value") == F.max("value"), 1).otherwise(2).cast("long").alias("n_distinct"))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabuloom.constants import (
     EXCLUSIVE_OPTION_HINTS, ID_NAMES, NO_RESPONSE_TEXTS, SELECTED_WORDS,
 )
+from tabuloom.functions.checks import fails
 from tabuloom.functions.scales import bottom2box, nps_group, top2box
-from tabuloom.functions.sizes import bounded_broadcast
 from tabuloom.functions.text import (
     blank_to_null, clean_open_text, code_text, column_type, first_text, normalize_text,
     plain_normalize, suffix_code, to_number, truthy_of,
@@ -164,11 +164,12 @@ def build_respondents(wide: DataFrame, role_columns: Sequence[str], id_column: s
     if source not in wide.columns:
         raise ReshapeError(f"the person identifier does not exist: {source}")
     check = id_check(wide, source)
-    if declared and check.filter("n_blank > 0").take(1):
-        raise ReshapeError(f"the person identifier has blank values: {source}")
     value = F.trim(F.col(source).cast("string"))
-    joined = wide.join(bounded_broadcast(check.select("study_id", "is_key", "n_blank")), "study_id")
+    joined = wide.join(check.select("study_id", "is_key", "n_blank"), "study_id")
     key = F.when(F.col("is_key"), value).otherwise(ordinal)
+    if declared:
+        joined = joined.filter(F.when(F.col("n_blank") > 0, fails(
+            f"the person identifier has blank values: {source}")).otherwise(True))
     return joined.select(
         "study_id", key.alias("respondent_id"), "row_index",
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("original_id"),
@@ -197,10 +198,10 @@ def build_single_choice(cells: DataFrame, codebook: DataFrame, labels: DataFrame
         in_dashboard(codebook) & reportable & shown & ~is_multi(codebook) & ~is_scale() & ~is_open()
     ).select("study_id", "variable", question_of().alias("question_id"), "question_type")
     answered = cells.filter(F.col("value").isNotNull()).join(
-        bounded_broadcast(variables), ["study_id", "variable"]
+        variables, ["study_id", "variable"]
     )
     labelled = answered.join(
-        bounded_broadcast(_labels(labels), labels), ["study_id", "variable", "code"], "left"
+        _labels(labels), ["study_id", "variable", "code"], "left"
     )
     return labelled.select(
         "study_id", "respondent_id", "question_id", "variable", "question_type", "code",
@@ -229,7 +230,7 @@ def multi_response_encodings(cells: DataFrame, codebook: DataFrame, labels: Data
     items = codebook.filter(is_multi(codebook) & in_dashboard(codebook))
     keys = ["study_id", "variable"]
     answered = cells.filter(F.trim("value") != "").join(
-        bounded_broadcast(items.select(*keys)), keys, "left_semi"
+        items.select(*keys), keys, "left_semi"
     )
     nonzero = F.when(F.col("number") != 0, F.col("number"))
     seen = answered.groupBy(*keys).agg(
@@ -294,9 +295,9 @@ def build_multi_response(cells: DataFrame, encodings: DataFrame, codebook: DataF
     """
     keys = ["study_id", "variable"]
     rows = cells.filter(F.trim("value") != "").join(
-        bounded_broadcast(encodings, codebook), keys
+        encodings, keys
     ).join(
-        bounded_broadcast(_labels(labels), labels), [*keys, "code"], "left"
+        _labels(labels), [*keys, "code"], "left"
     )
     number, encoding = F.col("number"), F.col("encoding")
     only_number = to_number(F.col("only_code"))
@@ -368,7 +369,7 @@ def build_rm_bases(cells: DataFrame, codebook: DataFrame) -> DataFrame:
         "study_id", "variable", "question_id"
     )
     return cells.filter(F.trim("value") != "").join(
-        bounded_broadcast(wanted, codebook), ["study_id", "variable"]
+        wanted, ["study_id", "variable"]
     ).select("study_id", "question_id", "respondent_id").distinct()
 
 
@@ -415,7 +416,7 @@ def build_grid_long(cells: DataFrame, codebook: DataFrame, labels: DataFrame) ->
         first_text(c("option_code"), c("only_code")).alias("option_code"),
         first_text(c("option_label"), c("only_label"), c("label"), c("variable")).alias("option"),
     )
-    rows = cells.join(bounded_broadcast(items, codebook), keys)
+    rows = cells.join(items, keys)
     selected = ~grid_missing(c("value")) & grid_selected(c("value"), c("option_code"))
     return structural_base(rows.withColumn("selected", selected.cast("int")).select(
         "study_id", "respondent_id", "question_id", "grid_id", "variable", "entity",
@@ -509,8 +510,8 @@ def build_scale_long(cells: DataFrame, codebook: DataFrame, labels: DataFrame) -
         first_text(F.col("label"), F.col("question_text"), F.col("variable")).alias("item_text"),
     ).join(scale_bounds(items, labels), keys)
     rows = cells.filter(F.col("number").isNotNull()).join(
-        bounded_broadcast(described, codebook), keys
-    ).join(bounded_broadcast(_labels(labels), labels), [*keys, "code"], "left")
+        described, keys
+    ).join(_labels(labels), [*keys, "code"], "left")
     shaped = rows.select(
         "study_id", "respondent_id", "question_id", "variable", "item_text",
         F.col("number").alias("value"),
@@ -534,7 +535,7 @@ def scale_fallback(single_choice: DataFrame, bounds: DataFrame) -> DataFrame:
     `bounds` holds (study_id, question_id, scale_min, scale_max, nps).
     """
     rows = single_choice.filter(F.col("value").isNotNull()).join(
-        bounded_broadcast(bounds), ["study_id", "question_id"]
+        bounds, ["study_id", "question_id"]
     )
     return score_scale(rows, F.col("nps")).drop("nps")
 
@@ -556,7 +557,7 @@ def build_open_ended(cells: DataFrame, codebook: DataFrame) -> DataFrame:
     items = codebook.filter(is_open()).select(
         "study_id", "variable", question_of().alias("question_id")
     )
-    rows = cells.join(bounded_broadcast(items, codebook), ["study_id", "variable"])
+    rows = cells.join(items, ["study_id", "variable"])
     return open_ended_text(rows).select(
         "study_id", "respondent_id", "question_id", "variable", "original_text", "clean_text"
     )

@@ -1,9 +1,7 @@
 """Significance tests on aggregated cells.
 
-Everything here runs on summary rows.  A question has one row per response and
-breakdown column, and a breakdown variable has at most
-`MAX_BANNER_CATEGORIES` columns, so the columns compared with each other are
-few whatever the number of respondents.
+Everything here runs on summary rows: one per response and breakdown column of a
+question, however many respondents there are.
 """
 
 from __future__ import annotations
@@ -60,8 +58,9 @@ def proportion_letters(
 ) -> DataFrame:
     """Letters of the columns a column is significantly higher than.
 
-    Each response row sees its sibling columns as one small array, so no pair
-    rows are made.  `cells` needs the breakdown columns; Total is never tested.
+    The columns of a response and block are one array, compared inside the row,
+    so no pair rows are made.  `cells` needs the breakdown columns; Total is
+    never tested.
     Returns (keys, response, banner, letters).
     """
     critical = NormalDist().inv_cdf(1 - (1 - confidence) / 2)
@@ -69,28 +68,26 @@ def proportion_letters(
     columns = cells.join(order, [*keys, "banner", "banner_group"]).filter(
         F.col("banner") != TOTAL
     )
-    sibling = F.struct(
-        F.col("banner_pos").alias("pos"), column_letter(F.col("banner_pos")).alias("letter"),
-        F.col(count).cast("double").alias("x"), F.col(base).cast("double").alias("n"),
-        F.col(share).alias("p"),
+    column = F.struct(
+        F.col("banner_pos").alias("pos"), "banner", F.col(count).cast("double").alias("x"),
+        F.col(base).cast("double").alias("n"), F.col(share).alias("p"),
     )
-    group = Window.partitionBy(*keys, *response, "banner_group")
-    x, n = F.col(count).cast("double"), F.col(base).cast("double")
-
-    def higher(other: Column) -> Column:
-        z = pooled_z(x, n, other["x"], other["n"])
-        tested = (n >= min_base) & (other["n"] >= min_base)
-        return F.coalesce(
-            tested & (F.abs(z) > critical) & (F.col(share) > other["p"]), F.lit(False)
-        )
+    blocks = columns.groupBy(*keys, *response, "banner_group").agg(
+        F.array_sort(F.collect_list(column)).alias("columns"))
 
-    marked = columns.withColumn("siblings", F.collect_list(sibling).over(group)).withColumn(
-        "lower", F.array_sort(F.filter("siblings", higher))
-    )
-    return marked.select(
-        *keys, *response, "banner", "banner_pos",
-        F.array_join(F.transform("lower", lambda s: s["letter"]), "").alias("letters"),
-    )
+    def higher(a: Column, b: Column) -> Column:
+        z = pooled_z(a["x"], a["n"], b["x"], b["n"])
+        tested = (a["n"] >= min_base) & (b["n"] >= min_base)
+        return F.coalesce(tested & (F.abs(z) > critical) & (a["p"] > b["p"]), F.lit(False))
+
+    def marked(a: Column) -> Column:
+        lower = F.filter("columns", lambda b: higher(a, b))
+        letters = F.transform(lower, lambda b: column_letter(b["pos"]))
+        return F.struct(a["banner"].alias("banner"), a["pos"].alias("banner_pos"),
+                        F.array_join(letters, "").alias("letters"))
+
+    rows = blocks.select(*keys, *response, F.explode(F.transform("columns", marked)).alias("m"))
+    return rows.select(*keys, *response, "m.banner", "m.banner_pos", "m.letters")
 
 
 def column_pairs(cells: DataFrame, values: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -113,7 +110,7 @@ def welch_pairs(moments: DataFrame, confidence: float = 0.95, min_base: int = 30
     """
     stats = moments.withColumns({
         "mean": ratio(F.col("s1"), F.col("rows")),
-        "var": variance(F.col("rows"), F.col("d1"), F.col("d2")),
+        "var": variance(F.col("rows"), F.col("m2")),
     })
     pairs = column_pairs(stats, ("rows", "mean", "var"), keys)
     vl, vr = ratio(F.col("var_l"), F.col("rows_l")), ratio(F.col("var_r"), F.col("rows_r"))

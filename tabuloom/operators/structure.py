@@ -11,8 +11,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabuloom.functions.sizes import bounded_broadcast
-from tabuloom.operators.metrics import ratio, variance
+from tabuloom.operators.metrics import ratio
 
 RM_TYPES = ("RM", "GRID_RM", "LOOP_RM")
 CATEGORY_TYPES = ("RU", "GRID_ESCALA", "LOOP_RU")
@@ -41,8 +40,8 @@ def response_records(cells: DataFrame, bindings: DataFrame, value_rules: DataFra
         F.max((role == "not_selected").cast("int")).alias("is_not_selected"),
         first_category.getField("category_id").alias("rule_category"),
     )
-    rows = cells.join(bounded_broadcast(bindings), ["study_id", "variable"]).join(
-        bounded_broadcast(rules, value_rules), [*STRUCTURE, "code"], "left"
+    rows = cells.join(bindings, ["study_id", "variable"]).join(
+        rules, [*STRUCTURE, "code"], "left"
     )
     blank = F.col("value").isNull() | (F.trim("value") == "")
     multi, numeric = F.col("structure_type").isin(*RM_TYPES), F.col("structure_type") == "LOOP_NUMERICO"
@@ -276,8 +275,7 @@ def loop_category_shares(records: DataFrame, by: Sequence[str], weighted: bool =
     return counts.join(bases, group).withColumns(_value(F.col("numerator"), F.col("denominator")))
 
 
-def loop_means(records: DataFrame, by: Sequence[str], weighted: bool = False,
-               anchor: float = 0.0) -> DataFrame:
+def loop_means(records: DataFrame, by: Sequence[str], weighted: bool = False) -> DataFrame:
     """Mean and sd of numeric answers per loop instance.
 
     The sd needs two observations; without any the status is NO_VALID_BASE.
@@ -285,16 +283,14 @@ def loop_means(records: DataFrame, by: Sequence[str], weighted: bool = False,
     w = F.col("weight") if weighted else F.lit(1.0)
     answered = is_state("answered")
     value = F.when(answered, F.col("number"))
-    d = value - anchor
     sums = records.groupBy(*by, "loop_id").agg(
         F.count(value).alias("denominator"),
         F.sum(value * w).alias("vw"), F.sum(F.when(answered, w)).alias("w"),
-        F.sum(d).alias("d1"), F.sum(d * d).alias("d2"),
+        F.stddev_samp(value).alias("sd"),
     )
     n = F.col("denominator")
     return sums.select(
-        *by, "loop_id", "denominator", ratio(F.col("vw"), F.col("w")).alias("value"),
-        F.sqrt(variance(n, F.col("d1"), F.col("d2"))).alias("sd"),
+        *by, "loop_id", "denominator", ratio(F.col("vw"), F.col("w")).alias("value"), "sd",
         F.when(n > 0, "OK").otherwise("NO_VALID_BASE").alias("status"),
         F.when(n > 1, "OK").otherwise("NO_VALID_BASE").alias("sd_status"),
     )
@@ -306,7 +302,7 @@ def descriptive_nps(records: DataFrame, by: Sequence[str], groups: DataFrame) ->
     `groups` maps category_id to nps_group per structure.
     """
     counts = category_shares(records, by)
-    joined = counts.join(bounded_broadcast(groups), "category_id", "left")
+    joined = counts.join(groups, "category_id", "left")
     sums = joined.groupBy(*by).agg(
         F.sum(F.when(F.col("nps_group") == "Promotor", F.col("numerator")).otherwise(0))
         .alias("promoters"),
@@ -336,7 +332,7 @@ def exclusive_conflicts(records: DataFrame, exclusive: DataFrame,
     """
     flags = exclusive.select(*STRUCTURE, "option_id").distinct().withColumn("exclusive", F.lit(1))
     chosen = records.filter(is_state("selected") & F.col("option_id").isNotNull()).join(
-        bounded_broadcast(flags), [*STRUCTURE, "option_id"], "left"
+        flags, [*STRUCTURE, "option_id"], "left"
     )
     return chosen.groupBy(*keys, "respondent_id", *SCOPE_IDS).agg(
         F.max(F.coalesce("exclusive", F.lit(0))).alias("has_exclusive"),

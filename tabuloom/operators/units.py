@@ -6,13 +6,10 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabuloom.functions.checks import guarded
 from tabuloom.operators.metrics import KEYS
 
 
-class UnitError(ValueError):
-    """Data that contradicts the declared unit of analysis."""
-
-
 def person_conflicts(facts: DataFrame, respondents: DataFrame, values: Sequence[str],
                      keys: Sequence[str] = KEYS) -> DataFrame:
     """Persons with different answers to one variable, and rows without a person.
@@ -55,20 +52,18 @@ def to_person_unit(facts: DataFrame, respondents: DataFrame, values: Sequence[st
                    check: bool = True) -> tuple[DataFrame, DataFrame]:
     """Facts and respondents keyed by person.
 
-    With `check` the invariance rules are verified first; each check stops at
-    the first offending row.  Exact duplicates, ignoring the weight, are dropped.
+    With `check` the facts fail to compute where answers of a person differ or a
+    row has no person, and the persons where an attribute changes.  Exact
+    duplicates, ignoring the weight, are dropped.
     """
-    if check:
-        problems = person_conflicts(facts, respondents, values, keys).take(1)
-        if problems:
-            raise UnitError(f"question {problems[0]['question_id']}: {problems[0]['problem']}")
-        varying = varying_attributes(respondents, attributes).take(1) if attributes else []
-        if varying:
-            raise UnitError(f"attributes change within a person: {varying[0]['attributes']}")
     linked = _with_person(facts, respondents).drop("respondent_id").withColumnRenamed(
         "person_id", "respondent_id"
     )
     unique = linked.dropDuplicates([c for c in linked.columns if c != "weight"])
+    if check:
+        unique = guarded(unique, person_conflicts(facts, respondents, values, keys), F.concat(
+            F.lit("question "), *[x for k in keys for x in (F.col(k).cast("string"), F.lit(" "))],
+            F.lit(": "), "problem"))
     # Attributes agree within a person, so one struct minimum picks them together.
     others = [c for c in respondents.columns if c not in ("study_id", "person_id", "respondent_id")]
     persons = respondents.groupBy("study_id", "person_id").agg(
@@ -77,6 +72,9 @@ def to_person_unit(facts: DataFrame, respondents: DataFrame, values: Sequence[st
         "study_id", F.col("person_id").alias("respondent_id"), "person_id",
         *[F.col(f"__first.{c}").alias(c) for c in others],
     )
+    if check and attributes:
+        persons = guarded(persons, varying_attributes(respondents, attributes), F.concat(
+            F.lit("attributes change within a person: "), F.array_join("attributes", ", ")))
     return unique, persons
 
 

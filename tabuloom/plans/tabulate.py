@@ -12,12 +12,11 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tabuloom.functions.predicates import filter_condition
-from tabuloom.functions.sizes import bounded_broadcast
 from tabuloom.functions.text import normalize_text
 from tabuloom.operators import metrics as m
 from tabuloom.operators import significance as z
 from tabuloom.operators import units as u
-from tabuloom.operators.breakdown import respondent_dimension
+from tabuloom.operators.breakdown import CELL_COLUMNS, respondent_dimension
 from tabuloom.operators.quality import PERSON_UNITS
 from tabuloom.operators.tables import long_cells, order_responses
 
@@ -25,6 +24,9 @@ KEYS = m.KEYS
 FACT_VALUES = {"responses": ("code",), "multi_responses": ("code",), "multi_bases": (),
                "grid_responses": ("value",), "scales": ("value",)}
 
+# In order of priority where several tests have the same response.
+TESTS = ("pct", "pct_respondents", "pct_mentions", "mean", "top2box", "bottombox")
+
 
 @dataclass(frozen=True)
 class Request:
@@ -37,17 +39,20 @@ class Request:
     missing_weight: str = "one"
     base: str = "eligible"
     significance: bool = False
+    tests: Sequence[str] = ("pct", "pct_respondents", "mean", "top2box", "bottombox")
     confidence: float = 0.95
     min_base: int = 30
     response_order: str = "label"
     nps_scale: int = 100
-    anchor: float = 0.0
 
     def __post_init__(self) -> None:
         if self.missing_weight not in ("one", "exclude"):
             raise ValueError("missing_weight must be 'one' or 'exclude'")
         if self.base not in ("answered", "eligible"):
             raise ValueError("base must be 'answered' or 'eligible'")
+        unknown = set(self.tests) - set(TESTS)
+        if unknown:
+            raise ValueError(f"no test of {sorted(unknown)}")
 
 
 @dataclass(frozen=True)
@@ -72,9 +77,6 @@ def _split_units(tables: Mapping[str, DataFrame]) -> list[tuple[dict[str, DataFr
         return [(dict(tables), False)]
     person = questions.filter(normalize_text(F.col("analysis_unit")).isin(*PERSON_UNITS)).select(
         *KEYS)
-    if not person.take(1):
-        return [(dict(tables), False)]
-    person = bounded_broadcast(person, questions)
     facts = [n for n in FACT_VALUES if n in tables]
     rows = {n: tables[n].join(person, list(KEYS), "left_anti") for n in facts}
     people = {n: tables[n].join(person, list(KEYS), "left_semi") for n in facts}
@@ -129,9 +131,8 @@ def tabulate(tables: Mapping[str, DataFrame], request: Request) -> Report:
         if "grid_responses" in part:
             grid.append(m.grid_multi_response(part["grid_responses"], dimension))
         if "scales" in part:
-            moments.append(m.cell_moments(part["scales"], dimension, anchor=request.anchor))
-            nps.append(m.nps_summary(part["scales"].filter("nps_group <> ''"), dimension,
-                                     nps_scale=request.nps_scale))
+            moments.append(m.cell_moments(part["scales"], dimension))
+            nps.append(m.nps_of(moments[-1], nps_scale=request.nps_scale))
         selected = respondents.filter(filter_condition(respondents, filters))
         answered = [part[n].select(*KEYS, "respondent_id") for n in
                     ("responses", "multi_responses", "scales", "multi_bases") if n in part]
@@ -144,31 +145,70 @@ def tabulate(tables: Mapping[str, DataFrame], request: Request) -> Report:
               "moments": _union(moments), "nps": _union(nps)}
     bases_frame = _union(bases)
     letters = _letters(frames, bases_frame, request) if request.significance else None
-    order = None
-    source = frames["multi"] if frames["frequency"] is None else frames["frequency"]
-    if source is not None and (options is not None or request.response_order == "frequency"):
-        count = "n" if "n" in source.columns else "mentions"
-        order = order_responses(source, options, request.response_order, count=count)
+    order = _order(frames, options, request.response_order)
     scale = None if frames["moments"] is None else m.scale_summary(frames["moments"])
     return Report(frames["frequency"], frames["multi"], frames["grid"], frames["moments"], scale,
                   frames["nps"], letters, order, bases_frame)
 
 
+def _grid_responses(grid: DataFrame) -> DataFrame:
+    """Cells of a grid with one response text per entity and option."""
+    return grid.withColumn("response", F.concat_ws(" | ", "entity", "option"))
+
+
+def _mentions(frames: Mapping[str, DataFrame | None]) -> DataFrame | None:
+    """Multiple-response cells of both kinds."""
+    grid = frames["grid"]
+    columns = [*KEYS, *CELL_COLUMNS, "response", *m.RM_METRICS, "base", "base_mentions"]
+    parts = [frames["multi"], None if grid is None else _grid_responses(grid)]
+    return _union([None if p is None else p.select(*columns) for p in parts])
+
+
+def _order(frames: Mapping[str, DataFrame | None], options: DataFrame | None, mode: str
+           ) -> DataFrame | None:
+    """Order of the responses of all summaries (O1).
+
+    By frequency, a question with mentions is ordered by them; its other
+    responses count as 0.
+    """
+    if options is None and mode != "frequency":
+        return None
+    columns = [*KEYS, "banner", "response", F.col("n").alias("n")]
+    single, rm = frames["frequency"], _mentions(frames)
+    parts = [None if single is None else single.select(*columns).withColumn("by", F.lit(0)),
+             None if rm is None else rm.withColumn("n", F.col("mentions")).select(*columns)
+             .withColumn("by", F.lit(1))]
+    cells = _union(parts)
+    if cells is None:
+        return None
+    if single is not None and rm is not None:
+        best = cells.groupBy(*KEYS).agg(F.max("by").alias("best"))
+        cells = cells.join(best, list(KEYS)).withColumn(
+            "n", F.when(F.col("by") == F.col("best"), F.col("n")).otherwise(0))
+    return order_responses(cells, options, mode)
+
+
 def _letters(frames: Mapping[str, DataFrame | None], bases: DataFrame, request: Request
              ) -> DataFrame | None:
     """Letters of all tests in priority order; none where persons repeat."""
     confidence, min_base = request.confidence, request.min_base
+    mentions, moments = _mentions(frames), frames["moments"]
+    tests = {
+        "pct": (frames["frequency"], lambda cells, *limits: z.proportion_letters(
+            cells, "n", "base", "pct", *limits)),
+        "pct_respondents": (mentions, lambda cells, *limits: z.proportion_letters(
+            cells, "respondents", "base", "pct_respondents", *limits)),
+        "pct_mentions": (mentions, lambda cells, *limits: z.proportion_letters(
+            cells, "mentions", "base_mentions", "pct_mentions", *limits)),
+        "mean": (moments, z.mean_letters),
+        "top2box": (moments, lambda cells, *limits: z.box_letters(cells, "top2box", *limits)),
+        "bottombox": (moments, lambda cells, *limits: z.box_letters(cells, "bottombox", *limits)),
+    }
     parts = []
-    if frames["frequency"] is not None:
-        parts.append(z.proportion_letters(
-            frames["frequency"], confidence=confidence, min_base=min_base))
-    if frames["multi"] is not None:
-        parts.append(z.proportion_letters(
-            frames["multi"], "respondents", "base", "pct_respondents", confidence, min_base))
-    if frames["moments"] is not None:
-        parts.append(z.mean_letters(frames["moments"], confidence, min_base))
-        parts += [z.box_letters(frames["moments"], box, confidence, min_base)
-                  for box in ("top2box", "bottombox")]
+    for name in TESTS:
+        cells, test = tests[name]
+        if name in request.tests and cells is not None:
+            parts.append(test(cells, confidence, min_base))
     if not parts:
         return None
     independent = bases.filter(~F.col("repeated_people")).select(*KEYS)
@@ -191,8 +231,8 @@ def report_cells(report: Report, metrics: Sequence[str]) -> DataFrame:
         rows = frame if label else frame.withColumn("response", F.lit(""))
         parts.append(long_cells(rows, wanted))
     if report.grid is not None and any(x in m.RM_METRICS for x in metrics):
-        rows = report.grid.withColumn("response", F.concat_ws(" | ", "entity", "option"))
-        parts.append(long_cells(rows, [x for x in metrics if x in m.RM_METRICS]))
+        parts.append(long_cells(_grid_responses(report.grid),
+                                [x for x in metrics if x in m.RM_METRICS]))
     if not parts:
         raise ValueError("no metric applies to these tables")
     return reduce(DataFrame.unionByName, parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,11 +34,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    folder = tempfile.mkdtemp(prefix="tabuloom-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder `name` under the shared one that the cluster names in spark.checkpoint.dir.
+
+    Only a session whose executors are threads of this process may do without the setting.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tabuloom-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,6 @@ from typing import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tabuloom.functions.sizes import bounded_broadcast
 from tabuloom.functions.text import code_text
 from tabuloom.operators.codebook import explode_variables, merge_by_variable
 
@@ -24,6 +23,8 @@ LOG_SCHEMA = "version bigint, tables array<string>"
 REQUIRED_TABLES = ("respondents", "questions", "variables", "options", "configuration")
 RESPONSE_TABLES = ("responses", "multi_responses", "scales", "grid_responses")
 REVIEW_LIMIT_TABLES = ("responses", "multi_responses", "grid_responses", "scales", "open_ended")
+# The layout of the flat table has places for so many filters.
+FLAT_FILTERS = 2
 REVIEW_ROWS = 5000
 
 SCHEMAS = {
@@ -104,9 +105,11 @@ def write_study(tables: Mapping[str, DataFrame], path: str,
 def current_version(spark: SparkSession, path: str) -> tuple[int, list[str]]:
     try:
         log = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log")
-        newest = log.orderBy(F.col("version").desc()).limit(1).collect()
-    except AnalysisException:
-        newest = []
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise StudyError(f"no study at {path}") from error
+    newest = log.orderBy(F.col("version").desc()).limit(1).collect()
     if not newest:
         raise StudyError(f"no study at {path}")
     return newest[0]["version"], list(newest[0]["tables"])
@@ -150,11 +153,16 @@ FLAT_COLUMNS = ("study_id", "respondent_id", "question_id", "question_text", "va
 
 
 def flat_fact(tables: Mapping[str, DataFrame], banners: Sequence[str] = (),
-              filters: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """Four long tables as one, with breakdown columns and the first two filters."""
-    questions = bounded_broadcast(tables["questions"].select(
+              filters: Sequence[str] = (), weight: str | None = None,
+              n_filters: int = FLAT_FILTERS) -> DataFrame:
+    """Four long tables as one, with breakdown columns and filters.
+
+    Of respondents listed twice the first counts: by `row_index`, if there is
+    one, then by weight and columns.
+    """
+    questions = tables["questions"].select(
         STUDY, "question_id", "question_text", F.col("question_type").alias("q_type"),
-        F.col("calculation").alias("q_calculation")))
+        F.col("calculation").alias("q_calculation"))
     empty, text = F.lit(""), lambda c: F.col(c).cast("string")
 
     def part(name: str, **given: Column) -> DataFrame | None:
@@ -195,12 +203,15 @@ def flat_fact(tables: Mapping[str, DataFrame], banners: Sequence[str] = (),
             target = f"banner_{target}"
         reserved.add(target)
         assigned.append((target, name))
-    assigned += [(f"filter_{i}", name) for i, name in enumerate(list(dict.fromkeys(filters))[:2], 1)
+    assigned += [(f"filter_{i}", name) for i, name in enumerate(list(dict.fromkeys(filters))[:n_filters], 1)
                  if name in people.columns]
     chosen = F.col(weight).cast("double") if weight and weight in people.columns else F.lit(1.0)
     # One row per respondent, so the join cannot multiply facts.
-    lookup = people.select(STUDY, "respondent_id", F.coalesce(chosen, F.lit(1.0)).alias("weight"),
-                           *[F.col(n).alias(f"__{t}") for t, n in assigned])
+    place = ["row_index"] if "row_index" in people.columns else []
+    kept = F.min(F.struct(*place, F.coalesce(chosen, F.lit(1.0)).alias("weight"),
+                          *[F.col(n).alias(f"__{t}") for t, n in assigned]))
+    lookup = people.groupBy(STUDY, "respondent_id").agg(kept.alias("kept")).select(
+        STUDY, "respondent_id", "kept.*").drop(*place)
     joined = flat.join(lookup, [STUDY, "respondent_id"], "left")
     result = joined.select(*FLAT_COLUMNS, *[F.col(f"__{t}").alias(t) for t, _ in assigned])
     for name in ("filter_1", "filter_2"):
@@ -270,4 +281,22 @@ def write_canonical(tables: Mapping[str, DataFrame], path: str) -> None:
     if absent:
         raise StudyError(f"missing canonical tables: {absent}")
     for name in CANONICAL_TABLES:
-        canonical_order(tables[name]).write.parquet(f"{path}/{name}")
+        _positioned(canonical_order(tables[name])).write.parquet(f"{path}/{name}")
+
+
+def _positioned(ordered: DataFrame) -> DataFrame:
+    """Rows of an ordered frame with their `position` from 1.
+
+    Rows before each partition are counted first; only one number per partition
+    is collected, and no task sees more than its own rows.
+    """
+    numbered = ordered.select("*", F.monotonically_increasing_id().alias("__at"))
+    part = F.shiftright("__at", 33)
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
+    before, offset = {}, 0
+    for part_id, n in sorted(sizes):
+        before[part_id], offset = offset, offset + n
+    starts = F.create_map(*[F.lit(x) for item in before.items() for x in item]) if before else None
+    place = F.lit(0) if starts is None else starts[part]
+    return numbered.withColumn(
+        "position", (place + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).cast("bigint")).drop("__at")

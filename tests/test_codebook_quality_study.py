@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import values
@@ -169,8 +170,9 @@ def test_derived_variable(frame):
     assert done["responses"].filter("question_id = 'band'").count() == 120
     order = done["questions"].filter("question_id = 'band'").collect()[0]["questionnaire_order"]
     assert order == pytest.approx(3.001)
-    with pytest.raises(ValueError):
-        b.add_derived(tables, value, "v1", "v1", "x", [("low", None, 49)])
+    refused = b.add_derived(tables, value, "v1", "v1", "x", [("low", None, 49)])
+    with pytest.raises(PySparkException, match="v1 exists"):
+        refused["variables"].collect()
     again = b.add_derived(done, value, "v1", "band", "Tramo", [("all", None, 500)])
     assert again["options"].filter("variable = 'band'").count() == 1
     gone = b.remove_derived(again, ["band"])

@@ -1,9 +1,5 @@
-"""Registered queries against their SQL twins on the smallest tables.
+"""Registered queries against their SQL twins on the smallest tables."""
 
-A sample of every family by default; TABULOOM_ALL=1 runs all of them.
-"""
-
-import os
 import sys
 from pathlib import Path
 
@@ -16,11 +12,7 @@ import __spark_entry__ as driver  # noqa: E402
 from compare import rows_of  # noqa: E402
 
 DATA = Path("/root/testdata/sf0.001")
-SAMPLE = ("a1_frequency", "e2_separate", "a4_scale", "a2_multi_base", "d5_exclusive", "a3_grid_multi",
-          "z1_letters", "z5_holm", "z6_paired_t_stat", "z7_mcnemar", "a10_bases", "a12_ledger",
-          "a17_loop_single", "p7_roles", "p15_catalogue", "c4_structures", "a7_profile", "t1_table",
-          "s6_flat", "q11_fingerprint", "j7_compare", "tabulate_book")
-NAMES = sorted(driver.oracle_sql()) if os.environ.get("TABULOOM_ALL") else SAMPLE
+NAMES = sorted(driver.oracle_sql())
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import values
@@ -77,8 +78,9 @@ def test_small_and_repeated_samples(frame):
     row = p.paired_means(sides(people, facts, "score")).collect()[0]
     assert row["result"] == "Base insuficiente" and row["p_value"] is None
     merged = people.withColumn("person_id", F.lit("one"))
-    with pytest.raises(p.PairingError):
-        p.paired_means(sides(merged, facts, "score"))
+    refused = p.paired_means(sides(merged, facts, "score"))
+    with pytest.raises(PySparkException, match="several evaluations"):
+        refused.collect()
     mean = p.paired_means(sides(merged, facts, "score"), duplicates="person_mean").collect()[0]
     assert (mean["pairs"], mean["repeated_a"]) == (1, 1)
 
@@ -114,11 +116,14 @@ def test_person_unit(frame):
 def test_person_unit_conflicts(frame):
     people = frame(RESP, [("s", "1", "a", "m"), ("s", "2", "a", "f")])
     facts = frame(FACT, [("s", "q", "1", "v", "x", 1.0), ("s", "q", "2", "v", "y", 1.0)])
-    with pytest.raises(u.UnitError):
-        u.to_person_unit(facts, people, ["code"])
+    refused, _ = u.to_person_unit(facts, people, ["code"])
+    with pytest.raises(PySparkException, match="question s q .*DIFFERENT_ANSWERS"):
+        refused.collect()
     same = facts.withColumn("code", F.lit("x"))
-    with pytest.raises(u.UnitError):
-        u.to_person_unit(same, people, ["code"], ["sex"])
+    rows, persons = u.to_person_unit(same, people, ["code"], ["sex"])
+    assert rows.count() == 1
+    with pytest.raises(PySparkException, match="within a person: sex"):
+        persons.collect()
     lost = facts.filter("respondent_id = '1'").withColumn("respondent_id", F.lit("9"))
     assert values(u.person_conflicts(lost, people, ["code"]), "problem") == [("UNLINKED_ROW",)]
     null_one = same.withColumn("code", F.when(F.col("respondent_id") == "1", "x"))

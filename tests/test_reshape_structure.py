@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import values
@@ -143,7 +144,7 @@ def test_respondent_keys(frame):
     blank = frame(schema, [("s", 0, "a", 1), ("s", 1, None, 2)])
     assert values(s.build_respondents(blank, []), "respondent_id", "person_id") == [
         ("R000001", "R000001"), ("R000002", "R000002")]
-    with pytest.raises(s.ReshapeError):
+    with pytest.raises(PySparkException, match="blank values"):
         s.build_respondents(blank, [], declared_ids=["Folio"]).count()
     with pytest.raises(s.ReshapeError):
         s.build_respondents(unique, [], declared_ids=["Folio", "sexo"])

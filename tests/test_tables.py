@@ -131,12 +131,17 @@ def test_scale_and_nps(frame, people):
     assert nps["nps"] == pytest.approx(50.0)
 
 
-def test_anchor_keeps_variance_accurate(frame, people):
-    facts = scale_rows(frame, [("s", "q", str(1 + i % 4), 1e8 + i % 2, None, None, "")
-                               for i in range(40)])
-    dimension = respondent_dimension(people, None)
-    row = m.scale_summary(m.cell_moments(facts, dimension, anchor=1e8)).collect()[0]
-    assert row["sd"] == pytest.approx(math.sqrt(0.25 * 40 / 39), rel=1e-12)
+@pytest.mark.parametrize("far", [0.0, 1e8, -1e12])
+def test_variance_is_accurate_far_from_zero(frame, people, far):
+    # Respondents with 1 to 4 rows, so that their row numbers differ.
+    rows = [("s", "q", str(1 + i % 4), far + (i * 7) % 5, None, None, "")
+            for i in range(40) if i % 4 <= i // 10]
+    row = m.scale_summary(
+        m.cell_moments(scale_rows(frame, rows), respondent_dimension(people, None))).collect()[0]
+    values = [r[3] - far for r in rows]
+    mean = sum(values) / len(values)
+    want = math.sqrt(sum((v - mean) ** 2 for v in values) / (len(values) - 1))
+    assert row["sd"] == pytest.approx(want, rel=1e-9 if abs(far) < 1e10 else 1e-3)
 
 
 def test_single_row_has_no_sd(frame, people):
