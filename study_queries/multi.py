@@ -294,6 +294,15 @@ def grid_rows(spark: SparkSession, path: str) -> DataFrame:
     return s.structural_base(grid.withColumn("selected", selected.cast("int")))
 
 
+def grid_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The same cells without their structural base, which A3 does not need."""
+    grid = r.entity_grid(spark, path)
+    selected = ~s.grid_missing(F.col("value")) & s.grid_selected(
+        F.col("value"), F.col("option_code")
+    )
+    return s.answered_cells(grid.withColumn("selected", selected.cast("int")))
+
+
 @register("d8_grid_base", f"""
 WITH {r.EVALUATIONS_SQL}, {r.GRID_SQL}
 SELECT study_id, entity, option, CAST(count(*) AS BIGINT) AS n,
@@ -333,7 +342,7 @@ SELECT study_id, banner, entity, option, CAST(mentions AS BIGINT) AS mentions,
 FROM c JOIN b USING (study_id, banner) WINDOW w AS (PARTITION BY study_id, banner)""")
 def a3_grid_multi(spark: SparkSession, path: str) -> DataFrame:
     dimension = respondent_dimension(r.evaluations(spark, path), "status", weight="factor")
-    table = m.grid_multi_response(grid_rows(spark, path), dimension)
+    table = m.grid_multi_response(grid_cells(spark, path), dimension)
     return table.select(
         "study_id", "banner", "entity", "option", big("mentions"), big("base"),
         r6("base_weighted"), r6("pct_respondents"), r6("pct_mentions"),
@@ -351,7 +360,7 @@ SELECT study_id, entity, option,
 FROM c JOIN b USING (study_id, banner) WHERE banner = 'Total'""")
 def w2_rank(spark: SparkSession, path: str) -> DataFrame:
     dimension = respondent_dimension(r.evaluations(spark, path), None)
-    table = m.grid_multi_response(grid_rows(spark, path), dimension)
+    table = m.grid_multi_response(grid_cells(spark, path), dimension)
     first = grid_rank(table, "entity").withColumnRenamed("rank", "rank_in_entity")
     both = grid_rank(first, "option").withColumnRenamed("rank", "rank_in_option")
     return both.select("study_id", "entity", "option", big("rank_in_entity"),

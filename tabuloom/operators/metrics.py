@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabuloom.constants import DETRACTOR, PASSIVE, PROMOTER
 from tabuloom.operators.breakdown import CELL_COLUMNS, breakdown
@@ -41,12 +41,21 @@ def frequency(facts: DataFrame, dimension: DataFrame, keys: Sequence[str] = KEYS
         F.sum(weighted).alias("n_weighted"),
         F.count("*").alias("base_respondents"),
     )
-    banner = Window.partitionBy(*keys, "banner")
-    return counts.withColumns({
-        "base": F.sum("n").over(banner),
-        "pct": ratio(F.col("n"), F.sum("n").over(banner)),
-        "pct_weighted": ratio(F.col("n_weighted"), F.sum("n_weighted").over(banner)),
-    })
+    return _with_totals(counts, [*keys, "banner"], {"n": "base", "n_weighted": "__weighted"}).withColumns({
+        "pct": ratio(F.col("n"), F.col("base")),
+        "pct_weighted": ratio(F.col("n_weighted"), F.col("__weighted")),
+    }).drop("__weighted")
+
+
+def _with_totals(cells: DataFrame, by: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """Cells with sums over all cells that share `by`.
+
+    An aggregate and a join instead of a window: the Total of a question with
+    very many responses is not sorted in one task.  Both sides read the same
+    exchange of cells.
+    """
+    totals = cells.groupBy(*by).agg(*[F.sum(c).alias(name) for c, name in sums.items()])
+    return cells.join(totals, list(by))
 
 
 def cell_bases(respondents_in_base: DataFrame, dimension: DataFrame,
@@ -58,21 +67,20 @@ def cell_bases(respondents_in_base: DataFrame, dimension: DataFrame,
 
 
 def _rm_shares(counts: DataFrame, bases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    banner = Window.partitionBy(*keys, "banner")
-    joined = counts.join(bases, [*keys, "banner"], "left").fillna(
-        0, ["base", "base_weighted"]
-    )
+    banner = [*keys, "banner"]
+    joined = _with_totals(counts, banner, {
+        "mentions": "base_mentions", "mentions_weighted": "__weighted"})
+    joined = joined.join(bases, banner, "left").fillna(0, ["base", "base_weighted"])
     zero = F.lit(0.0)
-    mentions, weighted = F.sum("mentions").over(banner), F.sum("mentions_weighted").over(banner)
+    mentions, weighted = F.col("base_mentions"), F.col("__weighted")
     return joined.withColumns({
-        "base_mentions": mentions,
         "pct_respondents": F.coalesce(ratio(F.col("respondents"), F.col("base")), zero),
         "pct_mentions": F.coalesce(ratio(F.col("mentions"), mentions), zero),
         "pct_respondents_weighted": F.coalesce(
             ratio(F.col("mentions_weighted"), F.col("base_weighted")), zero
         ),
         "pct_mentions_weighted": F.coalesce(ratio(F.col("mentions_weighted"), weighted), zero),
-    })
+    }).drop("__weighted")
 
 
 def multi_response(facts: DataFrame, dimension: DataFrame, base: DataFrame | None = None,

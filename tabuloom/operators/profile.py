@@ -64,10 +64,12 @@ def frequency_profile(cells: DataFrame, labels: DataFrame, missing_rules: DataFr
         .when(defined, F.when(label != "", label).otherwise("(Valor perdido)"))
         .when(~F.col("has_label") & (F.col("n") > 0), "(Sin etiqueta)").otherwise(label)
     )
-    whole = Window.partitionBy(*keys)
     marked = ruled.withColumns({"status": status, "label": shown, "is_missing": lost})
-    valid = F.sum(F.when(~F.col("is_missing"), F.col("n")).otherwise(0)).over(whole)
-    return marked.select(
+    # Joined, not a window: a variable with very many codes is not one task.
+    sums = marked.groupBy(*keys).agg(
+        F.sum(F.when(~F.col("is_missing"), F.col("n")).otherwise(0)).alias("__valid"))
+    valid = F.col("__valid")
+    return marked.join(sums, list(keys)).select(
         *keys, F.when(F.col("system"), "(vacío)").otherwise(F.col("code")).alias("code"),
         "label", "n",
         F.when(~F.col("is_missing"), F.coalesce(ratio(F.col("n"), valid) * 100, F.lit(0.0)))

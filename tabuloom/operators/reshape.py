@@ -18,7 +18,7 @@ from tabuloom.constants import (
 from tabuloom.functions.checks import fails
 from tabuloom.functions.scales import bottom2box, nps_group, top2box
 from tabuloom.functions.text import (
-    blank_to_null, clean_open_text, code_text, column_type, first_text, normalize_text,
+    blank_to_null, clean_open_text, code_text, column_type, first_text, is_numeric_type, normalize_text,
     plain_normalize, suffix_code, to_number, truthy_of,
 )
 
@@ -37,8 +37,10 @@ def unpivot_cells(wide: DataFrame, ids: Sequence[str], variables: Sequence[str],
                   chunk: int = UNPIVOT_CHUNK) -> DataFrame:
     """One row per (ids, variable), missing cells included.
 
-    Very wide files are unpivoted a few hundred columns at a time; the parts
-    read disjoint columns of the file.
+    Numbers keep their type until they are written out, so only texts are
+    matched with patterns.  One projection of several thousand columns exceeds
+    the size of generated methods and falls back to interpretation; so a wider
+    file is read once for each `chunk` columns, of which the parts are disjoint.
     """
     def part(names: Sequence[str]) -> DataFrame:
         # An inlined array, not unpivot(): code generation of the latter fails
@@ -48,15 +50,24 @@ def unpivot_cells(wide: DataFrame, ids: Sequence[str], variables: Sequence[str],
             col, dtype = F.col(f"`{name}`"), column_type(wide, name)
             if isinstance(dtype, (T.DoubleType, T.FloatType)):
                 col = F.when(~F.isnan(col), col)
-            items.append(F.struct(F.lit(name).alias("variable"), col.cast("string").alias("value")))
+            typed = is_numeric_type(dtype)
+            items.append(F.struct(
+                F.lit(name).alias("variable"), col.cast("string").alias("value"),
+                F.lit(typed).alias("typed"),
+                (to_number(col, dtype) if typed else F.lit(None).cast("double")).alias("number"),
+                (code_text(col, dtype) if typed else F.lit(None).cast("string")).alias("code")))
         return wide.select(*ids, F.inline(F.array(*items)))
 
     parts = [part(variables[i:i + chunk]) for i in range(0, len(variables), chunk)]
-    return typed_cells(reduce(DataFrame.unionByName, parts))
+    cells, text = reduce(DataFrame.unionByName, parts), F.col("value")
+    return cells.withColumns({
+        "number": F.when(F.col("typed"), F.col("number")).otherwise(to_number(text)),
+        "code": F.when(F.col("typed"), F.col("code")).otherwise(code_text(text)),
+    }).drop("typed")
 
 
 def typed_cells(cells: DataFrame) -> DataFrame:
-    """Add the code text and the number of each cell."""
+    """Add the code text and the number of cells that are texts."""
     return cells.withColumns({
         "number": to_number(F.col("value")), "code": code_text(F.col("value")),
     })
@@ -437,6 +448,15 @@ def structural_base(grid: DataFrame) -> DataFrame:
     })
 
 
+def answered_cells(grid: DataFrame) -> DataFrame:
+    """Each cell with whether it has a value, which is all that A3 needs.
+
+    A selected cell has one, and a respondent is in the base when any cell has;
+    so the rows of an entity need not meet.
+    """
+    return grid.withColumn("base_valid", (~grid_missing(F.col("value"))).cast("int"))
+
+
 def grid_labels(entity: Column, option: Column, question: Column,
                 *fallbacks: Column) -> dict[str, Column]:
     """Entity, option and `entity | option` label with their fallbacks."""
