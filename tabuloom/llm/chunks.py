@@ -18,7 +18,7 @@ import zstandard
 
 CHUNK_BYTES = 4 << 20
 #: Codes that are turned into values at a time, so that a very long document needs no large arrays.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def name(task: int, number: int, words) -> str:
@@ -26,12 +26,19 @@ def name(task: int, number: int, words) -> str:
     return f"{task}-{number}-{hashlib.blake2b(words, digest_size=12).hexdigest()}"
 
 
-def by_part(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank): the words ordered by part, and the place that each word has in that order."""
-    order = np.argsort(part, kind="stable")
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    return order, rank
+def by_part(hashes: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, edges) of the runs of equal parts of sorted hashes; equal hashes are in equal parts everywhere."""
+    part = ((hashes >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[first], np.append(first, len(part))
+
+
+def pack_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unpack_bytes(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 def pack(numbers: np.ndarray, kind: str = "<u4") -> bytes:

@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-LEAST = 1 << 20
+LEAST = 1 << 18
 
 
 @lru_cache(maxsize=3)

@@ -54,7 +54,7 @@ def _many(texts: list[bytes]) -> list[np.ndarray]:
     return [np.append(found[a:b], END) for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple]:
     """(name, distinct words sorted, keys, held out, codes of all tokens, tokens a document) for each chunk."""
     task, number = TaskContext.get().partitionId(), 0
     keys, held, texts, size = [], [], [], 0
@@ -68,7 +68,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for key, out, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary())):
             text = value.as_py() or b""
-            if size and size + len(text) > chunks.CHUNK_BYTES:
+            if size and size + len(text) > chunk:
                 yield done()
                 keys, held, texts, size, number = [], [], [], 0, number + 1
             keys.append(key)
@@ -93,10 +93,6 @@ def _bigrams(distinct: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tu
     return hashed[order], rank[at]
 
 
-def _part(hashed: np.ndarray, n_parts: int) -> np.ndarray:
-    return ((hashed >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
-
-
 def _count_part(rows: pa.Table) -> pa.Table:
     """Training counts of the words or bigrams of one part, for each chunk in the order of its keys."""
     keys = [chunks.unpack_sorted(x) for x in rows.column("keys").to_pylist()]
@@ -141,7 +137,7 @@ def _join_by_position(found: pa.Table, docs: pa.Table) -> pa.Table:
         "n": pa.array(once[0]), "types": pa.array(once[1])})
 
 
-def counts(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
+def counts(docs: DataFrame, key: str, text: str, held_out: Column, chunk: int = chunks.CHUNK_BYTES) -> DataFrame:
     """(k, held_out, single, double, n, types) per document, in the checkpoint folder.
 
     single and double are the training counts of each token and of each token after the previous one;
@@ -152,21 +148,20 @@ def counts(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
     kind = docs.schema[key].dataType
 
     def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for called, distinct, _, held, codes, lengths in _chunks(batches):
+        for called, distinct, _, held, codes, lengths in _chunks(batches, chunk):
             hashed, at = _bigrams(distinct, codes, lengths)
             learn = ~np.repeat(np.array(held, dtype=bool), lengths)
             for number, (keys, place) in enumerate(((distinct, codes), (hashed, at))):
                 seen = np.bincount(place[learn], minlength=len(keys))
-                part = _part(keys, n_parts)
-                edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(keys))
+                part, edges = chunks.by_part(keys, n_parts)
                 spans = list(zip(edges[:-1], edges[1:]))
                 yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array([number] * len(spans), pa.int32()), "chunk": [called] * len(spans), "part": pa.array(part[edges[:-1]]),
+                    "kind": pa.array([number] * len(spans), pa.int32()), "chunk": [called] * len(spans), "part": pa.array(part),
                     "keys": pa.array([chunks.pack_sorted(keys[a:b]) for a, b in spans], pa.binary()),
                     "counts": pa.array([chunks.pack(seen[a:b], "<u8") for a, b in spans], pa.binary())})
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for called, distinct, keys, held, codes, lengths in _chunks(batches):
+        for called, distinct, keys, held, codes, lengths in _chunks(batches, chunk):
             ends = np.cumsum(lengths)
             yield pa.RecordBatch.from_pydict({
                 "chunk": [called] * len(keys), "k": pa.array(keys, _arrow(kind)), "held_out": pa.array(held, pa.bool_()),
@@ -237,7 +232,7 @@ def weights(cells: np.ndarray, number: np.ndarray, rounds: int = 60) -> np.ndarr
     return mixed / mixed.sum(axis=1, keepdims=True)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, chunk: int = chunks.CHUNK_BYTES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of `docs`.
 
     Rows for which `held_out` holds are scored but not learned from; where it is null a row is learned
@@ -246,7 +241,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
     no training row every word is unknown; an empty table gives an empty one. `docs` must give its rows
     in the same order whenever it is read, as a table or a checkpoint does; otherwise the query fails.
     """
-    found = counts(docs, key, text, F.lit(False) if held_out is None else held_out)
+    found = counts(docs, key, text, F.lit(False) if held_out is None else held_out, chunk)
     n, types, documents = (int(x or 0) for x in found.agg(F.sum("n"), F.sum("types"), F.sum((~F.col("held_out")).cast("long"))).first())
     cells = deleted(found, n, types, documents).collect()
     mixed = weights(np.array([c[0] for c in cells], dtype=np.int64), np.array([c[1] for c in cells], dtype=float))
