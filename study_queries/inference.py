@@ -9,6 +9,7 @@ from study_queries.core import SCALE_CELLS, SEGMENT_CELLS, big, r6, scale_facts
 from tabuloom.functions import pvalues as pv
 from tabuloom.operators import metrics as m
 from tabuloom.operators import paired as p
+from tabuloom.operators.pairing import pairing_problems
 from tabuloom.operators import significance as z
 from tabuloom.operators import units as u
 from tabuloom.operators import weights as w
@@ -506,6 +507,41 @@ def z6_paired_t(spark: SparkSession, path: str) -> DataFrame:
                         F.round("p_value", 9).alias("p_value"), "result")
 
 
+@register("z7_pairing_problems", f"""
+WITH {r.EVENT_DAYS_SQL},
+x AS (SELECT study_id, person_id, respondent_id, CASE WHEN day > 15 THEN 'B' ELSE 'A' END AS side, value, code FROM event_days),
+d AS (SELECT study_id, side, person_id, count(*) AS n, count(*) FILTER (WHERE value NOT IN (0, 1)) AS other FROM x GROUP BY ALL),
+s AS (SELECT study_id, count(*) FILTER (WHERE n > 1) AS repeated, sum(other) AS other FROM d GROUP BY ALL),
+v AS (SELECT study_id, sum(k) AS several FROM (SELECT study_id, side, CASE WHEN min(code) <> max(code) THEN 1 ELSE 0 END AS k
+      FROM x GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT * FROM (VALUES ('means', false, true), ('boxes', true, false), ('averaged', false, false)) AS t(id, boxes, reject))
+SELECT study_id, id AS comparison_id, 'REPEATED_PERSON' AS problem, CAST(repeated AS BIGINT) AS n FROM s, c
+WHERE id <> 'averaged' AND repeated > 0 UNION ALL
+SELECT study_id, id, 'NOT_BINARY', CAST(other AS BIGINT) FROM s, c WHERE boxes AND other > 0 UNION ALL
+SELECT study_id, id, 'SEVERAL_ITEMS', CAST(several AS BIGINT) FROM v, c WHERE several > 0 UNION ALL
+SELECT study_id, 'boxes', 'PARENT', 1 FROM s""")
+def z7_pairing_problems(spark: SparkSession, path: str) -> DataFrame:
+    """Early against late days of each arm, as means, as boxes and averaged by person."""
+    days = r.event_days(spark, path)
+    studies = days.select("study_id").distinct()
+    comparisons = studies.select("study_id", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("comparison_id"), F.lit(metric).alias("metric"), F.lit("EARLY").alias("left_question"),
+                 F.lit(right).alias("right_question"), F.lit(None).cast("string").alias("option_code"), F.lit(policy).alias("duplicates"))
+        for name, metric, right, policy in (("means", "Media", "LATE", "reject"), ("boxes", "Top2Box", "OTHER", "reject"),
+                                            ("averaged", "Media", "LATE", "person_mean"))])))
+    questions = studies.select("study_id", F.inline(F.array(*[
+        F.struct(F.lit(q).alias("question_id"), F.lit(1).alias("in_dashboard"), F.lit("Escala").alias("question_type"),
+                 F.lit(parent).alias("parent_question")) for q, parent in (("EARLY", "DAY"), ("LATE", "DAY"), ("OTHER", None))])))
+    options = studies.select("study_id", F.lit("EARLY").alias("question_id"), F.lit(None).cast("string").alias("code"),
+                             F.lit("").alias("label"))
+    person = F.col("person_id").cast("string")
+    people = days.select("study_id", person.alias("person_id"), person.alias("original_id"))
+    rows = days.join(comparisons.select("study_id", "comparison_id"), "study_id").select(
+        "study_id", "comparison_id", F.when(F.col("day") > 15, "B").otherwise("A").alias("side"), "respondent_id",
+        "person_id", F.col("code").alias("variable"), "value", F.lit(0.0).alias("scale_min"), F.lit(500.0).alias("scale_max"))
+    return pairing_problems(comparisons, people, questions, options, rows)
+
+
 MCNEMAR_SQL = """
 d AS (SELECT source AS study_id, doc_id, quality AS a, toxic AS b FROM labels JOIN documents USING (doc_id)
       UNION ALL SELECT 'all', doc_id, quality, toxic FROM labels),

@@ -1,0 +1,27 @@
+"""Building a query starts no job but those that open its tables."""
+
+from pathlib import Path
+
+import pytest
+
+from study_queries.registry import QUERIES
+
+DATA = Path("/root/testdata/sf0.001")
+# These write to the shared folder, which is what they show.
+SINKS = ("s1_load", "s3_stored_question", "s8_export_rows", "s9_canonical_order")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SINKS])
+def test_no_job_while_planning(spark, monkeypatch, name):
+    opened = []
+    reader = type(spark.read)
+    read = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **more: opened.append(paths) or read(self, *paths, **more))
+    group = f"plan-{name}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        QUERIES[name](spark, str(DATA))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= len(opened)
