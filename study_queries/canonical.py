@@ -136,19 +136,19 @@ def structure_records(spark: SparkSession, path: str, evaluation: DataFrame | No
     cells = typed_cells(frame.join(lines, ["respondent_id", "row_id", "option_id"], "left").select(
         "study_id", "respondent_id", F.concat_ws("_", "row_id", "option_id").alias("variable"),
         value.alias("value"), applies.alias("applicable")))
-    studies = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-    bindings = spark.createDataFrame(
-        [(s, "G", "GRID_RM", f"{a}_{o}", f"{a}_{o}", a, None, o, None, None, False)
-         for s in studies for a in "ANR" for o in "FO"],
-        "study_id string, structure_id string, structure_type string, variable string, "
-        "binding_id string, row_id string, column_id string, option_id string, loop_id string, "
-        "entity_id string, missing_is_unanswered boolean")
-    rules = spark.createDataFrame(
-        [(s, "G", code, role, None, i) for s in studies
-         for i, (code, role) in enumerate((("1", "selected"), ("0", "not_selected"),
-                                           ("9", "missing")))],
-        "study_id string, structure_id string, code string, role string, category_id string, "
-        "ord int")
+    studies = r.studies(spark, path)
+    none = F.lit(None).cast("string")
+    bindings = studies.select(
+        "study_id", F.lit("G").alias("structure_id"), F.lit("GRID_RM").alias("structure_type"),
+        F.inline(F.array(*[F.struct(
+            F.lit(f"{a}_{o}").alias("variable"), F.lit(f"{a}_{o}").alias("binding_id"),
+            F.lit(a).alias("row_id"), none.alias("column_id"), F.lit(o).alias("option_id"),
+            none.alias("loop_id"), none.alias("entity_id"),
+            F.lit(False).alias("missing_is_unanswered")) for a in "ANR" for o in "FO"])))
+    rules = studies.select("study_id", F.lit("G").alias("structure_id"), F.inline(F.array(*[F.struct(
+        F.lit(code).alias("code"), F.lit(role).alias("role"), none.alias("category_id"),
+        F.lit(i).alias("ord")) for i, (code, role) in enumerate((
+            ("1", "selected"), ("0", "not_selected"), ("9", "missing")))])))
     return st.response_records(cells, bindings, rules)
 
 

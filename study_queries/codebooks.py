@@ -614,7 +614,7 @@ SELECT study_id, CASE wave WHEN 0 THEN '0 | Inicial' WHEN 1 THEN '1 | Media' WHE
     PARTITION BY study_id ORDER BY wave IS NULL, wave) AS BIGINT) AS choice_pos FROM d""")
 def f2_choices(spark: SparkSession, path: str) -> DataFrame:
     cells = s.unpivot_cells(r.customers(spark, path), ["study_id"], ["wave"])
-    return pf.filter_choices(cells, r.wave_labels(spark)).select(
+    return pf.filter_choices(cells, r.wave_labels(spark, path)).select(
         "study_id", "display", big("choice_pos"))
 
 
@@ -756,7 +756,7 @@ SELECT study_id, string_agg(CASE wave WHEN 0 THEN 'Inicial' WHEN 1 THEN 'Media'
     ORDER BY wave NULLS LAST) AS base_distribution FROM c GROUP BY ALL""")
 def a9_base_text(spark: SparkSession, path: str) -> DataFrame:
     cells = s.unpivot_cells(r.evaluations(spark, path), ["study_id"], ["wave"])
-    return pf.base_distribution(cells, r.wave_labels(spark)).select(
+    return pf.base_distribution(cells, r.wave_labels(spark, path)).select(
         "study_id", "base_distribution")
 
 
@@ -771,7 +771,7 @@ def a9_parse_text(spark: SparkSession, path: str) -> DataFrame:
         F.concat(F.lit("1: "), F.format_number(F.count_if(F.col("wave") == 1), 0), F.lit("; 5: "),
                  F.count_if(F.col("wave") == 5).cast("string")).alias("base_distribution")
     ).withColumn("variable", F.lit("wave"))
-    return pf.parse_distribution(old, r.wave_labels(spark)).select("study_id", "base_distribution")
+    return pf.parse_distribution(old, r.wave_labels(spark, path)).select("study_id", "base_distribution")
 
 
 @register("j6_identity", f"""

@@ -70,7 +70,7 @@ SELECT study_id, banner, response, CAST(count(*) AS BIGINT) AS n,
 FROM cells GROUP BY study_id, banner, response""")
 def e1_nested(spark: SparkSession, path: str) -> DataFrame:
     evaluation = r.evaluations(spark, path)
-    dimension = respondent_dimension(evaluation, ["wave", "status"], r.wave_labels(spark))
+    dimension = respondent_dimension(evaluation, ["wave", "status"], r.wave_labels(spark, path))
     table = m.frequency(r.priority_facts(evaluation), dimension)
     return table.select("study_id", "banner", "response", big("n"), big("base"))
 
@@ -87,7 +87,7 @@ FROM cells GROUP BY study_id, banner, response""")
 def e2_separate(spark: SparkSession, path: str) -> DataFrame:
     evaluation = r.evaluations(spark, path)
     dimension = respondent_dimension(
-        evaluation, ["wave", "status"], r.wave_labels(spark), "separate"
+        evaluation, ["wave", "status"], r.wave_labels(spark, path), "separate"
     )
     table = m.frequency(r.priority_facts(evaluation), dimension)
     return table.select("study_id", "banner", "response", big("n"), big("base"))
@@ -108,7 +108,7 @@ def o2_banner_order(spark: SparkSession, path: str) -> DataFrame:
     from tabuloom.operators.breakdown import explode_cells
     evaluation = r.evaluations(spark, path)
     dimension = respondent_dimension(
-        evaluation, ["wave", "status"], r.wave_labels(spark), "separate"
+        evaluation, ["wave", "status"], r.wave_labels(spark, path), "separate"
     )
     order = banner_order(explode_cells(dimension), ["study_id"])
     return order.select("study_id", "banner", big("banner_pos"))

@@ -199,7 +199,7 @@ def rm_mentions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     wide = event_wide(spark, path)
     names = [v[0] for v in RM_VARIABLES]
     cells = s.unpivot_cells(wide, ["study_id", "respondent_id"], names)
-    studies = spark.createDataFrame([("arm0",), ("arm1",), ("arm2",)], "study_id string")
+    studies = wide.select("study_id").distinct()
     return cells, rm_codebook(studies), rm_labels(studies)
 
 

@@ -66,15 +66,17 @@ evaluations AS (
   FROM orders JOIN customers ON o_custkey = person_id)"""
 
 
-def wave_labels(spark: SparkSession) -> DataFrame:
+def studies(spark: SparkSession, path: str) -> DataFrame:
+    """The studies are the regions."""
+    return table(spark, path, "region").select(F.col("r_name").alias("study_id"))
+
+
+def wave_labels(spark: SparkSession, path: str) -> DataFrame:
     """Value labels of the wave; the second label of code 1 must lose."""
-    rows = []
-    for study in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"):
-        rows += [(study, "wave", "0", "Inicial", 1), (study, "wave", "1", "Media", 2),
-                 (study, "wave", "1.0", "Otra", 3), (study, "wave", "2", "2", 4)]
-    return spark.createDataFrame(
-        rows, "study_id string, variable string, code string, label string, ord int"
-    )
+    labels = (("0", "Inicial"), ("1", "Media"), ("1.0", "Otra"), ("2", "2"))
+    return studies(spark, path).select("study_id", F.lit("wave").alias("variable"), F.inline(F.array(*[
+        F.struct(F.lit(code).alias("code"), F.lit(label).alias("label"), F.lit(i).alias("ord"))
+        for i, (code, label) in enumerate(labels, 1)])))
 
 
 def priority_facts(evaluation: DataFrame) -> DataFrame:
