@@ -34,7 +34,8 @@ AGREE = 0.115
 RECALL = 0.97
 #: Bits of the filters of item runs and item keys, 2 MB each however large the benchmark is.
 FILTER_BITS = 1 << 24
-BLOCK_BYTES = 8 << 20
+#: Bytes of texts searched at a time; the arrays for them take some sixty times as much.
+BLOCK_BYTES = 1_000_000
 HISTORY = 1 << 22
 PAD = np.uint64(0)
 
