@@ -143,6 +143,11 @@ def _probes(hashed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed & mask, (hashed >> np.uint64(32)) & mask
 
 
+def filter_bits(n: int) -> int:
+    """Bits for a filter of n hashes, so that at most 1 % of others pass its two probes; at most 2^32."""
+    return 1 << min(32, max(16, ceil(log(20 * max(n, 1), 2))))
+
+
 def _filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A Bloom filter of a fixed number of bits; it comes to the driver as at most bits / 64 rows."""
     mask = bits - 1
