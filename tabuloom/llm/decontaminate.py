@@ -4,8 +4,10 @@ Texts and benchmark items are sequences of words in lower case without punctuati
 in a text where its word edit distance to a passage is at most (1 - similarity) of its words. Windows of
 an item's size are mapped to Hamming space by random walks (the CGK embedding: repeat a symbol or step to
 the next as a random function of symbol and step says); a few sampled positions of a walk are a key, and
-repeated walks give enough keys to reach the target recall. Keys of windows and items are joined; every
-candidate is verified by exact edit distance.
+repeated walks give enough keys to reach the target recall. The share of walks that agree falls with an
+item's length, so items of more than WALKED words are cut into one piece more than they may have edits:
+one piece is in the text unchanged, and the first words of pieces are the keys, which loses nothing. Keys
+of texts and items are joined; every candidate is verified by exact edit distance.
 
 Windows are only taken where enough runs of a few words occur in some item: with so few edits an item
 must keep that many runs unbroken, so this leaves out no window that could be verified.
@@ -28,10 +30,13 @@ from tabuloom.llm.common import cut
 
 SIMILARITY = 0.8
 #: Positions sampled of a walk, and the part of walks of a passage and its item, at the least similarity,
-#: whose samples agree (measured by simulation on passages of 60 words); walks follow from the recall.
+#: whose samples agree (measured by simulation on items of 30 words); walks follow from the recall.
 SAMPLED = 3
-AGREE = 0.115
+AGREE = 0.085
 RECALL = 0.97
+#: Most words of an item that is found by walks, and most words of a longer item's key.
+WALKED = 30
+PIECE = 4
 #: Bits of the filters of item runs and item keys, 2 MB each however large the benchmark is.
 FILTER_BITS = 1 << 24
 #: Bytes of texts searched at a time; the arrays for them take some sixty times as much.
@@ -73,6 +78,17 @@ def runs(words: np.ndarray, q: int) -> np.ndarray:
     return found
 
 
+def piece_length(n: int, similarity: float) -> int:
+    """Words of a key of an item of n words: one of its pieces, one more than edits, is unchanged."""
+    return int(min(PIECE, max(1, n // (int(edits(n, similarity)) + 1))))
+
+
+def piece_keys(words: np.ndarray, n: int, similarity: float) -> np.ndarray:
+    """The keys of an item of n words."""
+    number = int(edits(n, similarity)) + 1
+    return hashing.pairs(runs(words, piece_length(n, similarity))[np.arange(number) * (n // number)], np.full(number, n, dtype=np.uint64))
+
+
 class Walks:
     """The random walks; the same on every machine."""
 
@@ -118,7 +134,7 @@ def normal_words(text: str) -> np.ndarray:
     return hashing.words(np.frombuffer(text.lower().encode(), dtype=np.uint8), IS_WORD)[0]
 
 
-def prepared(items: DataFrame, key: str, text: str, walk: Walks) -> DataFrame:
+def prepared(items: DataFrame, key: str, text: str, walk: Walks, similarity: float) -> DataFrame:
     """(item, passage, n, words, runs, keys) per item that has words; passage is a hash of the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +144,7 @@ def prepared(items: DataFrame, key: str, text: str, walk: Walks) -> DataFrame:
                 if len(words):
                     n = np.array([len(words)])
                     found = runs(words, int(run_length(n)[0]))
-                    keys = walk.keys(words, np.array([0]), n, n)[0]
+                    keys = walk.keys(words, np.array([0]), n, n)[0] if len(words) <= WALKED else piece_keys(words, len(words), similarity)
                     rows.append((name, xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63), len(words), words.tobytes(), np.unique(found).view(np.int64).tolist(), np.unique(keys).view(np.int64).tolist()))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [batch.schema.types[0], pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -180,6 +196,8 @@ class Finder:
         edges = np.searchsorted(at, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
         text_of = np.repeat(np.arange(len(texts)), np.diff(edges))
         start, n = self._candidates(words, text_of, edges)
+        yield from self._regions(words, text_of, edges, start[n > WALKED], n[n > WALKED])
+        start, n = start[n <= WALKED], n[n <= WALKED]
         if not len(start):
             return
         end = edges[text_of[start] + 1]
@@ -194,6 +212,20 @@ class Finder:
             low, high = max(edges[text_of[start[i]]], start[i] - slack[i]), min(end[i], start[i] + n[i] + slack[i])
             yield int(text_of[start[i]]), keys[own][hit[own]].view(np.int64).tolist(), words[low:high].tobytes()
 
+    def _regions(self, words: np.ndarray, text_of: np.ndarray, edges: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, list[int], bytes]]:
+        """As `windows`, for long items: windows of a size that overlap are one region, which holds all that they may be part of."""
+        for size in np.unique(n).tolist():
+            own, most, width = np.sort(start[n == size]), int(edits(size, self.similarity)), piece_length(size, self.similarity)
+            fresh = np.append(True, (np.diff(own) > size) | (np.diff(text_of[own]) > 0))
+            # Before the first run that is left, an edit takes up as many words as a run has, at most.
+            lows = np.maximum(own[fresh] - most * int(run_length(size)), edges[text_of[own[fresh]]])
+            highs = np.minimum(own[np.append(np.flatnonzero(fresh)[1:], len(own)) - 1] + size + most, edges[text_of[own[fresh]] + 1])
+            for low, high in zip(lows.tolist(), highs.tolist()):
+                keys = np.unique(hashing.pairs(runs(words[low:high], width), np.full(max(0, high - low - width + 1), size, dtype=np.uint64)))
+                keys = keys[_in(keys, self.key_bits)]
+                if len(keys):
+                    yield int(text_of[low]), keys.view(np.int64).tolist(), words[low:high].tobytes()
+
     def _candidates(self, words: np.ndarray, text_of: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and sizes of the windows that hold enough runs; a window starts at or two words before the first of joined runs."""
         starts, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -214,7 +246,9 @@ class Finder:
             for n in own:
                 stop = np.minimum(begin + n, end)
                 inside = total[np.maximum(stop - q + 1, begin)] - total[begin]
-                good = (inside >= least_runs(n, self.similarity)) & (stop - begin >= n - edits(n, self.similarity))
+                good = inside >= least_runs(n, self.similarity)
+                if n <= WALKED:
+                    good &= stop - begin >= n - edits(n, self.similarity)
                 starts.append(begin[good])
                 sizes.append(np.full(int(good.sum()), n))
         return np.concatenate(starts), np.concatenate(sizes)
@@ -268,7 +302,7 @@ def found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
     """(k, row, item, distance, n_words) for every item found in a row of `docs`."""
     walk = Walks(walks(recall))
     kind = docs.schema[key].dataType
-    listed = cut(prepared(items, item_key, item_text, walk))
+    listed = cut(prepared(items, item_key, item_text, walk, similarity))
     bounds = listed.agg(F.collect_set("n"), F.max(F.octet_length("words"))).first()
     longest = items.agg(F.max(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0
     overlap = 2 * longest + 4096
