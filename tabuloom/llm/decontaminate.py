@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tabuloom.llm import hashing
 from tabuloom.llm.bpe import _arrow
-from tabuloom.llm.common import cut
+from tabuloom.llm.common import cut, parts
 
 SIMILARITY = 0.8
 #: Positions sampled of a walk, and the part of walks of a passage and its item, at the least similarity,
@@ -37,8 +37,10 @@ RECALL = 0.97
 #: Most words of an item that is found by walks, and most words of a longer item's key.
 WALKED = 30
 PIECE = 4
-#: Bits of the filters of item runs and item keys, 2 MB each however large the benchmark is.
-FILTER_BITS = 1 << 24
+#: Most bits of a filter (128 MB), enough for 50 million hashes; how many one has follows from their number.
+FILTER_BITS = 1 << 30
+#: Words of 64 bits that come to the driver in a row.
+FILTER_ROW = 1 << 14
 #: Bytes of texts searched at a time; the arrays for them take some sixty times as much.
 BLOCK_BYTES = 1_000_000
 HISTORY = 1 << 22
@@ -160,19 +162,30 @@ def _probes(hashed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def filter_bits(n: int) -> int:
-    """Bits for a filter of n hashes, so that at most 1 % of others pass its two probes; at most 2^32."""
-    return 1 << min(32, max(16, ceil(log(20 * max(n, 1), 2))))
+    """Bits for a filter of n hashes, of which at most a tenth is set: 1 % of others pass its two probes."""
+    return min(FILTER_BITS, 1 << max(16, ceil(log(20 * max(n, 1), 2))))
 
 
 def _filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A Bloom filter of a fixed number of bits; it comes to the driver as at most bits / 64 rows."""
-    mask = bits - 1
+    """A Bloom filter of so many bits; it comes to the driver in pieces of 128 KB."""
+    mask, size = bits - 1, min(FILTER_ROW, bits // 64)
     h = F.col(column)
     at = hashes.select(F.explode(F.array(h.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(mask)))).alias("at"))
-    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).collect()
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
+    words = words.withColumn("piece", F.expr(f"word div {size}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, b, piece = (batch.column(i).to_numpy() for i in range(3))
+            for p in np.unique(piece).tolist():
+                own = piece == p
+                pieces.setdefault(p, np.zeros(size, dtype=np.int64))[word[own] - p * size] = b[own]
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], ["piece", "b"])
+
     found = np.zeros(bits // 64, dtype=np.uint64)
-    if rows:
-        found[np.array([r[0] for r in rows])] = np.array([r[1] for r in rows], dtype=np.int64).view(np.uint64)
+    for p, b in words.repartition(parts(hashes.sparkSession), "piece").mapInArrow(run, "piece long, b binary").collect():
+        found[p * size:(p + 1) * size] = np.frombuffer(b, dtype=np.uint64)
     return found
 
 
@@ -227,7 +240,7 @@ class Finder:
                     yield int(text_of[low]), keys.view(np.int64).tolist(), words[low:high].tobytes()
 
     def _candidates(self, words: np.ndarray, text_of: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and sizes of the windows that hold enough runs; a window starts at or two words before the first of joined runs."""
+        """Starts and sizes of the windows that hold enough runs; a window starts at any run and two words before it."""
         starts, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         length = run_length(self.sizes)
         for q in np.unique(length):
@@ -239,7 +252,7 @@ class Finder:
             total = np.zeros(len(words) + 1, dtype=np.int64)
             np.cumsum(hit, out=total[1:len(hit) + 1])
             total[len(hit) + 1:] = total[len(hit)]
-            first = np.flatnonzero(hit & ~np.append(False, hit[:-1]))
+            first = np.flatnonzero(hit)
             low = edges[text_of[first]]
             begin = np.unique(np.concatenate([first, np.maximum(first - 2, low)]))
             end = edges[text_of[begin] + 1] if len(begin) else begin
@@ -307,9 +320,8 @@ def found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
     longest = items.agg(F.max(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0
     overlap = 2 * longest + 4096
     context = docs.sparkSession.sparkContext
-    finder = context.broadcast(Finder(
-        sorted(bounds[0]), walk, _filter(listed.select(F.explode("runs").alias("h")), "h", FILTER_BITS),
-        _filter(listed.select(F.explode("keys").alias("h")), "h", FILTER_BITS), similarity))
+    hashes = [listed.select(F.explode(x).alias("h")).distinct() for x in ("runs", "keys")]
+    finder = context.broadcast(Finder(sorted(bounds[0]), walk, *(_filter(h, "h", filter_bits(h.count())) for h in hashes), similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder.value

@@ -38,3 +38,35 @@ def test_recall_of_walks(n):
         start = np.arange(3)
         found += bool(set(own.ravel().tolist()) & set(walk.keys(words, start, np.full(3, n), np.full(3, n)).ravel().tolist()))
     assert found >= 0.96 * 300
+
+
+def test_items_inside_others(frame):
+    rng = random.Random(8)
+    items = []
+    for i in range(40):
+        words = [f"v{rng.randrange(3000)}" for _ in range(120)]
+        inner = rng.choice([15, 20, 25, 30, 50])
+        at = rng.randrange(20, 60)
+        items += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words[at:at + inner])), (10 * i + 2, " ".join(words[at + inner // 2:at + inner // 2 + 28]))]
+    rows = [(i, "t1 t2 " + text + " t3 t4") for i, text in items if i % 10 == 0]
+    docs = frame("doc_id long, text string", rows)
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, frame("item_id long, text string", items)).collect()}
+    assert got == {(i - i % 10, i): 0 for i, _ in items}
+
+
+def test_filter_grows_with_what_it_holds(spark):
+    assert decontaminate.filter_bits(35) == 1 << 16 and decontaminate.filter_bits(35_000_000) == 1 << 30
+    hashes = spark.range(2_000_000).selectExpr("xxhash64(id) AS h")
+    bits = decontaminate._filter(hashes, "h", decontaminate.filter_bits(2_000_000))
+    held = np.array([r.h for r in hashes.limit(1000).collect()], dtype=np.int64).view(np.uint64)
+    others = np.random.default_rng(1).integers(0, 1 << 64, 100_000, dtype=np.uint64)
+    assert decontaminate._in(held, bits).all() and decontaminate._in(others, bits).mean() < 0.015
+
+
+def test_items_among_many(frame):
+    rng = random.Random(9)
+    items = item_rows(rng, [20, 28], 3000)
+    rows = [(i, " ".join(f"t{rng.randrange(3000)}" for _ in range(40)) + " " + text) for i, text in rng.sample(items, 200)]
+    docs = frame("doc_id long, text string", rows)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, frame("item_id long, text string", items)).collect()}
+    assert got == {(i, i) for i, _ in rows}
