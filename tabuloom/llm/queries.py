@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, metric_join, quality, quotes, simhash, url_filter, warc
+from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, merkle, metric_join, quality, quotes, simhash, url_filter, warc
 from tabuloom.llm.common import table
 
 #: host, path, action
@@ -76,6 +76,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, root and proof of every document, and what it folds to without line ends in half of the texts."""
+    tampered = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proven = merkle.prove(table(spark, sf_dir, "documents"), changed={"text": tampered})
+    return proven.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +94,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {}
@@ -170,3 +178,52 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND page_id > origin THEN origin END AS refers_to
 FROM p
 """
+
+SQL["op13_merkle"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT *, doc_id IS NOT NULL AND xor(4294967295, list_reduce(
+    [4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+    lambda c, d: list_reduce([xor(c, d)] || range(8), lambda v, i: xor(v >> 1, (v & 1) * 3988292384)))) % 2 = 0 AS tampered
+  FROM documents),
+f AS (
+  SELECT doc_id, source, tampered, text, concat(
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS front,
+    CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM crc),
+h AS (
+  SELECT doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(front || coalesce(strlen(changed) || ':' || changed, '-')) AS now FROM f),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, now) - 1 AS place,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n FROM h),
+built AS (
+  SELECT tree, 0 AS level, place AS pos, leaf AS node, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3)
+  FROM built WHERE n > 1 GROUP BY tree, level, pos // 3),
+subroots AS (SELECT tree, node, count(*) OVER () AS n FROM built WHERE n = 1),
+top AS (
+  SELECT -1 AS tree, 0 AS level, tree AS pos, node, n FROM subroots
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3)
+  FROM top WHERE n > 1 GROUP BY tree, level, pos // 3),
+runs AS (
+  SELECT tree, level, pos // 3 AS run, list(node ORDER BY pos) AS c FROM (SELECT * FROM built UNION ALL SELECT * FROM top)
+  WHERE n > 1 GROUP BY ALL),
+inside AS (
+  SELECT tree AS origin, place, tree, 0 AS level, place AS pos, now, '' AS proof FROM leaves
+  UNION ALL
+  SELECT origin, place, r.tree, i.level + 1, pos // 3, sha256(array_to_string(c[1:pos % 3] || [now] || c[pos % 3 + 2:], '')),
+         proof || array_to_string(c[1:pos % 3] || c[pos % 3 + 2:], '')
+  FROM inside i JOIN runs r ON r.tree = i.tree AND r.level = i.level AND r.run = i.pos // 3),
+outside AS (
+  SELECT origin, place, -1 AS tree, 0 AS level, origin AS pos, now, proof FROM inside QUALIFY row_number() OVER (PARTITION BY origin, place ORDER BY level DESC) = 1
+  UNION ALL
+  SELECT origin, place, r.tree, i.level + 1, pos // 3, sha256(array_to_string(c[1:pos % 3] || [now] || c[pos % 3 + 2:], '')),
+         proof || array_to_string(c[1:pos % 3] || c[pos % 3 + 2:], '')
+  FROM outside i JOIN runs r ON r.tree = i.tree AND r.level = i.level AND r.run = i.pos // 3),
+ends AS (SELECT * FROM outside QUALIFY row_number() OVER (PARTITION BY origin, place ORDER BY level DESC) = 1)
+SELECT doc_id, leaf, s.node AS subroot, root, sha256(proof) AS proof_sha256, e.now AS folded_root, e.now = root AS verified
+FROM leaves l JOIN ends e ON e.origin = l.tree AND e.place = l.place JOIN subroots s ON s.tree = l.tree CROSS JOIN (SELECT node AS root FROM top WHERE n = 1)
+"""
