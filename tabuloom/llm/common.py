@@ -20,7 +20,7 @@ def cut(frame: DataFrame) -> DataFrame:
     """The same rows read back from the cluster's shared checkpoint folder, without their lineage.
 
     The folder is the one `spark.checkpoint.dir` names; a temporary one is taken only where none is
-    set, as in a local test.
+    set and the executors are threads of this process, as in a local test.
     """
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
@@ -33,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tabuloom-checkpoint-"))
     return context.getCheckpointDir()
 
