@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, merkle, metric_join, quality, quotes, simhash, url_filter, warc
+from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, merkle, metric_join, quality, quotes, simhash, url_filter, warc, whitening
 from tabuloom.llm.common import table
 
 #: host, path, action
@@ -76,6 +76,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 leading components of the distinct vectors, whitened."""
+    vectors = table(spark, sf_dir, "embeddings")
+    white = whitening.whiten(vectors, whitening.fit(vectors))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, root and proof of every document, and what it folds to without line ends in half of the texts."""
     tampered = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op12_whitening": op12_whitening,
     "op13_merkle": op13_merkle,
 }
 
