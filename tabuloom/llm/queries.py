@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabuloom.llm import bpe, decontaminate, language_model, line_dedup, merkle, metric_join, quality, quotes, simhash, url_filter, warc, whitening
+from tabuloom.llm import bpe, decontaminate, fingerprint, language_model, line_dedup, merkle, metric_join, quality, quotes, simhash, url_filter, warc, whitening
 from tabuloom.llm.common import table
 
 #: host, path, action
@@ -76,6 +76,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the 16 leading components of the distinct vectors, whitened."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op11_fingerprint": op11_fingerprint,
     "op12_whitening": op12_whitening,
     "op13_merkle": op13_merkle,
 }
@@ -235,3 +241,44 @@ ends AS (SELECT * FROM outside QUALIFY row_number() OVER (PARTITION BY origin, p
 SELECT doc_id, leaf, s.node AS subroot, root, sha256(proof) AS proof_sha256, e.now AS folded_root, e.now = root AS verified
 FROM leaves l JOIN ends e ON e.origin = l.tree AND e.place = l.place JOIN subroots s ON s.tree = l.tree CROSS JOIN (SELECT node AS root FROM top WHERE n = 1)
 """
+
+SQL["op11_fingerprint"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r FROM documents),
+x AS (
+  SELECT d.*, d.t[1:n - n // 2] || e.t[1:n // 2] AS edited
+  FROM d JOIN (SELECT r AS r2, t FROM d) e ON e.r2 = CASE WHEN d.r = (SELECT max(r) FROM d) THEN 1 ELSE d.r + 1 END),
+v AS (SELECT r, 0 AS e, t AS s FROM x UNION ALL SELECT r, 1, edited FROM x),
+p AS (SELECT r, e, unnest(string_split(s, chr(10))) AS q FROM v),
+u AS (SELECT r, e, true AS whole, q FROM p UNION ALL SELECT r, e, false, unnest(regexp_extract_all(q, '[^.!? ][^.!?]{0,59}')) FROM p),
+w AS (SELECT r, e, whole, unnest(range(4)) AS k, unnest([('0x' || substr(sha256(q), 15 * i + 1, 15))::BIGINT for i in range(4)]) AS w FROM u),
+h AS (
+  SELECT r, e, k, sum(w & 1073741823) % 1073741824 AS lo, sum(w >> 30) % 1073741824 AS hi, count(*) AS n
+  FROM w WHERE whole GROUP BY ALL),
+b AS (
+  SELECT r, e, k, i, sum((w >> i) & 1)::BIGINT AS ones, count(*) AS n
+  FROM w, (SELECT unnest(range(60)) AS i) WHERE NOT whole GROUP BY ALL),
+l AS (
+  SELECT r, e, k, i, n, ones % 32768 AS lane, CASE WHEN c >= 16384 THEN c - 32768 ELSE c END AS c
+  FROM (SELECT *, ((2 * ones - n) % 32768 + 32768) % 32768 AS c FROM b)),
+m AS (SELECT r, e, k, i % 15 AS j, any_value(n) AS n, sum(lane << (15 * (i // 15)))::BIGINT AS x FROM l GROUP BY ALL),
+head AS (
+  SELECT r, e, format('{:015x}', any_value(n)) || string_agg(format('{:015x}', (lo + (hi * 1073741824))::BIGINT), '' ORDER BY k) AS s FROM h GROUP BY ALL),
+tail AS (SELECT r, e, format('{:015x}', any_value(n)) || string_agg(format('{:015x}', x), '' ORDER BY k, j) AS s FROM m GROUP BY ALL),
+f AS (SELECT h.r, h.e, h.s || coalesce(t.s, repeat('0', 15 * 61)) AS s FROM head h LEFT JOIN tail t ON t.r = h.r AND t.e = h.e),
+norm AS (SELECT r, e, sum(c * c) AS cc FROM l GROUP BY ALL),
+edge AS (
+  SELECT a.r, a.s, b.s AS se, c.s AS sn, coalesce(na.cc, 0) AS aa, coalesce(nb.cc, 0) AS bb, coalesce(nc.cc, 0) AS nn, c.r AS nr
+  FROM f a JOIN f b ON b.r = a.r AND b.e = 1 JOIN f c ON c.e = 0 AND c.r = CASE WHEN a.r = (SELECT max(r) FROM d) THEN 1 ELSE a.r + 1 END
+  LEFT JOIN norm na ON na.r = a.r AND na.e = 0 LEFT JOIN norm nb ON nb.r = a.r AND nb.e = 1 LEFT JOIN norm nc ON nc.r = c.r AND nc.e = 0
+  WHERE a.e = 0),
+near AS (
+  SELECT a.r, sum(a.c * b.c) AS ab FROM l a JOIN l b ON b.r = a.r AND b.e = 1 AND b.k = a.k AND b.i = a.i WHERE a.e = 0 GROUP BY ALL),
+next AS (
+  SELECT g.r, sum(a.c * b.c) AS an FROM edge g JOIN l a ON a.r = g.r AND a.e = 0 JOIN l b ON b.r = g.nr AND b.e = 0 AND b.k = a.k AND b.i = a.i GROUP BY ALL)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, g.s AS fingerprint, g.se AS edited_fingerprint,
+       CASE WHEN g.s = g.se THEN 1.0 WHEN aa + bb > 0 THEN least(greatest((2 * coalesce(ab, 0))::DOUBLE / (aa + bb)::DOUBLE, 0), 1) ELSE 0 END::DOUBLE AS near_edited,
+       CASE WHEN g.s = g.sn THEN 1.0 WHEN aa + nn > 0 THEN least(greatest((2 * coalesce(an, 0))::DOUBLE / (aa + nn)::DOUBLE, 0), 1) ELSE 0 END::DOUBLE AS near_next
+FROM x JOIN edge g ON g.r = x.r LEFT JOIN near ON near.r = x.r LEFT JOIN next ON next.r = x.r
+"""
