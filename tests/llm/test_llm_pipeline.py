@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from tabuloom.llm import decontaminate, quality, simhash
+from tabuloom.llm import decontaminate, quality
 from tabuloom.llm.common import table
 from tabuloom.llm.queries import remainder
+from test_llm_minhash import plain_components
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,13 +48,7 @@ def test_pipeline(spark, tmp_path):
     model = quality.fit(table(spark, DATA, "documents"), table(spark, DATA, "labels"), learned=remainder("doc_id", 3) != 1)
     assert set(good) == {i for i, r in start.items() if model.scores([(r.text or "").encode()])[0] >= 0.5}
     assert {i: r.text for i, r in lines.items()} == plain_lines({i: r.text for i, r in good.items()})
-    prints = {i: simhash.fingerprint(r.text.encode()) for i, r in lines.items()}
-    group = {i: i for i in prints}
-    for i in sorted(prints):
-        for j in sorted(prints):
-            if j < i and (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
-                old, new = max(group[i], group[j]), min(group[i], group[j])
-                group = {k: new if g == old else g for k, g in group.items()}
+    group = plain_components([(i, r.text) for i, r in lines.items()])
     assert set(first) == set(group.values())
     leaks = {i for i, r in first.items() if any(decontaminate.edit_distance(w, decontaminate.normal_words(r.text).tolist()) <= int(len(w) * 0.2 + 1e-9) for _, w in items)}
     assert set(clean) == set(first) - leaks and leaks
@@ -70,7 +65,7 @@ def test_empty_documents(spark):
         assert stage(spark, docs, DATA).count() == 0
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_every_operator_has_a_query(number):
     assert len([q for q in driver.queries() if q.startswith(f"op{number}_")]) == 1
     assert "pipeline" in driver.queries()
