@@ -435,6 +435,131 @@ SELECT study_id, 'selected_n' AS measure, CAST(selected_n AS DOUBLE) AS left_cou
 SELECT study_id, 'not_selected_n', CAST(not_selected_n AS DOUBLE), CAST(n2 AS DOUBLE) FROM l""")
 def j8_ledger_diff(spark: SparkSession, path: str) -> DataFrame:
     evaluation = r.evaluations(spark, path)
-    full = st.denominator_ledger(structure_records(spark, path, evaluation))
-    part = st.denominator_ledger(structure_records(spark, path, evaluation.filter("status = 'F'")))
-    return q.differing_counts(full, part, ["study_id"], ["selected_n", "not_selected_n"])
+    slices = evaluation.select("study_id", "respondent_id", F.explode(F.array_compact(F.array(
+        F.lit("all"), F.when(F.col("status") == "F", "filled")))).alias("slice_id"))
+    ledgers = st.slice_ledgers(structure_records(spark, path, evaluation), slices)
+    return q.differing_slices(ledgers, "all", "filled", ["study_id"], ["selected_n", "not_selected_n"])
+
+
+# Three more kinds: P, one choice with categories 1 to 3, a missing code 5, an undeclared code 4 and
+# blanks that count as not answered; N, a number for each return flag, where two lines are no number;
+# L, options in loops that belong to two entities.
+KINDS_SQL = f"""{r.EVALUATIONS_SQL},
+flags AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
+marks AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS n_lines FROM lineitem GROUP BY 1, 2, 3),
+loops(loop_id, entity_id) AS (VALUES ('A', 'E1'), ('N', 'E1'), ('R', 'E2')),
+kinds AS (
+  SELECT study_id, respondent_id, 'P' AS structure_id, NULL AS loop_id, NULL AS entity_id, NULL AS option_id, true AS applicable,
+    CASE WHEN respondent_id % 7 = 0 THEN 'not_answered' ELSE CASE left(o_orderpriority, 1)
+      WHEN '5' THEN 'ordinary_missing' WHEN '4' THEN 'invalid_out_of_domain' ELSE 'valid_category' END END AS response_state,
+    CASE WHEN respondent_id % 7 <> 0 AND left(o_orderpriority, 1) < '4' THEN 'c' || left(o_orderpriority, 1) END AS category_id
+  FROM evaluations
+  UNION ALL
+  SELECT study_id, respondent_id, 'N', loop_id, NULL, NULL, NOT (respondent_id % 11 = 0 AND loop_id = 'R'),
+    CASE WHEN respondent_id % 11 = 0 AND loop_id = 'R' THEN 'structural_missing' WHEN n IS NULL THEN 'ordinary_missing'
+         WHEN n = 2 THEN 'invalid_out_of_domain' ELSE 'answered' END, NULL
+  FROM evaluations CROSS JOIN loops LEFT JOIN flags ON l_orderkey = respondent_id AND l_returnflag = loop_id
+  UNION ALL
+  SELECT study_id, respondent_id, 'L', loop_id, entity_id, option, true,
+    CASE WHEN n_lines = 1 THEN 'selected' WHEN n_lines = 2 THEN 'not_selected' WHEN n_lines > 2 THEN 'invalid_out_of_domain'
+         ELSE 'ordinary_missing' END, NULL
+  FROM evaluations CROSS JOIN loops CROSS JOIN (VALUES ('F'), ('O')) o(option)
+  LEFT JOIN marks ON l_orderkey = respondent_id AND l_returnflag = loop_id AND l_linestatus = option)"""
+
+ENTITIES = {"A": "E1", "N": "E1", "R": "E2"}
+
+
+def kind_records(spark: SparkSession, path: str) -> DataFrame:
+    evaluation = r.evaluations(spark, path)
+    lines = r.table(spark, path, "lineitem").groupBy(
+        F.col("l_orderkey").alias("respondent_id"), F.col("l_returnflag").alias("loop_id")).agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("l_linestatus") == o).alias(f"n_{o}") for o in "FO"])
+    loops = evaluation.select("study_id", "respondent_id", F.explode(F.array(*map(F.lit, "ANR"))).alias("loop_id"))
+    counted = loops.join(lines, ["respondent_id", "loop_id"], "left")
+    number = F.when(F.col("n") == 2, "two").otherwise(F.col("n").cast("string"))
+    mark = lambda n: F.when(n == 1, "1").when(n == 2, "0").when(n > 2, "7")
+    skipped = (F.col("respondent_id") % 11 == 0) & (F.col("loop_id") == "R")
+    cell = lambda variable, value, applies: F.struct(
+        variable.alias("variable"), value.alias("value"), applies.alias("applicable"))
+    looped = counted.select("study_id", "respondent_id", F.inline(F.array(
+        cell(F.concat(F.lit("N_"), "loop_id"), number, ~skipped),
+        *[cell(F.concat(F.lit("L_"), "loop_id", F.lit(f"_{o}")), mark(F.col(f"n_{o}")), F.lit(True)) for o in "FO"])))
+    priority = F.when(F.col("respondent_id") % 7 == 0, " ").otherwise(F.substring("o_orderpriority", 1, 1))
+    single = evaluation.select("study_id", "respondent_id", F.lit("P").alias("variable"),
+                               priority.alias("value"), F.lit(True).alias("applicable"))
+    none = F.lit(None).cast("string")
+
+    def binding(structure, kind, variable, option=None, loop=None, entity=None, unanswered=False):
+        text = lambda v: none if v is None else F.lit(v)
+        return F.struct(
+            F.lit(structure).alias("structure_id"), F.lit(kind).alias("structure_type"), F.lit(variable).alias("variable"),
+            F.lit(variable).alias("binding_id"), none.alias("row_id"), none.alias("column_id"), text(option).alias("option_id"),
+            text(loop).alias("loop_id"), text(entity).alias("entity_id"), F.lit(unanswered).alias("missing_is_unanswered"))
+
+    studies = r.studies(spark, path)
+    bindings = studies.select("study_id", F.inline(F.array(
+        binding("P", "RU", "P", unanswered=True),
+        *[binding("N", "LOOP_NUMERICO", f"N_{a}", loop=a) for a in "ANR"],
+        *[binding("L", "LOOP_RM", f"L_{a}_{o}", o, a, ENTITIES[a]) for a in "ANR" for o in "FO"])))
+    rules = studies.select("study_id", F.inline(F.array(*[
+        F.struct(F.lit(structure).alias("structure_id"), F.lit(code).alias("code"), F.lit(role).alias("role"),
+                 F.lit(category).cast("string").alias("category_id"), F.lit(i).alias("ord"))
+        for i, (structure, code, role, category) in enumerate((
+            ("P", "1", "category", "c1"), ("P", "2", "category", "c2"), ("P", "3", "category", "c3"),
+            ("P", "5", "missing", None), ("L", "1", "selected", None), ("L", "0", "not_selected", None)))])))
+    return st.response_records(typed_cells(single.unionByName(looped)), bindings, rules)
+
+
+@register("a11_kinds", f"""
+WITH {KINDS_SQL}
+SELECT study_id, structure_id, response_state, category_id, CAST(count(*) AS BIGINT) AS n FROM kinds GROUP BY ALL""")
+def a11_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """States of categories, numbers and options in loops."""
+    return kind_records(spark, path).groupBy(
+        "study_id", "structure_id", "response_state", "category_id").agg(F.count("*").alias("n"))
+
+
+@register("a12_units", f"""
+WITH {KINDS_SQL},
+c AS (
+  SELECT study_id, structure_id, count(DISTINCT respondent_id) FILTER (WHERE applicable) AS respondents,
+    count(*) FILTER (WHERE applicable) AS instances, count(*) FILTER (WHERE response_state IN ('selected', 'not_selected')) AS decided,
+    count(*) FILTER (WHERE response_state = 'selected') AS s, count(*) FILTER (WHERE response_state = 'not_selected') AS ns,
+    count(*) FILTER (WHERE response_state IN ('ordinary_missing', 'not_answered')) AS om,
+    count(*) FILTER (WHERE response_state = 'structural_missing') AS sm,
+    count(*) FILTER (WHERE response_state = 'invalid_out_of_domain') AS inv FROM kinds GROUP BY ALL),
+u AS (SELECT *, CASE structure_id WHEN 'P' THEN 'respondent' WHEN 'N' THEN 'instance' ELSE 'respondent_option' END AS unit,
+        CASE structure_id WHEN 'P' THEN respondents WHEN 'N' THEN instances ELSE decided END AS d FROM c)
+SELECT study_id, structure_id, unit, CAST(d AS BIGINT) AS denominator_n,
+  CAST(CASE WHEN structure_id = 'L' THEN d ELSE greatest(d - om - inv, 0) END AS BIGINT) AS valid_n,
+  CAST(s AS BIGINT) AS selected_n, CAST(ns AS BIGINT) AS not_selected_n, CAST(om AS BIGINT) AS ordinary_missing_n,
+  CAST(sm AS BIGINT) AS structural_missing_n, CAST(inv AS BIGINT) AS invalid_n, structure_id <> 'P' AS repeated_dependency
+FROM u""")
+def a12_units(spark: SparkSession, path: str) -> DataFrame:
+    """Ledgers that count respondents, instances and options."""
+    ledger = st.denominator_ledger(kind_records(spark, path))
+    return ledger.select("study_id", "structure_id", "unit", *[big(c) for c in (
+        "denominator_n", "valid_n", "selected_n", "not_selected_n", "ordinary_missing_n",
+        "structural_missing_n", "invalid_n")], "repeated_dependency")
+
+
+@register("a13_scopes", f"""
+WITH {r.EVENT_DAYS_SQL},
+k AS (SELECT study_id, respondent_id, code, 'd' || (day % 2) AS row_id, 'e' || (person_id % 2) AS entity_id,
+        'w' || ((day - 1) // 7) AS loop_id, count(*) AS n FROM event_days GROUP BY ALL),
+m AS (SELECT study_id, code AS option_key, n, unnest(['PARENT_RM', 'ROW', 'ENTITY', 'LOOP_INSTANCE']) AS scope,
+        unnest(['A', row_id, entity_id, loop_id]) AS scope_ref FROM k)
+SELECT study_id, scope, scope_ref, option_key, CAST(count(*) AS BIGINT) AS mentions, CAST(sum(n) AS BIGINT) AS mention_rows
+FROM m GROUP BY ALL""")
+def a13_scopes(spark: SparkSession, path: str) -> DataFrame:
+    """All scopes under both duplicate policies: an event repeated on a day counts once or every time."""
+    none = F.lit(None).cast("string")
+    text = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    records = r.event_days(spark, path).select(
+        "study_id", "respondent_id", F.lit("A").alias("structure_id"), F.lit("LOOP_RM").alias("structure_type"),
+        F.lit("selected").alias("response_state"), F.lit(True).alias("applicable"),
+        F.col("code").alias("option_id"), F.col("code").alias("binding_id"), none.alias("column_id"), none.alias("category_id"),
+        text("d", F.col("day") % 2).alias("row_id"), text("e", F.col("person_id") % 2).alias("entity_id"),
+        text("w", F.floor((F.col("day") - 1) / 7)).alias("loop_id"))
+    return st.mention_ledgers(records).select(
+        "study_id", "scope", "scope_ref", "option_key", big("mentions"), big("mention_rows"))

@@ -54,3 +54,32 @@ def position(frame: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
     """`frame` with `name`: the place of a row within its key, counted from 1; see `running_total`."""
     counted = running_total(frame, keys, order, F.lit(1), name, run_rows)
     return counted.withColumn(name, F.col(name).cast("int"))
+
+
+#: Bounds that are tried for the first rows, and the rows between two of them.
+FIRST_BOUNDS, FIRST_RUN = 16, 1024
+
+
+def first_rows(frame: DataFrame, order: Sequence[str], n: int, run_rows: int | None = None) -> DataFrame:
+    """The first `n` rows by `order` (ascending, nulls first), in order, the other columns breaking ties.
+
+    The smallest bounds are taken, rows are counted up to each, and only those below the first bound
+    that is enough are sorted: about `n` of them, not `n` of every task.  Where no bound is enough all
+    rows are.
+    """
+    names = ("_bounds", "_run", "_enough")
+    bounds, run, enough = (unused(frame.columns, c) for c in names)
+    place = F.struct(*[F.col(c) for c in order])
+    every = run_rows or max(n, FIRST_RUN)
+    smallest = frame.select(place.alias("at")).filter(
+        F.pmod(F.xxhash64("at"), F.lit(every)) == 0).distinct().orderBy("at").limit(FIRST_BOUNDS)
+    found = smallest.agg(F.sort_array(F.collect_list("at")).alias("bounds"))
+    cut = frame.withColumn(bounds, found.scalar()).withColumn(
+        run, F.size(F.filter(bounds, lambda b: b < place)))
+    counts = cut.groupBy(run).agg(F.count("*").alias("n"))
+    # At most one row per bound and one more.
+    so_far = counts.select(run, F.sum("n").over(Window.orderBy(run)).alias("so_far"))
+    last = so_far.agg(F.coalesce(F.min(F.when(F.col("so_far") >= n, F.col(run))), F.lit(FIRST_BOUNDS)))
+    rest = [c for c in frame.columns if c not in order]
+    first = cut.withColumn(enough, last.scalar()).filter(F.col(run) <= F.col(enough))
+    return first.orderBy(*order, *rest).limit(n).select(*frame.columns)

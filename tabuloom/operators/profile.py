@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabuloom.constants import COUNT_ENTRY, ID_NAMES, INVALID_TEXTS, MAX_FILTER_CATEGORIES, NO_DATA
 from tabuloom.functions.text import code_text, column_type, normalize_text, to_number
 from tabuloom.operators.breakdown import heading
 from tabuloom.operators.metrics import ratio
+from tabuloom.operators.ordering import position
 from tabuloom.operators.reshape import _labels
 
 KEYS = ("study_id", "variable")
@@ -172,10 +173,10 @@ def filter_choices(cells: DataFrame, labels: DataFrame, keys: Sequence[str] = KE
         _labels(labels), [*keys, "code"], "left")
     display = F.when(F.col("code") == "", NO_DATA).otherwise(
         heading(F.col("code"), F.trim(F.coalesce("label_text", F.lit("")))))
-    order = Window.partitionBy(*keys).orderBy(
-        F.col("value").isNull(), F.col("number").isNull(), "number", F.lower("value"), "value")
-    return distinct.select(*keys, "value", display.alias("display"),
-                           F.row_number().over(order).alias("choice_pos"))
+    order = [F.col("value").isNull(), F.col("number").isNull(), F.col("number"),
+             F.lower("value"), F.col("value"), F.col("display")]
+    shown = distinct.select(*keys, "value", "number", display.alias("display"))
+    return position(shown, keys, order, "choice_pos").drop("number")
 
 
 def looks_like_id(variable: Column) -> Column:

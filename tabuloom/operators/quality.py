@@ -243,3 +243,15 @@ def differing_counts(left: DataFrame, right: DataFrame, key: Sequence[str],
     joined = long(left, "left_count").join(
         long(right, "right_count"), [*key, "measure"], "full_outer")
     return joined.filter(~F.col("left_count").eqNullSafe(F.col("right_count")))
+
+
+def differing_slices(ledgers: DataFrame, left: str, right: str, key: Sequence[str],
+                     counts: Sequence[str]) -> DataFrame:
+    """Ledger counts that differ between two slices of one ledger table."""
+    items = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in counts]))
+    sides = ledgers.filter(F.col("slice_id").isin(left, right)).select(*key, "slice_id", items)
+    return sides.groupBy(*key, "measure").agg(
+        F.max(F.when(F.col("slice_id") == left, F.col("value"))).alias("left_count"),
+        F.max(F.when(F.col("slice_id") == right, F.col("value"))).alias("right_count"),
+    ).filter(~F.col("left_count").eqNullSafe(F.col("right_count")))

@@ -7,12 +7,12 @@ question, however many respondents there are.
 from __future__ import annotations
 
 from statistics import NormalDist
-from typing import Sequence
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabuloom.constants import MIN_CANONICAL_BASE, MIN_EXPECTED_COUNT, TOTAL
-from tabuloom.functions.pvalues import normal_two_sided, student_two_sided
+from tabuloom.functions.pvalues import normal_two_sided, student_critical, student_two_sided
 from tabuloom.operators.breakdown import banner_order
 from tabuloom.operators.metrics import KEYS, ratio, variance
 
@@ -64,22 +64,29 @@ def proportion_letters(
     Returns (keys, response, banner, letters).
     """
     critical = NormalDist().inv_cdf(1 - (1 - confidence) / 2)
+
+    def higher(a: Column, b: Column) -> Column:
+        z = pooled_z(a["x"], a["n"], b["x"], b["n"])
+        tested = (a["n"] >= min_base) & (b["n"] >= min_base)
+        return F.coalesce(tested & (F.abs(z) > critical) & (a["p"] > b["p"]), F.lit(False))
+
+    measures = {"x": F.col(count).cast("double"), "n": F.col(base).cast("double"), "p": F.col(share)}
+    return compared_columns(cells, measures, higher, keys, response)
+
+
+def compared_columns(cells: DataFrame, measures: Mapping[str, Column],
+                     higher: Callable[[Column, Column], Column], keys: Sequence[str],
+                     response: Sequence[str]) -> DataFrame:
+    """Letters of the columns of its block that `higher` puts a column above."""
     order = banner_order(cells, keys)
     columns = cells.join(order, [*keys, "banner", "banner_group"]).filter(
         F.col("banner") != TOTAL
     )
-    column = F.struct(
-        F.col("banner_pos").alias("pos"), "banner", F.col(count).cast("double").alias("x"),
-        F.col(base).cast("double").alias("n"), F.col(share).alias("p"),
-    )
+    column = F.struct(F.col("banner_pos").alias("pos"), "banner",
+                      *[value.alias(name) for name, value in measures.items()])
     blocks = columns.groupBy(*keys, *response, "banner_group").agg(
         F.array_sort(F.collect_list(column)).alias("columns"))
 
-    def higher(a: Column, b: Column) -> Column:
-        z = pooled_z(a["x"], a["n"], b["x"], b["n"])
-        tested = (a["n"] >= min_base) & (b["n"] >= min_base)
-        return F.coalesce(tested & (F.abs(z) > critical) & (a["p"] > b["p"]), F.lit(False))
-
     def marked(a: Column) -> Column:
         lower = F.filter("columns", lambda b: higher(a, b))
         letters = F.transform(lower, lambda b: column_letter(b["pos"]))
@@ -137,27 +144,27 @@ def welch_pairs(moments: DataFrame, confidence: float = 0.95, min_base: int = 30
 
 def mean_letters(moments: DataFrame, confidence: float = 0.95, min_base: int = 30,
                  keys: Sequence[str] = KEYS) -> DataFrame:
-    """Letters of the row 'Media' (Z2)."""
-    pairs = welch_pairs(moments, confidence, min_base, keys).filter(
-        F.col("significant") & (F.col("difference") != 0)
-    )
-    left_higher = F.col("difference") > 0
-    marks = pairs.select(
-        *keys, F.lit("Media").alias("response"),
-        F.when(left_higher, F.col("banner_l")).otherwise(F.col("banner_r")).alias("banner"),
-        F.when(left_higher, F.col("banner_pos_r")).otherwise(F.col("banner_pos_l")).alias("pos"),
-    )
-    return marks.groupBy(*keys, "response", "banner").agg(
-        letters_of(F.col("pos")).alias("letters")
-    )
+    """Letters of the row 'Media' (Z2), of the columns that have any.
 
+    As in Z1 the columns of a block meet in one array; Welch's t is compared
+    with Student's critical value, so neither pair rows nor Python are needed.
+    """
+    alpha = 1 - confidence
+
+    def higher(a: Column, b: Column) -> Column:
+        spread = a["v"] + b["v"]
+        t = (a["mean"] - b["mean"]) / F.sqrt(spread)
+        df = spread * spread / (a["v"] * a["v"] / (a["n"] - 1) + b["v"] * b["v"] / (b["n"] - 1))
+        tested = (a["n"] >= min_base) & (b["n"] >= min_base) & (a["mean"] > b["mean"])
+        beyond = F.when(spread > 0, t > student_critical(df, alpha)).otherwise(True)
+        return F.coalesce(F.when(tested & spread.isNotNull(), beyond), F.lit(False))
 
-def letters_of(position: Column) -> Column:
-    """Join letters in column order; text order would break after Z."""
-    sorted_letters = F.array_sort(F.collect_list(
-        F.struct(position.alias("pos"), column_letter(position).alias("letter"))
-    ))
-    return F.array_join(F.transform(sorted_letters, lambda s: s["letter"]), "")
+    n = F.col("rows").cast("double")
+    measures = {"n": n, "mean": ratio(F.col("s1"), F.col("rows")),
+                "v": ratio(variance(F.col("rows"), F.col("m2")), n)}
+    named = moments.withColumn("response", F.lit("Media"))
+    letters = compared_columns(named, measures, higher, keys, ("response",))
+    return letters.filter(F.col("letters") != "").select(*keys, "response", "banner", "letters")
 
 
 def box_letters(moments: DataFrame, box: str, confidence: float = 0.95, min_base: int = 30,
@@ -179,10 +186,8 @@ def combine_letters(tables: Sequence[DataFrame], keys: Sequence[str] = KEYS) ->
     for i, table in enumerate(tables):
         part = table.select(*columns).withColumn("priority", F.lit(i))
         stacked = part if stacked is None else stacked.unionByName(part)
-    best = Window.partitionBy(*keys, "response")
-    return stacked.withColumn("first", F.min("priority").over(best)).filter(
-        "priority = first"
-    ).select(*columns)
+    best = stacked.groupBy(*keys, "response").agg(F.min("priority").alias("priority"))
+    return stacked.join(best, [*keys, "response", "priority"]).select(*columns)
 
 
 def column_legend(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

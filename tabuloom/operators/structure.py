@@ -73,11 +73,15 @@ def option_key() -> Column:
 
 
 def _per_option(records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First reduction: one row per (respondent, row, entity, loop, option)."""
-    return records.groupBy(*keys, "structure_type", "respondent_id", *SCOPE_IDS,
-                           option_key().alias("option_key")).agg(
-        F.max(F.coalesce("option_id", "binding_id")).alias("respondent_option"),
-        F.max(F.coalesce("loop_id", "binding_id")).alias("instance"),
+    """First reduction: one row per (respondent, row, entity, loop, option).
+
+    Bindings of a numeric loop without iterations are instances of their own.
+    """
+    multi = F.col("structure_type").isin(*RM_TYPES, *CATEGORY_TYPES)
+    return records.groupBy(
+        *keys, "structure_type", "respondent_id", *SCOPE_IDS, option_key().alias("option_key"),
+        F.when(~multi & F.col("loop_id").isNull(), F.col("binding_id")).alias("instance"),
+    ).agg(
         F.count_if(F.col("applicable")).alias("n_applicable"),
         F.count_if(is_state("selected")).alias("n_selected"),
         F.count_if(is_state("not_selected")).alias("n_not_selected"),
@@ -87,32 +91,52 @@ def _per_option(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def denominator_ledger(records: DataFrame, duplicates: str = "error",
-                       keys: Sequence[str] = STRUCTURE) -> DataFrame:
-    """Unit, denominator and state counts per structure.
+COUNTS = ("n_selected", "n_not_selected", "n_missing", "n_structural", "n_invalid")
 
-    Multiple response counts explicit yes/no keys; categories count respondents;
-    numeric loops count (respondent, instance).
-    """
+
+def _people(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per respondent and structure, with whether it repeats a loop."""
     # From here on a respondent has at most one row per declared option key, so
     # one shuffle by respondent serves the two reductions that follow.
     options = _per_option(records, keys).repartition(*keys, "respondent_id")
     decided = (F.col("n_selected") + F.col("n_not_selected")) > 0
-    counts = ("n_selected", "n_not_selected", "n_missing", "n_structural", "n_invalid")
     person = [*keys, "structure_type", "respondent_id"]
-    instances = options.groupBy(*person, "instance").agg(
+    instances = options.groupBy(*person, "loop_id", "instance").agg(
         F.max((F.col("n_applicable") > 0).cast("int")).alias("applies"),
-        F.min(F.when(F.col("n_applicable") > 0, F.col("loop_id"))).alias("loop"),
         F.count_if(decided).alias("n_decided"),
         F.count_if(F.col("n_selected") > 0).alias("selected_keys"),
         F.count_if(F.col("n_not_selected") > 0).alias("not_selected_keys"),
-        *[F.sum(c).alias(c) for c in counts],
+        *[F.sum(c).alias(c) for c in COUNTS],
     )
-    people = instances.groupBy(*person).agg(
+    return instances.groupBy(*person).agg(
         F.max("applies").alias("applies"), F.sum("applies").alias("n_instances"),
-        F.coalesce(F.min("loop") != F.max("loop"), F.lit(False)).alias("repeats"),
-        *[F.sum(c).alias(c) for c in ("n_decided", "selected_keys", "not_selected_keys", *counts)],
+        (F.count_if((F.col("applies") > 0) & F.col("loop_id").isNotNull()) > 1).alias("repeats"),
+        *[F.sum(c).alias(c) for c in ("n_decided", "selected_keys", "not_selected_keys", *COUNTS)],
     )
+
+
+def denominator_ledger(records: DataFrame, duplicates: str = "error",
+                       keys: Sequence[str] = STRUCTURE) -> DataFrame:
+    """Unit, denominator and state counts per structure.
+
+    Multiple response counts explicit yes/no keys; categories count respondents;
+    numeric loops count (respondent, instance).
+    """
+    return _ledger(_people(records, keys), duplicates, keys)
+
+
+def slice_ledgers(records: DataFrame, slices: DataFrame, duplicates: str = "error",
+                  keys: Sequence[str] = STRUCTURE) -> DataFrame:
+    """`denominator_ledger` of every slice at once.
+
+    `slices` holds study_id, respondent_id and slice_id.  Records are read and
+    reduced once; a respondent's one row then counts in each of its slices.
+    """
+    members = _people(records, keys).join(slices, ["study_id", "respondent_id"])
+    return _ledger(members, duplicates, [*keys, "slice_id"])
+
+
+def _ledger(people: DataFrame, duplicates: str, keys: Sequence[str]) -> DataFrame:
     kind = F.col("structure_type")
     multi, category = kind.isin(*RM_TYPES), kind.isin(*CATEGORY_TYPES)
     sums = people.groupBy(*keys, "structure_type").agg(
@@ -120,7 +144,7 @@ def denominator_ledger(records: DataFrame, duplicates: str = "error",
         F.sum("n_decided").alias("decided"), F.bool_or("repeats").alias("repeated_dependency"),
         F.sum("selected_keys").alias("selected_keys"),
         F.sum("not_selected_keys").alias("not_selected_keys"),
-        *[F.sum(c).alias(c) for c in counts],
+        *[F.sum(c).alias(c) for c in COUNTS],
     )
     denominator = F.when(multi, F.col("decided")).when(category, F.col("respondents")).otherwise(
         F.col("instances")
@@ -154,14 +178,28 @@ def mention_ledger(records: DataFrame, scope: str = "PARENT_RM", scope_ref: str
     """
     if scope not in SCOPES:
         raise ValueError(f"unsupported mention scope: {scope}")
-    column = SCOPES[scope]
-    rows = records.filter(F.col("structure_type").isin(*RM_TYPES) & F.col(column).isNotNull())
-    if scope_ref is not None:
-        rows = rows.filter(F.col(column) == scope_ref)
-    counted = F.col("n_selected") if duplicates == "keep" else (F.col("n_selected") > 0).cast("long")
-    options = _per_option(rows, keys).withColumn("scope_ref", F.col(column))
-    return options.groupBy(*keys, "scope_ref", "option_key").agg(
-        F.sum(counted).alias("mentions"),
+    rows = records if scope_ref is None else records.filter(F.col(SCOPES[scope]) == scope_ref)
+    mentions = "mention_rows" if duplicates == "keep" else "mentions"
+    return mention_ledgers(rows, [scope], keys).select(
+        *keys, "scope_ref", "option_key", F.col(mentions).alias("mentions"),
+        "structural_missing_n", "invalid_n")
+
+
+def mention_ledgers(records: DataFrame, scopes: Sequence[str] = tuple(SCOPES),
+                    keys: Sequence[str] = STRUCTURE) -> DataFrame:
+    """Mentions of all scopes, under both policies, from one reduction.
+
+    `mentions` are distinct keys, `mention_rows` rows.  Only reduced rows are
+    repeated, once for every scope that they belong to.
+    """
+    rows = records.filter(F.col("structure_type").isin(*RM_TYPES))
+    belongs = F.filter(F.array(*[
+        F.struct(F.lit(s).alias("scope"), F.col(SCOPES[s]).alias("scope_ref")) for s in scopes
+    ]), lambda s: s["scope_ref"].isNotNull())
+    options = _per_option(rows, keys).select("*", F.inline(belongs))
+    return options.groupBy(*keys, "scope", "scope_ref", "option_key").agg(
+        F.sum((F.col("n_selected") > 0).cast("long")).alias("mentions"),
+        F.sum("n_selected").alias("mention_rows"),
         F.sum("n_structural").alias("structural_missing_n"), F.sum("n_invalid").alias("invalid_n"),
     )
 

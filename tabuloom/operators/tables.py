@@ -11,6 +11,7 @@ from tabuloom.functions.text import column_type, to_number
 from tabuloom.operators.metrics import (
     KEYS, METRICS, PERCENT_METRICS, RM_METRICS, SCALAR_METRICS, ratio,
 )
+from tabuloom.operators.ordering import position
 
 
 def _option_order(options: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -30,29 +31,30 @@ def order_responses(cells: DataFrame, options: DataFrame | None, mode: str = "la
     """
     total = F.sum(F.when(F.col("banner") == TOTAL, F.col(count)))
     responses = cells.groupBy(*keys, "response").agg(F.coalesce(total, F.lit(0)).alias("total"))
-    by = Window.partitionBy(*keys)
     name = F.lower("response")
     if mode == "frequency":
-        order = by.orderBy(F.col("total").desc(), name, "response")
-        return responses.withColumn("response_pos", F.row_number().over(order))
+        return position(responses, keys, [-F.col("total"), name, F.col("response")], "response_pos")
     key = "code_order" if mode == "code" else "label_order"
     known = _option_order(options, keys).withColumn("is_option", F.lit(True))
     joined = responses.join(known, [*keys, "response"], "left")
     rank = F.when(F.col(key).isNotNull(), 0).when(F.col("is_option"), 1).otherwise(2)
-    order = by.orderBy(rank, F.col(key), name, "response")
-    return joined.withColumn("response_pos", F.row_number().over(order)).select(
+    # The total decides nothing; with it all uses of the responses read the same columns.
+    order = [rank, F.col(key), name, F.col("response"), F.col("total")]
+    return position(joined, keys, order, "response_pos").select(
         *keys, "response", "total", "response_pos"
     )
 
 
 def chart_order(cells: DataFrame, value: str = "pct", keys: Sequence[str] = KEYS) -> DataFrame:
     """Responses by their Total share, else by their largest share, descending (O3)."""
-    has_total = F.max(F.col("banner") == TOTAL).over(Window.partitionBy(*keys))
-    marked = cells.withColumn("__has_total", has_total)
-    score = F.max(F.when(~F.col("__has_total") | (F.col("banner") == TOTAL), F.col(value)))
-    scored = marked.groupBy(*keys, "response").agg(score.alias("score"))
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), "response")
-    return scored.withColumn("chart_pos", F.row_number().over(order))
+    is_total = F.col("banner") == TOTAL
+    shares = cells.groupBy(*keys, "response").agg(
+        F.max(F.when(is_total, F.col(value))).alias("__total"), F.max(value).alias("__largest"),
+        F.max(is_total).alias("__has_total"))
+    question = shares.groupBy(*keys).agg(F.max("__has_total").alias("__use_total"))
+    scored = shares.join(question, list(keys)).select(
+        *keys, "response", F.when(F.col("__use_total"), F.col("__total")).otherwise(F.col("__largest")).alias("score"))
+    return position(scored, keys, [F.col("score").isNull(), -F.col("score"), F.col("response")], "chart_pos")
 
 
 def grid_rank(grid: DataFrame, by: str = "entity", banner: Column | None = None,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabuloom.functions.text import column_type, is_numeric_type
 from tabuloom.operators.metrics import ratio
+from tabuloom.operators.ordering import RUN_ROWS, running_total
 
 DISTRIBUTION_POINTS = (0.01, 0.05, 0.5, 0.95, 0.99)
 
@@ -83,24 +84,42 @@ def weighted_base(eligible: DataFrame, weight: str, keys: Sequence[str] = ("stud
     )
 
 
-def weight_distribution(eligible: DataFrame, weight: str,
-                        keys: Sequence[str] = ("study_id",)) -> DataFrame:
+def weight_distribution(eligible: DataFrame, weight: str, keys: Sequence[str] = ("study_id",),
+                        run_rows: int = RUN_ROWS) -> DataFrame:
     """Extremes, interpolated percentiles, cv and ratio of valid weights.
 
-    `percentile` counts equal values on the map side, so its state grows with
-    the number of distinct weights, not with the number of respondents.
+    Percentiles are picked by rank: equal weights are counted, the counts are
+    added up along the sorted weights of a study (in runs, see `ordering`), and
+    the weights on both sides of each rank are taken.  No task or buffer holds
+    the weights of a study.
     """
-    valid = _classified(eligible, weight, keys).filter(F.col("w").isNotNull())
-    points = F.percentile("w", F.array(*[F.lit(p) for p in DISTRIBUTION_POINTS]))
+    valid = _classified(eligible, weight, keys).filter(F.col("w").isNotNull()).select(*keys, "w")
     stats = valid.groupBy(*keys).agg(
+        F.count("*").alias("valid_n"),
         F.min("w").alias("minimum"), F.max("w").alias("maximum"), F.avg("w").alias("mean"),
-        F.stddev_pop("w").alias("sd"), points.alias("points"),
+        F.stddev_pop("w").alias("sd"),
         F.min(F.when(F.col("w") > 0, F.col("w"))).alias("smallest_positive"),
     )
+    counts = valid.groupBy(*keys, "w").agg(F.count("*").alias("same"))
+    ranked = running_total(counts, keys, [F.col("w")], F.col("same"), "upto", run_rows)
+    sized = ranked.join(stats.select(*keys, "valid_n"), list(keys))
     names = ("p1", "p5", "median", "p95", "p99")
-    return stats.select(
-        *keys, "minimum",
-        *[F.col("points")[i].alias(name) for i, name in enumerate(names)],
+    ranks = {name: (F.col("valid_n") - 1) * F.lit(p) for name, p in zip(names, DISTRIBUTION_POINTS)}
+
+    def at(rank: Column) -> Column:
+        """Ranks count from 0; a weight takes those from upto - same to upto - 1."""
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("same")), F.col("w")))
+
+    def between(name: str) -> Column:
+        low, high, rank = F.col(f"{name}_low"), F.col(f"{name}_high"), ranks[name]
+        return F.when(low == high, low).otherwise(
+            (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
+
+    picked = sized.groupBy(*keys).agg(*[
+        at(side(rank)).alias(f"{name}_{end}")
+        for name, rank in ranks.items() for end, side in (("low", F.floor), ("high", F.ceil))])
+    return stats.join(picked, list(keys)).select(
+        *keys, "minimum", *[between(name).alias(name) for name in names],
         "mean", "maximum",
         ratio(F.col("sd"), F.col("mean")).alias("cv"),
         ratio(F.col("maximum"), F.col("smallest_positive")).alias("max_min_positive_ratio"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tabuloom.functions.text import code_text
 from tabuloom.operators.codebook import explode_variables, merge_by_variable
+from tabuloom.operators.ordering import first_rows, unused
 
 STUDY = "study_id"
 LOG_SCHEMA = "version bigint, tables array<string>"
@@ -236,8 +237,7 @@ def review_extract(tables: Mapping[str, DataFrame], n: int = REVIEW_ROWS) -> dic
         if name in REVIEW_LIMIT_TABLES:
             order = [c for c in (STUDY, "question_id", "variable", "respondent_id")
                      if c in frame.columns]
-            rest = [c for c in frame.columns if c not in order]
-            frame = frame.orderBy(*order, *rest).limit(n)
+            frame = first_rows(frame, order, n)
         result[name] = frame
     return result
 
@@ -281,17 +281,20 @@ def write_canonical(tables: Mapping[str, DataFrame], path: str) -> None:
     if absent:
         raise StudyError(f"missing canonical tables: {absent}")
     for name in CANONICAL_TABLES:
-        _positioned(canonical_order(tables[name])).write.parquet(f"{path}/{name}")
+        _positioned(canonical_order(tables[name]), f"{path}/sorted/{name}").write.parquet(f"{path}/{name}")
 
 
-def _positioned(ordered: DataFrame) -> DataFrame:
+def _positioned(ordered: DataFrame, path: str) -> DataFrame:
     """Rows of an ordered frame with their `position` from 1.
 
-    Rows before each partition are counted first; only one number per partition
-    is collected, and no task sees more than its own rows.
+    The frame is sorted once, into `path`, each row with its partition and its
+    place in it.  Only the sizes of partitions are collected; no task sees more
+    than its own rows, and no position depends on a second sort.
     """
-    numbered = ordered.select("*", F.monotonically_increasing_id().alias("__at"))
-    part = F.shiftright("__at", 33)
+    at = unused(ordered.columns, "_at")
+    ordered.select("*", F.monotonically_increasing_id().alias(at)).write.parquet(path)
+    numbered = ordered.sparkSession.read.parquet(path)
+    part = F.shiftright(at, 33)
     sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
     before, offset = {}, 0
     for part_id, n in sorted(sizes):
@@ -299,4 +302,4 @@ def _positioned(ordered: DataFrame) -> DataFrame:
     starts = F.create_map(*[F.lit(x) for item in before.items() for x in item]) if before else None
     place = F.lit(0) if starts is None else starts[part]
     return numbered.withColumn(
-        "position", (place + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).cast("bigint")).drop("__at")
+        "position", (place + F.col(at).bitwiseAND((1 << 33) - 1) + 1).cast("bigint")).drop(at)
