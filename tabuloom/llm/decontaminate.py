@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tabuloom.llm import hashing
 from tabuloom.llm.bpe import _arrow
 from tabuloom.llm.common import cut, parts
+from tabuloom.operators.ordering import unused
 
 SIMILARITY = 0.8
 #: Positions sampled of a walk, and the part of walks of a passage and its item, at the least similarity,
@@ -384,7 +385,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` in which no item was found, with all their columns."""
-    hits = found(docs, items, key, text, item_key, item_text, similarity, recall, block).select(F.col("k").alias("_k"), F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_own", _row(docs, key, text))
-    return rows.join(hits, (F.col("_own") == F.col("_row")) & F.col(key).eqNullSafe(F.col("_k")), "left_anti").drop("_own")
+    """The rows of `docs` in which no item was found (see `contaminated`), with all their columns.
+
+    Rows with null or empty text, and with a null key, are kept or go by their text like any others;
+    rows that repeat key and text share their fate. Any columns may stand beside; empty tables are kept.
+    """
+    k, row, own = (unused(docs.columns, c) for c in ("_k", "_row", "_own"))
+    hits = found(docs, items, key, text, item_key, item_text, similarity, recall, block).select(F.col("k").alias(k), F.col("row").alias(row)).distinct()
+    rows = docs.withColumn(own, _row(docs, key, text))
+    return rows.join(hits, (F.col(own) == F.col(row)) & F.col(key).eqNullSafe(F.col(k)), "left_anti").drop(own)

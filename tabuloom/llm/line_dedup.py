@@ -1,9 +1,9 @@
 """Line dedup: windows of three consecutive lines that occur anywhere before are removed.
 
 Windows overlap, so a repeated passage of many lines is covered by several of them; the covered
-positions are merged and cut out of the later occurrence. Only hashes and positions are shuffled, and
-the least occurrence of a window is a map-side minimum, so a window that a third of all documents
-share never meets in one task.
+positions are merged and cut out of the later occurrence. Only hashes and positions are shuffled. The
+least occurrence of a window is a map-side minimum; the occurrences of a window that very many documents
+share are then joined to that one row, which adaptive execution splits over tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabuloom.operators.ordering import unused
+
 WINDOW = 3
 SPACE = r"[\x09-\x0D\x20]+"
 
@@ -64,15 +66,16 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Lines end at a newline; they are compared with white space collapsed, blank lines are passed over
     and go only when inside a removed span. A null text stays null with no lines; an empty one has one
     blank line. Rows with a null key come first. Rows with equal key and text count as one document
-    and are treated alike. A column called n_lines or n_removed is replaced; an empty table gives an
-    empty one.
+    and are treated alike. A column called n_lines or n_removed is replaced, any other is kept; a text of any
+    length is one row, its lines one array; an empty table gives an empty one.
     """
-    gone = covered(docs, key, text, width).select(F.col("k").alias("_k"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
-    joined = docs.withColumn("_own", _row(docs, key, text)).join(gone, (F.col("_own") == F.col("_row")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    k, row, own, cut = (unused(docs.columns, c) for c in ("_k", "_row", "_own", "_gone"))
+    gone = covered(docs, key, text, width).select(F.col("k").alias(k), F.col("row").alias(row), F.col("gone").alias(cut))
+    joined = docs.withColumn(own, _row(docs, key, text)).join(gone, (F.col(own) == F.col(row)) & F.col(key).eqNullSafe(F.col(k)), "left")
     lines = F.split(F.col(text), "\n", -1)
     count = F.coalesce(F.size(lines), F.lit(0))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
     rest = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
-    joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(count)).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
+    joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(count)).withColumn("n_removed", F.coalesce(F.size(cut), F.lit(0)))
     joined = joined.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)).drop("_own", "_k", "_row", "_gone")
+    return joined.withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(rest)).drop(own, k, row, cut)
