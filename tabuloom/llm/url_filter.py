@@ -1,8 +1,8 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs in front of an exact join.
 
 Every URL is looked up under the canonical keys that could be listed for it: each suffix of its host
-at a dot with each prefix of its path. The filter has a fixed size, so it may be broadcast; what it
-lets through is joined exactly with the list, which may be of any size. DataFrame functions only.
+at a dot with each prefix of its path. The filter has a bounded size and goes to the tasks as a constant;
+what it lets through is joined exactly with the list, which may be of any size. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -49,25 +49,34 @@ def bloom(listed: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
     return rows.groupBy("block").agg(*sums).select("block", F.array(*[f"w{i}" for i in range(WORDS)]).alias("words"))
 
 
-def _hit(key: Column, words: Column) -> Column:
-    hit = F.lit(True)
-    for bit in _bits(key):
-        hit = hit & (F.call_function("getbit", F.element_at(words, F.shiftright(bit, 6) + 1), bit.bitwiseAND(F.lit(63))) == 1)
-    return hit
+def _listed_words(filter_rows: list, blocks: int) -> Column:
+    """The filter as one constant array, block after block; it has at most BLOCKS * WORDS numbers."""
+    words = [0] * (blocks * WORDS)
+    for row in filter_rows:
+        words[row.block * WORDS:(row.block + 1) * WORDS] = row.words
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
-def candidates(urls: DataFrame, most_labels: int, lengths: list[int]) -> DataFrame:
-    """(host, path, key): the canonical keys under which a rule may fit; no longer than any listed one."""
+def candidates(most_labels: int, lengths: list[int]) -> Column:
+    """The canonical keys of `host` and `path` under which a rule may fit; no longer than any listed one."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels))),
         lambda n: F.array_join(F.slice(labels, -n, n), "."))
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
-    return urls.select("host", "path", F.explode(keys).alias("key"))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
 
 
-def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", blocks: int = BLOCKS) -> DataFrame:
+def _may_be_listed(key: Column, words: Column, blocks: int) -> Column:
+    first = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int") * WORDS
+    hit = F.lit(True)
+    for bit in _bits(key):
+        word = F.get(words, first + F.shiftright(bit, 6))
+        hit = hit & (F.call_function("getbit", word, bit.bitwiseAND(F.lit(63))) == 1)
+    return hit
+
+
+def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", blocks: int | None = None) -> DataFrame:
     """(key, host, path, rule, verdict) per row of `pages`.
 
     `rules` has host, path and action (allow or block). A rule fits its host and all subdomains where
@@ -75,19 +84,24 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     that no listed entry fits is not in the filter's list and gets `default`. Null URLs and those without
     `://` have empty host and path. Repeated rules and rows change nothing; without rules every URL gets
     `default`; an empty table gives an empty one; other columns are not read.
+
+    Pages of which no candidate key passes the filter get the default where they are read; only the
+    others take part in the exact join. `blocks` is the size of the filter: for 16 keys a block, BLOCKS at most.
     """
     listed = rules.select(lower_ascii(F.col("host")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), "action").where("r_host is not null")
     listed = listed.withColumn("key", F.concat("r_host", "r_path"))
-    bounds = listed.agg(F.max(F.size(F.split("r_host", r"\."))), F.collect_set(F.length("r_path"))).first()
+    most, lengths, n = listed.agg(F.max(F.size(F.split("r_host", r"\."))), F.collect_set(F.length("r_path")), F.count("*")).first()
     host, path = host_and_path(F.col(url))
     rows = pages.select(key, host.alias("host"), path.alias("path"))
-    if not bounds[1]:
+    if not n:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keyed = candidates(rows.select("host", "path"), bounds[0], sorted(bounds[1])).withColumn("block", _block(F.col("key"), blocks))
-    passed = keyed.join(F.broadcast(bloom(listed, "key", blocks)), "block").where(_hit(F.col("key"), F.col("words"))).select("host", "path", "key")
-    length = F.length("key")
-    fits = passed.join(listed.select("key", "r_host", "action"), "key").groupBy("host", "path").agg(
-        F.max(F.struct(length.alias("n"), F.length("r_host").alias("m"), "action", F.col("key").alias("rule"))).alias("best"))
+    blocks = blocks or min(BLOCKS, n // 16 + 1)
+    words = _listed_words(bloom(listed, "key", blocks).collect(), blocks)
+    passed = rows.withColumn("keys", F.filter(candidates(most, sorted(lengths)), lambda k: _may_be_listed(k, words, blocks)))
+    others = passed.where(F.size("keys") == 0).select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    hits = passed.where(F.size("keys") > 0)
+    fits = hits.select("host", "path", F.explode("keys").alias("key")).join(listed.select("key", "r_host", "action"), "key").groupBy("host", "path").agg(
+        F.max(F.struct(F.length("key").alias("n"), F.length("r_host").alias("m"), "action", F.col("key").alias("rule"))).alias("best"))
     fits = fits.select(F.col("host").alias("f_host"), F.col("path").alias("f_path"), "best")
-    joined = rows.join(fits, (F.col("host") == F.col("f_host")) & (F.col("path") == F.col("f_path")), "left")
-    return joined.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    joined = hits.join(fits, (F.col("host") == F.col("f_host")) & (F.col("path") == F.col("f_path")), "left")
+    return others.unionAll(joined.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")))
