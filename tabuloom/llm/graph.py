@@ -52,3 +52,17 @@ def _small(links: DataFrame) -> DataFrame:
 
 def _state(stars: DataFrame) -> tuple:
     return tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+
+
+def least_reached(nodes: DataFrame, links: DataFrame, node: str, least: str) -> DataFrame:
+    """(node, component_id) for every row of `nodes`: the least of their `least` in its component.
+
+    Nodes are named by that value first (null last, the node itself to tell equal ones apart), so the
+    least name of a component is the answer and no component is ever grouped.
+    """
+    name = F.struct(F.col(least).isNull().alias("none"), F.col(least).alias("least"), F.col(node).alias("node"))
+    named = nodes.select(F.col(node).alias("at"), name.alias("name"))
+    one, two = named.select(F.col("at").alias("a"), F.col("name").alias("u")), named.select(F.col("at").alias("b"), F.col("name").alias("v"))
+    grouped = components(links.select("a", "b").join(one, "a").join(two, "b"), "u", "v")
+    met = named.join(grouped, named["name"] == grouped["node"], "left")
+    return met.select(F.col("at").alias(node), F.coalesce(F.col("component.least"), F.col("name.least")).alias("component_id"))

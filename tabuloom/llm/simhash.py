@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabuloom.llm.common import cut, parts, values, word_blocks
-from tabuloom.llm.graph import components
+from tabuloom.llm.graph import least_reached
 
 SEED = 42
 WIDTH = 4
@@ -175,10 +175,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     """
     own = cut(fingerprints(docs, key, text, width))
     fps = own.groupBy("fp").agg(F.min(key).alias("least"))
-    grouped = components(links(fps.select("fp"), distance, block))
-    placed = fps.join(grouped, fps["fp"] == grouped["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = placed.join(ids, "component").select("fp", "component_id")
+    ids = least_reached(fps, links(fps.select("fp"), distance, block), "fp", "least")
     return own.join(ids, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
