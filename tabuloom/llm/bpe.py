@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabuloom.llm import chunks, hashing
-from tabuloom.llm.common import parts
 
 # Fixed value: the word pattern of the byte-level tokenizer, white space spelt out as in its library.
 SPACE = r"\p{White_Space}"
@@ -302,7 +301,7 @@ def encode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text",
 
 
 def _encoded(docs: DataFrame, spec: str, key: str, text: str, chunk: int, decoded: bool) -> DataFrame:
-    n_parts = parts(docs.sparkSession)
+    n_parts = chunks.count_parts(docs, text)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = docs.schema[key].dataType
 
@@ -326,7 +325,7 @@ def _encoded(docs: DataFrame, spec: str, key: str, text: str, chunk: int, decode
                 "ranked": pa.array([chunks.pack(ranked)] + [None] * (len(keys) - 1), pa.binary())})
 
     found = rows.mapInArrow(dictionary, "chunk string, part int, words binary")
-    found = found.groupBy("part").applyInArrow(lambda t: _encode_part(t, spec), "chunk string, part int, sizes binary, ids binary")
+    found = found.repartition(n_parts, "part").groupBy("part").applyInArrow(lambda t: _encode_part(t, spec), "chunk string, part int, sizes binary, ids binary")
     coded = rows.mapInArrow(positions, f"chunk string, k {kind.simpleString()}, codes binary, ranked binary")
     joined = found.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(
         lambda a, b: _join_by_position(a, b, pieces(spec) if decoded else None),

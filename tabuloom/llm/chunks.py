@@ -15,10 +15,15 @@ import hashlib
 
 import numpy as np
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 #: Codes that are turned into values at a time, so that a very long document needs no large arrays.
 BLOCK = 1 << 18
+#: Text whose words are looked up together, by their hashes: a part of the dictionary, which one task holds.
+PART_BYTES = 16 << 20
+LEAST_PARTS = 8
 
 
 def name(task: int, number: int, words) -> str:
@@ -26,6 +31,12 @@ def name(task: int, number: int, words) -> str:
     return f"{task}-{number}-{hashlib.blake2b(words, digest_size=12).hexdigest()}"
 
 
+def count_parts(docs: DataFrame, text: str) -> int:
+    """Parts of the dictionary, from the bytes of all texts, so that a part stays of one size."""
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return max(LEAST_PARTS, -(-n_bytes // PART_BYTES))
+
+
 def by_part(hashes: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(part, edges) of the runs of equal parts of sorted hashes; equal hashes are in equal parts everywhere."""
     part = ((hashes >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)

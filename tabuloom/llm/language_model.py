@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tabuloom.llm import chunks, hashing
 from tabuloom.llm.bpe import _arrow
-from tabuloom.llm.common import BLOCK_BYTES, WORD_SPACE, cut, parts
+from tabuloom.llm.common import BLOCK_BYTES, WORD_SPACE, cut
 
 END, BEGIN = np.uint64(1), np.uint64(2)
 IS_WORD = np.array([i not in WORD_SPACE for i in range(256)])
@@ -143,7 +143,7 @@ def counts(docs: DataFrame, key: str, text: str, held_out: Column, chunk: int =
     single and double are the training counts of each token and of each token after the previous one;
     n and types add up over all rows to the training tokens and the distinct ones.
     """
-    n_parts = parts(docs.sparkSession)
+    n_parts = chunks.count_parts(docs, text)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("t"))
     kind = docs.schema[key].dataType
 
@@ -169,7 +169,7 @@ def counts(docs: DataFrame, key: str, text: str, held_out: Column, chunk: int =
                 "words": pa.array([chunks.pack_sorted(distinct)] + [None] * (len(keys) - 1), pa.binary())})
 
     found = rows.mapInArrow(dictionary, "kind int, chunk string, part int, keys binary, counts binary")
-    found = found.groupBy("kind", "part").applyInArrow(_count_part, "kind int, chunk string, part int, counts binary, n long, types long")
+    found = found.repartition(n_parts, "kind", "part").groupBy("kind", "part").applyInArrow(_count_part, "kind int, chunk string, part int, counts binary, n long, types long")
     coded = rows.mapInArrow(positions, f"chunk string, k {kind.simpleString()}, held_out boolean, codes binary, words binary")
     joined = found.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(
         _join_by_position, f"k {kind.simpleString()}, held_out boolean, single binary, double binary, n long, types long")
