@@ -151,19 +151,33 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 SQL["op5_quotations"] = r"""
-WITH RECURSIVE lines AS (
-  SELECT conv_id AS c, turn AS t, role AS r, unnest(a) AS x, unnest(range(len(a))) AS pos
-  FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS a FROM conversations)),
+WITH RECURSIVE rows AS (SELECT *, row_number() OVER () AS rid FROM conversations),
+lines AS (
+  SELECT rid, conv_id AS c, turn AS t, role AS r, unnest(a) AS x, unnest(range(len(a))) AS pos
+  FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS a FROM rows)),
 marked AS (SELECT *, regexp_extract(x, '^(?:[ \t]*>)+[ \t]?') AS marks FROM lines),
 l AS (
-  SELECT c, t, r, pos, length(replace(replace(marks, ' ', ''), chr(9), '')) AS level, substr(x, length(marks) + 1) AS line,
+  SELECT rid, c, t, r, pos, length(replace(replace(marks, ' ', ''), chr(9), '')) AS level, substr(x, length(marks) + 1) AS line,
          lower(trim(regexp_replace(substr(x, length(marks) + 1), '[\x09-\x0D\x20]+', ' ', 'g'))) AS passage FROM marked),
-inside AS (SELECT passage, c, min(t) AS f FROM l WHERE level = 0 AND passage <> '' GROUP BY ALL),
+starts AS (
+  SELECT *, passage <> '' AND (coalesce(lag(passage) OVER w, '') = '' OR lag(level) OVER w <> level) AS fresh
+  FROM l WHERE c IS NOT NULL AND t IS NOT NULL WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY pos) AS blk FROM starts),
+blocks AS (
+  SELECT c, t, level, rid, blk, string_agg(passage, ' ' ORDER BY pos) AS passage, count(*) AS n FROM numbered
+  WHERE passage <> '' GROUP BY ALL),
+wrote AS (SELECT c, t, passage FROM blocks WHERE level = 0 UNION SELECT c, t, passage FROM l WHERE level = 0 AND passage <> '' AND c IS NOT NULL AND t IS NOT NULL),
+inside AS (SELECT passage, c, min(t) AS f FROM wrote GROUP BY ALL),
 everywhere AS (SELECT passage, min({'c': c, 't': f}) AS o FROM inside GROUP BY passage),
-q AS (SELECT c, t, level, passage, count(*) AS n FROM l WHERE level > 0 AND passage <> '' GROUP BY ALL),
+q AS (
+  SELECT b.*, CASE WHEN f < b.t THEN {'c': b.c, 't': f} WHEN len(string_split(b.passage, ' ')) >= 12 AND o < {'c': b.c, 't': b.t} THEN o END AS dst
+  FROM blocks b LEFT JOIN inside i ON i.passage = b.passage AND i.c = b.c LEFT JOIN everywhere e ON e.passage = b.passage WHERE level > 0),
 found AS (
-  SELECT q.*, CASE WHEN f < q.t THEN {'c': q.c, 't': f} WHEN o < {'c': q.c, 't': q.t} THEN o END AS dst
-  FROM q LEFT JOIN inside i ON i.passage = q.passage AND i.c = q.c LEFT JOIN everywhere e ON e.passage = q.passage),
+  SELECT c, t, level, n, dst FROM q WHERE dst IS NOT NULL
+  UNION ALL
+  SELECT q.c, q.t, q.level, 1, CASE WHEN f < q.t THEN {'c': q.c, 't': f} END
+  FROM q JOIN numbered m ON m.rid = q.rid AND m.blk = q.blk AND m.passage <> '' LEFT JOIN inside i ON i.passage = m.passage AND i.c = q.c
+  WHERE q.dst IS NULL),
 counted AS (SELECT c, t, level, dst, sum(n) AS n FROM found GROUP BY ALL),
 replies AS (
   SELECT c, t, sum(n)::BIGINT AS quoted, coalesce(sum(n) FILTER (dst IS NOT NULL), 0)::BIGINT AS linked,
@@ -176,7 +190,7 @@ ends AS (SELECT * FROM chain QUALIFY row_number() OVER (PARTITION BY c, t ORDER
 own AS (
   SELECT c, t, coalesce(any_value(r), '') AS role,
          regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), ''), '\A[\x09-\x0D\x20]+|[\x09-\x0D\x20]+\z', '', 'g') AS text
-  FROM l GROUP BY c, t)
+  FROM l GROUP BY rid, c, t)
 SELECT o.c AS conv_id, o.t AS turn, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) AS formatted,
        coalesce(quoted, 0) AS quoted, coalesce(linked, 0) AS linked, dst.c AS reply_conv, dst.t AS reply_turn,
        coalesce(rc, o.c) AS thread_conv, coalesce(rt, o.t) AS thread_turn, coalesce(depth, 0) AS depth

@@ -1,9 +1,12 @@
 """Quotation linking: conversations in reply order, without what they quote.
 
-The lines of a message are parsed into nested quote levels. Each quoted passage, a line with its marks
-and extra white space removed, is hashed and joined to the message that first wrote it. A message is a
-reply to the message that it quotes least deeply; replies stand in the thread of the message at whose
-end the chain of replies arrives, in the order in which they were written.
+The lines of a message are parsed into nested quote levels. A passage is a run of lines of one level
+without a blank one between, its line ends, marks and extra white space folded, so that it stays the same
+where it is wrapped anew. Quoted passages are hashed and joined to the message that first wrote them, as a
+paragraph or as a line of one; where a passage has no original, its single lines are looked up in the same
+conversation. Between conversations only passages of some length are linked, since short ones say nothing
+about their origin. A message is a reply to the message that it quotes least deeply; replies stand in the
+thread of the message at whose end the chain of replies arrives, in the order in which they were written.
 
 The result has a row for each message, so that a conversation of any length is spread over tasks.
 """
@@ -19,6 +22,8 @@ from tabuloom.llm.common import cut
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
 SPACE = r"[\x09-\x0D\x20]+"
 MAX_ROUNDS = 64
+#: Words of a passage that may be linked to another conversation.
+LEAST_WORDS = 12
 
 
 def parsed(text: Column) -> Column:
@@ -37,28 +42,45 @@ def without_quotes(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(own, "\n"), r"\A[\x09-\x0D\x20]+|[\x09-\x0D\x20]+\z", "")
 
 
-def passages(messages: DataFrame) -> DataFrame:
-    """(c, t, level, h, g) for every line that is not blank; h and g are a hash of 128 bits."""
-    rows = messages.select("c", "t", F.explode("lines").alias("x")).where("x.passage != ''")
-    return rows.select("c", "t", F.col("x.level").alias("level"), F.xxhash64("x.passage").alias("h"), F.xxhash64(F.lit(1), "x.passage").alias("g"))
+def _hash(text: Column, name: str) -> list[Column]:
+    """128 bits."""
+    return [F.xxhash64(text).alias(f"{name}h"), F.xxhash64(F.lit(1), text).alias(f"{name}g")]
 
 
-def links(messages: DataFrame) -> DataFrame:
+def passages(messages: DataFrame) -> DataFrame:
+    """(c, t, level, lines) for every passage; lines are its normal lines in order."""
+    at = lambda i: F.get("lines", i)
+    fresh = lambda i: (i == 0) | (at(i - 1)["passage"] == "") | (at(i - 1)["level"] != at(i)["level"])
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (at(i)["passage"] != "") & fresh(i))
+    placed = messages.select("c", "t", "lines", starts.alias("starts")).where(F.size("starts") > 0)
+    ends = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
+    cut = F.transform("starts", lambda i, k: F.struct(at(i)["level"].alias("level"), F.transform(
+        F.filter(F.slice("lines", i + 1, ends(k) - i), lambda x: x["passage"] != ""), lambda x: x["passage"]).alias("lines")))
+    return placed.select("c", "t", F.inline(cut))
+
+
+def links(messages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(c, t, quoted, linked, to_c, to_t): for each message that quotes, its lines quoted and linked, and what it replies to.
 
     The original of a passage is the first message of the same conversation that wrote it, if that came
-    before, else the first message of all, by conversation and turn, if that comes before.
+    before, else, for passages of `least_words` or more, the first message of all, by conversation and
+    turn, if that comes before.
     """
-    lines = passages(messages)
-    own = lines.where("level = 0")
-    inside = own.groupBy("h", "g", "c").agg(F.min("t").alias("first"))
+    found = passages(messages).withColumn("whole", F.array_join("lines", " "))
+    wrote = found.where("level = 0").select("c", "t", F.explode(F.array_union(F.array("whole"), "lines")).alias("x")).select("c", "t", *_hash(F.col("x"), ""))
+    inside = wrote.groupBy("h", "g", "c").agg(F.min("t").alias("first"))
     everywhere = inside.groupBy("h", "g").agg(F.min(F.struct("c", F.col("first").alias("t"))).alias("origin"))
-    quoted = lines.where("level > 0").groupBy("c", "t", "level", "h", "g").agg(F.count("*").alias("n"))
-    found = quoted.join(inside, ["h", "g", "c"], "left").join(everywhere, ["h", "g"], "left")
-    same = F.when(F.col("first") < F.col("t"), F.struct("c", F.col("first").alias("t")))
-    other = F.when(F.col("origin") < F.struct("c", "t"), F.col("origin"))
-    found = found.withColumn("to", F.coalesce(same, other))
-    counted = found.groupBy("c", "t", "level", "to").agg(F.sum("n").alias("n"))
+    quoted = found.where("level > 0").withColumns({"n": F.size("lines"), "words": F.size(F.split("whole", " "))}).select(
+        "c", "t", "level", "lines", "n", *_hash(F.col("whole"), ""), (F.col("words") >= least_words).alias("long"))
+    near = quoted.join(inside, ["h", "g", "c"], "left").withColumn("to", F.when(F.col("first") < F.col("t"), F.struct("c", F.col("first").alias("t")))).drop("first")
+    here, rest = near.where("to is not null"), near.where("to is null").drop("to")
+    far = rest.where("long").join(everywhere, ["h", "g"], "left").withColumn("to", F.when(F.col("origin") < F.struct("c", "t"), F.col("origin")))
+    there, rest = far.where("to is not null"), rest.where("not long").unionByName(far.where("to is null").drop("to", "origin"))
+    lines = rest.select("c", "t", "level", F.explode("lines").alias("x")).groupBy("c", "t", "level", *_hash(F.col("x"), "")).agg(F.count("*").alias("n"))
+    single = lines.join(inside, ["h", "g", "c"], "left").withColumn("to", F.when(F.col("first") < F.col("t"), F.struct("c", F.col("first").alias("t"))))
+    columns = ["c", "t", "level", "n", "to"]
+    every = here.select(columns).unionByName(there.select(columns)).unionByName(single.select(columns))
+    counted = every.groupBy("c", "t", "level", "to").agg(F.sum("n").alias("n"))
     best = F.max_by("to", F.when(F.col("to").isNotNull(), F.struct((-F.col("level")).alias("level"), "n", "to")))
     linked = F.sum(F.when(F.col("to").isNotNull(), F.col("n")).otherwise(0))
     rows = counted.groupBy("c", "t").agg(F.sum("n").alias("quoted"), linked.alias("linked"), best.alias("to"))
@@ -88,8 +110,8 @@ def reply_order(messages: DataFrame, conversation: str = "conv_id", turn: str =
     then by conversation and turn; a message that replies to none is its own thread at depth 0. formatted
     is the text under its role. Null and empty texts have no lines and give an empty text; a null role is
     empty; a message with a null conversation or turn is kept, links with nothing and stands first.
-    Messages that repeat a conversation and turn share what they quote and what is quoted of them; an
-    empty table gives an empty one; other columns are not read.
+    Messages that repeat a conversation and turn share what they quote and what is quoted of them; a
+    text of any length is one row; an empty table gives an empty one; other columns are not read.
     """
     rows = messages.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), parsed(F.col(text)).alias("lines"))
     whole = rows.where("c is not null and t is not null").select("c", "t", "lines")
