@@ -1,9 +1,12 @@
 """WARC archives as a table of record chunks.
 
 A record is one or more rows (record id, chunk number, bytes), each written as a WARC segment of its
-own: the first as a response, the others as continuations. Writing and reading are plain text-file jobs
-with the record's first line as separator, so archives may lie in any store Spark reaches, and no task
-holds more of a record than a chunk when it reads it back: digests are carried along the chunks.
+own: the first as a response with an HTTP head, the others as continuations; a page with the payload of
+another is a revisit, the HTTP head alone. Writing and reading are plain text-file jobs with the record's
+first line as separator, so archives may lie in any store Spark reaches, and no task holds more of a
+record than a chunk when it reads it back: digests are carried along the chunks. Chunks are cut from the
+row's payload one after the other as they are written. Compression is that of Spark's text files: a file is
+one gzip stream, which readers go through in order; who needs to seek by record writes it uncompressed.
 """
 
 from __future__ import annotations
@@ -25,47 +28,80 @@ VERSION = "WARC/1.1"
 EOL = "\r\n"
 
 
+#: Fixed values of the standard.
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = "application/http; msgtype=response"
+
+
 def typed(pages: DataFrame, key: str, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """`pages` (k, url, body) with digest, n_bytes and refers_to, the least key with the same payload."""
+    """`pages` (k, url, body) with digest, n_bytes and refers_to, the least key with the same payload.
+
+    Digests and keys alone are compared; payloads are joined by key and digest to what was found of their
+    own row, so equal payloads are spread over tasks.
+    """
     rows = pages.withColumn("digest", F.sha2("body", 256)).withColumn("n_bytes", F.octet_length("body").cast("long"))
-    same = rows.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("k").alias("origin"), F.count("*").alias("n")).where("n > 1 and origin is not null")
-    joined = rows.join(same.select("digest", "origin"), "digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("k").isNull() | (F.col("k") > F.col("origin")), F.col("origin"))).drop("origin")
+    digests = rows.where(F.col("n_bytes") >= least).select("k", "digest")
+    same = digests.groupBy("digest").agg(F.min("k").alias("origin"), F.count("*").alias("n")).where("n > 1 and origin is not null")
+    again = digests.join(same.select("digest", "origin"), "digest").where("k is null or k > origin").groupBy(
+        F.col("k").alias("r_k"), F.col("digest").alias("r_digest")).agg(F.min("origin").alias("refers_to"))
+    own = (F.col("digest") == F.col("r_digest")) & F.col("k").eqNullSafe(F.col("r_k"))
+    return rows.join(again, own, "left").drop("r_k", "r_digest")
+
 
+def _spans(body: Column, size: int) -> Column:
+    """(at, length) of the chunks of a body: pieces of `size` bytes, cut inside each occurrence of the separator; one empty one if empty."""
+    def pieces(at: Column, n: Column) -> Column:
+        last = F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            (at + i * size).alias("at"), F.least(n - i * size, F.lit(size)).alias("length")))
 
-def _chunks(body: Column, size: int) -> Column:
-    """The body cut inside each occurrence of the separator and into pieces of `size` bytes; one empty piece if empty."""
     text = body.cast("string")
-    pieces = F.when(text.contains(VERSION), F.split(text, r"(?<=WARC/1\.)(?=1)", -1)).otherwise(F.array(text))
-    cut = F.flatten(F.transform(pieces, lambda p: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(p) / size).cast("int") - 1, F.lit(0))),
-        lambda i: F.substring(p.cast("binary"), i * size + 1, F.lit(size)))))
-    return F.when(F.octet_length(body) <= size, F.transform(pieces, lambda p: p.cast("binary"))).otherwise(cut)
+    lengths = F.transform(F.split(text, r"(?<=WARC/1\.)(?=1)", -1), F.octet_length)
+    parts = F.aggregate(
+        lengths, F.struct(F.lit(0).alias("end"), F.expr("CAST(array() AS array<struct<at:int,length:int>>)").alias("spans")),
+        lambda done, n: F.struct((done["end"] + n).alias("end"), F.concat(done["spans"], pieces(done["end"], n)).alias("spans")),
+        lambda done: done["spans"])
+    return F.when(text.contains(VERSION), parts).otherwise(pieces(F.lit(0), F.octet_length(body)))
 
 
 def _field(name: str, value: Column) -> Column:
     return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL)))
 
 
+def _http(n_bytes: Column) -> Column:
+    return F.concat(F.lit("HTTP/1.1 200 OK" + EOL), _field("Content-Type", F.lit("text/html")), _field("Content-Length", n_bytes), F.lit(EOL))
+
+
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", size: int = CHUNK_BYTES, least: int = LEAST_REVISIT) -> DataFrame:
-    """(record_id, chunk, chunks, value): the chunk table; value is the WARC record of the chunk without the last line end."""
+    """(record_id, chunk, chunks, value): the chunk table; value is the WARC record of the chunk without the last line end.
+
+    A page without a URL has `urn:page:` and its key as target.
+    """
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("body"))
     rows = typed(rows, "k", "body", least).withColumn("record_id", F.expr("uuid()"))
-    pieces = F.when(F.col("refers_to").isNotNull(), F.array(F.lit(b""))).otherwise(_chunks(F.col("body"), size))
-    rows = rows.withColumn("pieces", pieces).withColumn("chunks", F.size("pieces"))
-    rows = rows.select("k", "u", "digest", "n_bytes", "refers_to", "record_id", "chunks", F.posexplode("pieces").alias("chunk", "piece"))
-    kind = F.when(F.col("refers_to").isNotNull(), "revisit").when(F.col("chunk") > 0, "continuation").otherwise("response")
-    address = F.regexp_replace(F.regexp_replace("u", r"[\x00-\x20\x7F]", "%20"), r"WARC/1\.1", "WARC/1%2E1")
-    identity = F.concat(F.lit("<urn:uuid:"), F.col("record_id"), F.when(F.col("chunk") > 0, F.concat(F.lit("-"), F.col("chunk").cast("string"))).otherwise(F.lit("")), F.lit(">"))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("length")))
+    rows = rows.withColumn("spans", F.when(F.col("refers_to").isNotNull(), whole).otherwise(_spans(F.col("body"), size))).withColumn("chunks", F.size("spans"))
+    rows = rows.select("k", "u", "digest", "n_bytes", "refers_to", "record_id", "chunks", "body", F.posexplode("spans").alias("chunk", "span"))
+    first, many = F.col("chunk") == 0, F.col("chunks") > 1
+    http = F.when(first, _http(F.col("n_bytes"))).otherwise(F.lit(""))
+    block = F.concat(http.cast("binary"), F.substring("body", F.col("span.at") + 1, F.col("span.length")))
+    rows = rows.select("k", "u", "digest", "n_bytes", "refers_to", "record_id", "chunks", "chunk", block.alias("block"),
+                       F.when(first, F.col("record_id")).otherwise(F.expr("uuid()")).alias("own_id"))
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").when(first, "response").otherwise("continuation")
+    target = F.coalesce("u", F.concat(F.lit("urn:page:"), F.coalesce(F.col("k").cast("string"), F.lit("null"))))
+    address = F.regexp_replace(F.regexp_replace(target, r"[\x00-\x20\x7F]", "%20"), r"WARC/1\.1", "WARC/1%2E1")
+    name = lambda c: F.concat(F.lit("<urn:uuid:"), F.col(c), F.lit(">"))
+    date = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
-        F.lit(VERSION + EOL), _field("WARC-Type", kind), _field("WARC-Record-ID", identity), _field("WARC-Target-URI", address),
-        _field("Content-Type", F.lit("text/html")), _field("Content-Length", F.octet_length("piece")),
+        F.lit(VERSION + EOL), _field("WARC-Type", kind), _field("WARC-Record-ID", name("own_id")), _field("WARC-Date", date), _field("WARC-Target-URI", address),
+        _field("WARC-Profile", F.when(F.col("refers_to").isNotNull(), IDENTICAL)),
+        _field("Content-Type", F.when(first, HTTP)), _field("Content-Length", F.octet_length("block")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        _field("WARC-Segment-Number", F.when(F.col("chunks") > 1, F.col("chunk") + 1)),
-        _field("WARC-Segment-Origin-ID", F.when(F.col("chunks") > 1, F.concat(F.lit("<urn:uuid:"), F.col("record_id"), F.lit(">")))),
-        _field("WARC-Segment-Total-Length", F.when(F.col("chunk") == F.col("chunks") - 1, F.col("n_bytes"))),
-        _field("X-Segments", F.col("chunks")), _field("X-Page-ID", F.col("k")), _field("X-Refers-To-Page-ID", F.col("refers_to")))
-    value = F.concat(head.cast("binary"), F.lit(EOL.encode()), F.col("piece"), F.lit(EOL.encode())).cast("string")
+        _field("WARC-Segment-Number", F.when(many, F.col("chunk") + 1)),
+        _field("WARC-Segment-Origin-ID", F.when(~first, name("record_id"))),
+        _field("WARC-Segment-Total-Length", F.when(many & (F.col("chunk") == F.col("chunks") - 1), F.col("n_bytes") + F.octet_length(_http(F.col("n_bytes"))))),
+        _field("X-Segments", F.col("chunks")), _field("X-Page-ID", F.col("k")), _field("X-Refers-To-Page-ID", F.col("refers_to")), _field("X-Payload-Length", F.col("n_bytes")))
+    value = F.concat(head.cast("binary"), F.lit(EOL.encode()), F.col("block"), F.lit(EOL.encode())).cast("string")
     return rows.select("record_id", "chunk", "chunks", value.alias("value"))
 
 
@@ -83,12 +119,16 @@ def read(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
         return F.nullif(F.regexp_extract("head", rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
 
     length = field("Content-Length").cast("int")
-    return rows.select(
-        field("X-Page-ID").cast(kind).alias("page_id"), F.regexp_extract("head", "WARC-Record-ID: <urn:uuid:([0-9a-f-]{36})", 1).alias("record_id"),
-        (F.coalesce(field("WARC-Segment-Number").cast("int"), F.lit(1)) - 1).alias("chunk"), field("X-Segments").cast("int").alias("chunks"),
+    chunk = F.coalesce(field("WARC-Segment-Number").cast("int"), F.lit(1)) - 1
+    # Of the first chunk the HTTP head goes: the block up to its first empty line.
+    blocks = rows.withColumn("http", F.when(chunk == 0, F.octet_length(F.substring_index(F.col("raw").cast("string"), EOL + EOL, 2)) + 5 - F.col("at")).otherwise(F.lit(0)))
+    identity = lambda of: F.nullif(F.regexp_extract("head", of + ": <urn:uuid:([0-9a-f-]{36})", 1), F.lit(""))
+    return blocks.select(
+        field("X-Page-ID").cast(kind).alias("page_id"), F.coalesce(identity("WARC-Segment-Origin-ID"), identity("WARC-Record-ID")).alias("record_id"),
+        chunk.alias("chunk"), field("X-Segments").cast("int").alias("chunks"),
         field("WARC-Type").alias("record_type"), field("X-Refers-To-Page-ID").cast(kind).alias("refers_to"),
         F.regexp_extract("head", "WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("digest"),
-        field("WARC-Segment-Total-Length").cast("long").alias("total"), F.substring("raw", F.col("at"), length).alias("data"))
+        field("X-Payload-Length").cast("long").alias("total"), F.substring("raw", F.col("at") + F.col("http"), length - F.col("http")).alias("data"))
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +170,10 @@ def summary(chunks: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", path: str | None = None, size: int = CHUNK_BYTES, least: int = LEAST_REVISIT, compression: str = "gzip") -> DataFrame:
     """Write a record per row of `pages` under `path` (a new shared folder if none), then read the archives back.
 
-    A null payload is empty; a null URL has no target line. Of equal payloads of at least `least` bytes
+    A null payload is empty; a page without a URL is named by its key. Of equal payloads of at least `least` bytes
     the one with the least key is the response, the others revisit it; rows repeating that key are
-    responses all; a null key revisits where another row has one. An empty table gives an empty one.
+    responses all; a null key revisits where another row has one. An empty table gives an empty one; other
+    columns are not read.
     """
     spark = pages.sparkSession
     path = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
