@@ -109,14 +109,15 @@ def p2_defaults(spark: SparkSession, path: str) -> DataFrame:
 
 @register("p3_merge", """
 WITH base AS (
-  SELECT 'st' || (p_partkey % 4) AS study_id, 'V' || p_partkey AS variable,
-    CASE WHEN p_size % 3 = 0 THEN ' ' ELSE p_name END AS label, p_partkey FROM part
-  WHERE p_partkey % 10 <> 3),
+  SELECT 'st' || (p_partkey % 4) AS study_id, CASE WHEN p_partkey % 10 = 3 THEN 'W' ELSE 'V' END || p_partkey AS variable,
+    CASE WHEN p_size % 3 = 0 THEN ' ' ELSE p_name END AS label, p_partkey FROM part),
+lines AS (
+  SELECT l_partkey, CASE WHEN l_quantity < 20 THEN l_returnflag END AS f, CASE WHEN l_quantity < 20 THEN l_linestatus END AS s FROM lineitem),
 other AS (
   SELECT 'st' || (l_partkey % 4) AS study_id, lower('V' || l_partkey) AS k, min('v' || l_partkey || ' ') AS v,
-    CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) ELSE '' END AS label,
-    CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) ELSE '' END AS unit
-  FROM lineitem WHERE l_quantity < 20 GROUP BY 1, 2)
+    CASE WHEN count(DISTINCT f) = 1 THEN min(f) ELSE '' END AS label,
+    CASE WHEN count(DISTINCT s) = 1 THEN min(s) ELSE '' END AS unit
+  FROM lines GROUP BY 1, 2)
 SELECT b.study_id, b.variable, CASE WHEN trim(b.label) = '' AND coalesce(o.label, '') <> '' THEN o.label
     ELSE b.label END AS label, coalesce(o.unit, '') AS unit
 FROM base b LEFT JOIN other o ON b.study_id = o.study_id AND lower(b.variable) = o.k
@@ -124,14 +125,17 @@ UNION ALL
 SELECT o.study_id, o.v, o.label, o.unit FROM other o
 WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.study_id = o.study_id AND lower(b.variable) = o.k)""")
 def p3_merge(spark: SparkSession, path: str) -> DataFrame:
-    base = r.table(spark, path, "part").filter("p_partkey % 10 <> 3").select(
+    """Some parts have names that no line has; large quantities leave blanks."""
+    letter = F.when(F.col("p_partkey") % 10 == 3, "W").otherwise("V")
+    base = r.table(spark, path, "part").select(
         F.concat(F.lit("st"), (F.col("p_partkey") % 4).cast("string")).alias("study_id"),
-        F.concat(F.lit("V"), F.col("p_partkey").cast("string")).alias("variable"),
+        F.concat(letter, F.col("p_partkey").cast("string")).alias("variable"),
         F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.col("p_name")).alias("label"))
-    other = r.table(spark, path, "lineitem").filter("l_quantity < 20").select(
+    told = lambda c: F.when(F.col("l_quantity") < 20, F.col(c)).otherwise("")
+    other = r.table(spark, path, "lineitem").select(
         F.concat(F.lit("st"), (F.col("l_partkey") % 4).cast("string")).alias("study_id"),
         F.concat(F.lit("v"), F.col("l_partkey").cast("string"), F.lit(" ")).alias("variable"),
-        F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("unit"))
+        told("l_returnflag").alias("label"), told("l_linestatus").alias("unit"))
     return cb.merge_by_variable(base, other).select("study_id", "variable", "label", "unit")
 
 
@@ -246,16 +250,19 @@ GRID_BOOK = {"grid_structure": ("p_size % 5", ["GRID_ESCALA", "LOOP_RU", "", "GR
              "parent_question": ("p_size % 5", ["P1", "P2", "P3", "P4", ""])}
 GRID_BOOK_SQL = """items AS (
   SELECT 'st' || (p_partkey % 4) AS study_id, 'V' || p_partkey AS variable, p_partkey AS position,
-    p_brand AS grid_id, p_partkey % 9 = 0 AS rm, p_size % 5 AS k, """ + ", ".join(
+    CASE WHEN length(p_brand) > 7 THEN p_brand ELSE 'Grid ' || p_brand END AS grid_id, p_partkey % 9 = 0 AS rm, p_size % 5 AS k, """ + ", ".join(
     f"{pick_sql(e, v)} AS {c}" for c, (e, v) in GRID_BOOK.items()) + """
-  FROM part WHERE p_size % 5 <> 2 OR p_partkey % 2 = 0)"""
+  FROM part)"""
 
 
 def grid_book(spark: SparkSession, path: str) -> DataFrame:
-    return r.table(spark, path, "part").filter("p_size % 5 <> 2 OR p_partkey % 2 = 0").select(
+    """Brands with a short name are not called like a question."""
+    brand = F.col("p_brand")
+    grid = F.when(F.length(brand) > 7, brand).otherwise(F.concat(F.lit("Grid "), brand))
+    return r.table(spark, path, "part").select(
         F.concat(F.lit("st"), (F.col("p_partkey") % 4).cast("string")).alias("study_id"),
         F.concat(F.lit("V"), F.col("p_partkey").cast("string")).alias("variable"),
-        F.col("p_partkey").alias("position"), F.col("p_brand").alias("grid_id"),
+        F.col("p_partkey").alias("position"), grid.alias("grid_id"),
         (F.col("p_partkey") % 9 == 0).alias("is_grid_rm_loop"),
         (F.col("p_size") % 5 == 4).alias("is_grid"), F.lit(False).alias("is_grid_item"),
         F.lit("").alias("scale_columns_type"), F.lit("").alias("grid_metric"),
@@ -283,15 +290,19 @@ def advice_sheets(spark: SparkSession, path: str) -> list:
         (F.col("position") % 7 == 0).alias("requires_factor"),
         F.lit("").alias("factor_type"), F.lit("1: 20; 2: 30").alias("justification"),
         F.lit(None).cast("string").alias("use"))
-    preferred = rows.filter("study_id IN ('st0', 'st1') AND position % 3 = 0")
+    # The preferred sheet lists other studies and, beside some variables, unknown ones.
+    named = F.when(F.col("position") % 3 == 0, F.col("variable")).otherwise(F.concat(F.lit("Z"), "variable"))
+    listed = F.when(F.col("study_id").isin("st0", "st1"), F.col("study_id")).otherwise(
+        F.concat(F.lit("only_"), "study_id"))
+    preferred = rows.withColumns({"study_id": listed, "variable": named})
     return [("11_Banners", "banner_filtro", 0, preferred), ("08_Clases", "banner_filtro", 1, rows),
             ("10_Datamap", "factor_score", 1, rows.unionByName(rows))]
 
 
 @register("p13_recommendations", f"""
 WITH {SHEET_SQL}
-SELECT study_id, 'banner_filtro' AS kind, '11_Banners' AS source_sheet, CAST(count(*) AS BIGINT) AS n
-FROM sheet WHERE study_id IN ('st0', 'st1') AND position % 3 = 0 GROUP BY ALL UNION ALL
+SELECT CASE WHEN study_id IN ('st0', 'st1') THEN study_id ELSE 'only_' || study_id END AS study_id,
+  'banner_filtro' AS kind, '11_Banners' AS source_sheet, CAST(count(*) AS BIGINT) AS n FROM sheet GROUP BY ALL UNION ALL
 SELECT study_id, 'banner_filtro', '08_Clases', CAST(count(*) AS BIGINT) FROM sheet
 WHERE study_id NOT IN ('st0', 'st1') AND (position % 5 = 0 OR position % 6 = 0) GROUP BY ALL UNION ALL
 SELECT study_id, 'factor_score', '10_Datamap', CAST(count(*) AS BIGINT) FROM sheet
@@ -330,31 +341,31 @@ def long_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     lines = r.table(spark, path, "lineitem").join(
         r.table(spark, path, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat(F.lit("st"), (F.col("p_partkey") % 4).cast("string")).alias("study_id"),
-        F.col("p_brand").alias("question_id"), F.col("l_orderkey").alias("respondent_id"),
-        "l_quantity", "p_size")
-    small = lines.filter("l_quantity = 50 AND p_size = 50")
-    return {"responses": small.select("study_id", "question_id", "respondent_id"),
-            "multi": lines.filter("l_quantity = 1 AND p_size = 1").select(
-                "study_id", "question_id", "respondent_id"),
-            "scale": lines.filter("l_quantity = 2 AND p_size = 2").select(
-                "study_id", "question_id", "respondent_id"),
-            "open": lines.filter("l_quantity = 3 AND p_size < 4").select(
-                "study_id", "question_id", "respondent_id")}
+        F.col("p_brand").alias("question_id"), F.col("l_orderkey").alias("respondent_id"), "l_linenumber")
+    # Each brand's lines are answers of one kind; some of questions that no codebook has.
+    number = F.regexp_extract("question_id", r"\d+", 0).cast("int") % 6
+    kinds = lines.withColumns({
+        "kind": number,
+        # Lines of a brand are answers of their own, or an order may answer twice.
+        "respondent_id": F.when(number == 0, F.col("respondent_id") * 10 + F.col("l_linenumber")).otherwise(F.col("respondent_id")),
+        "question_id": F.when(number == 5, F.concat(F.lit("Other "), "question_id")).otherwise(F.col("question_id"))})
+    columns = ["study_id", "question_id", "respondent_id"]
+    return {"responses": kinds.filter("kind IN (0, 1, 5)").select(columns), "multi": kinds.filter("kind = 2").select(columns),
+            "scale": kinds.filter("kind = 3").select(columns), "open": kinds.filter("kind = 4").select(columns)}
 
 
 @register("p15_catalogue", f"""
 WITH {GRID_BOOK_SQL},
-x AS (SELECT 'st' || (p_partkey % 4) AS study_id, p_brand AS question_id, l_orderkey, l_quantity AS lq, p_size
-      FROM lineitem JOIN part ON l_partkey = p_partkey),
-mem AS (SELECT study_id, question_id,
-    bool_or(lq = 50 AND p_size = 50) AS in_r, bool_or(lq = 1 AND p_size = 1) AS in_m,
-    bool_or(lq = 2 AND p_size = 2) AS in_s, bool_or(lq = 3 AND p_size < 4) AS in_o FROM x GROUP BY ALL),
+x AS (SELECT 'st' || (p_partkey % 4) AS study_id, p_brand AS question_id, l_orderkey, l_linenumber,
+        CAST(substr(p_brand, 7) AS INTEGER) % 6 AS kind FROM lineitem JOIN part ON l_partkey = p_partkey),
+mem AS (SELECT study_id, question_id, bool_or(kind IN (0, 1)) AS in_r, bool_or(kind = 2) AS in_m,
+    bool_or(kind = 3) AS in_s, bool_or(kind = 4) AS in_o FROM x GROUP BY ALL),
 rep AS (SELECT DISTINCT study_id, question_id FROM (
-    SELECT study_id, question_id, l_orderkey FROM x WHERE lq = 50 AND p_size = 50
-    GROUP BY ALL HAVING count(*) > 1)),
+    SELECT study_id, question_id, CASE WHEN kind = 0 THEN l_orderkey * 10 + l_linenumber ELSE l_orderkey END AS respondent
+    FROM x WHERE kind IN (0, 1) GROUP BY ALL HAVING count(*) > 1)),
 qs AS (SELECT 'st' || (p_partkey % 4) AS study_id, p_brand AS question_id, min(p_partkey) AS p0 FROM part GROUP BY ALL),
 g AS (SELECT study_id, grid_id AS question_id, bool_or(rm) AS rm, arg_min(grid_structure, position) AS gs
-      FROM items WHERE (grid_structure <> '' OR k = 4) AND length(grid_id) > 7 GROUP BY ALL),
+      FROM items WHERE grid_structure <> '' OR k = 4 GROUP BY ALL),
 gg AS (SELECT *, CASE WHEN rm THEN 'GRID_RM/LOOP_RM' WHEN gs = 'GRID RM' THEN 'GRID_RM/LOOP_RM'
     WHEN gs = 'LOOP_RU' THEN 'LOOP_RU' ELSE 'GRID_ESCALA' END AS gt FROM g),
 t AS (SELECT qs.study_id, qs.question_id,
@@ -365,8 +376,10 @@ t AS (SELECT qs.study_id, qs.question_id,
       WHEN coalesce(in_r, false) THEN 'RU' WHEN coalesce(in_o, false) THEN 'Abierta'
       ELSE 'Requiere validación' END AS inferred_type
   FROM qs LEFT JOIN gg USING (study_id, question_id) LEFT JOIN mem USING (study_id, question_id)
-  LEFT JOIN rep ON rep.study_id = qs.study_id AND rep.question_id = qs.question_id)
-SELECT study_id, question_id, inferred_type, 'Sección BRAND' AS inferred_section FROM t
+  LEFT JOIN rep ON rep.study_id = qs.study_id AND rep.question_id = qs.question_id
+  UNION ALL
+  SELECT study_id, question_id, gt FROM gg ANTI JOIN qs USING (study_id, question_id))
+SELECT study_id, question_id, inferred_type, CASE WHEN question_id LIKE 'Grid %' THEN 'Sección GRID' ELSE 'Sección BRAND' END AS inferred_section FROM t
 WHERE inferred_type <> 'Requiere validación'
   OR study_id NOT IN (SELECT study_id FROM t WHERE inferred_type <> 'Requiere validación')""")
 def p15_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -377,7 +390,7 @@ def p15_catalogue(spark: SparkSession, path: str) -> DataFrame:
         F.col("label").alias("question_text"), F.lit(True).alias("in_dashboard"),
         F.lit("Pregunta analizable").alias("analytic_class"))
     questions = cb.build_questions(book, ["question_text", "question_type", "calculation"])
-    grids = cb.build_grids(cb.grid_items(grid_book(spark, path))).filter("length(grid_id) > 7")
+    grids = cb.build_grids(cb.grid_items(grid_book(spark, path)))
     membership = cb.question_membership(long_tables(spark, path))
     return cb.question_catalogue(questions, grids, membership, book).select(
         "study_id", "question_id", "inferred_type", "inferred_section")

@@ -408,8 +408,10 @@ def tabulate_book(spark: SparkSession, path: str) -> DataFrame:
 # --- exports ----------------------------------------------------------------
 
 def export_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    scales = scale_facts(spark, path).filter("question_id = 'EASE'").withColumns({
-        "variable": F.lit("l_linenumber"), "item_text": F.lit("Facilidad"),
+    ease = F.col("question_id") == "EASE"
+    scales = scale_facts(spark, path).withColumns({
+        "variable": F.when(ease, "l_linenumber").otherwise("l_discount"),
+        "item_text": F.when(ease, "Facilidad").otherwise("Recomendación"),
         "response": F.col("value").cast("int").cast("string")})
     # Two lines of an order may hold the same value; the flat table keeps both.
     multi = r.priority_facts(r.evaluations(spark, path)).select(
@@ -419,13 +421,13 @@ def export_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 @register("s6_flat", f"""
-WITH {r.EVALUATIONS_SQL}, {r.PRIORITY_SQL},
+WITH {r.EVALUATIONS_SQL}, {r.PRIORITY_SQL}, {r.LINES_SQL},
 x AS (
   SELECT study_id, respondent_id, 'PRIORITY' AS question_id, 'RU' AS question_type, code, response,
     CAST(code AS DOUBLE) AS value FROM priority UNION ALL
   SELECT study_id, respondent_id, 'STATUS', 'RM', code, response, 1.0 FROM priority UNION ALL
-  SELECT study_id, respondent_id, 'EASE', 'Escala', CAST(l_linenumber AS VARCHAR), CAST(l_linenumber AS VARCHAR),
-    l_linenumber FROM lineitem JOIN evaluations ON l_orderkey = respondent_id)
+  SELECT study_id, respondent_id, question_id, 'Escala', CAST(CAST(value AS INTEGER) AS VARCHAR), CAST(CAST(value AS INTEGER) AS VARCHAR),
+    value FROM scales)
 SELECT x.study_id, question_id, question_type, code, x.response, segment, status AS filter_1,
   CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total, round(sum(factor), 6) AS weight
 FROM x JOIN evaluations USING (study_id, respondent_id) GROUP BY ALL""")
@@ -441,7 +443,7 @@ def s6_flat(spark: SparkSession, path: str) -> DataFrame:
 WITH {r.EVALUATIONS_SQL}
 SELECT 'respondents' AS "table", CAST(count(*) AS BIGINT) AS n_rows FROM evaluations UNION ALL
 SELECT 'responses', CAST(count(*) AS BIGINT) FROM evaluations UNION ALL
-SELECT 'scales', CAST(count(*) AS BIGINT) FROM lineitem JOIN evaluations ON l_orderkey = respondent_id UNION ALL
+SELECT 'scales', CAST(2 * count(*) AS BIGINT) FROM lineitem JOIN evaluations ON l_orderkey = respondent_id UNION ALL
 SELECT 'multi_responses', CAST(count(*) AS BIGINT) FROM evaluations""")
 def s7_counts(spark: SparkSession, path: str) -> DataFrame:
     tables = export_tables(spark, path)
@@ -560,19 +562,20 @@ def q7_checks(spark: SparkSession, path: str) -> DataFrame:
 
 @register("q8_integrity", """
 SELECT 'all' AS study_id, 'order of a line' AS kind, CAST(o AS VARCHAR) AS reference FROM (
-  SELECT DISTINCT l_orderkey AS o FROM lineitem WHERE l_quantity < 3) WHERE o NOT IN (
-  SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') UNION ALL
+  SELECT DISTINCT CASE WHEN l_quantity < 3 THEN -l_orderkey ELSE l_orderkey END AS o FROM lineitem) WHERE o NOT IN (
+  SELECT CASE WHEN o_orderstatus = 'F' THEN -o_orderkey ELSE o_orderkey END FROM orders) UNION ALL
 SELECT 'all', 'customer of an order', CAST(c AS VARCHAR) FROM (SELECT DISTINCT o_custkey AS c FROM orders)
-WHERE c NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')""")
+WHERE c NOT IN (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN -c_custkey ELSE c_custkey END FROM customer)""")
 def q8_integrity(spark: SparkSession, path: str) -> DataFrame:
-    def frame(name: str) -> DataFrame:
-        return r.table(spark, path, name).withColumn("study_id", F.lit("all"))
-    orders = frame("orders")
+    """Keys of small lines, finished orders and builders have another sign, so some references dangle."""
+    def frame(name: str, key: str, turned: str) -> DataFrame:
+        return r.table(spark, path, name).select("*", F.lit("all").alias("study_id"), F.when(
+            F.expr(turned), -F.col(key)).otherwise(F.col(key)).alias("key"))
+    orders = frame("orders", "o_orderkey", "o_orderstatus = 'F'")
     return q.dangling_references([
-        ("order of a line", frame("lineitem").filter("l_quantity < 3"), "l_orderkey",
-         orders.filter("o_orderstatus <> 'F'"), "o_orderkey"),
+        ("order of a line", frame("lineitem", "l_orderkey", "l_quantity < 3"), "key", orders, "key"),
         ("customer of an order", orders, "o_custkey",
-         frame("customer").filter("c_mktsegment <> 'BUILDING'"), "c_custkey"),
+         frame("customer", "c_custkey", "c_mktsegment = 'BUILDING'"), "key"),
     ])
 
 
@@ -583,12 +586,13 @@ SELECT user_id AS run_id, CASE WHEN user_id % 10 = 0 THEN 'FAIL' WHEN blocked TH
     WHEN n > 0 THEN 'PASS_WITH_WARNINGS' WHEN user_id % 2 = 1 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS qa_release_status,
   user_id % 10 <> 0 AND NOT blocked AND NOT review AND user_id % 2 = 0 AS releasable FROM e""")
 def q9_release(spark: SparkSession, path: str) -> DataFrame:
-    """Runs are users; their large events are the QA rows."""
+    """Runs are users and their large events QA rows; small events are of runs that no one registered."""
     events = r.table(spark, path, "events").withColumn("run_id", F.col("user_id"))
+    of_run = F.when(F.col("value") > 100, F.col("run_id")).otherwise(-1 - F.col("run_id")).alias("run_id")
     large = (F.col("event_type") == "error") & (F.col("value") > 200)
     review = (F.col("event_type") == "signup") & (F.col("value") > 150)
-    rows = events.filter((F.col("value") > 100)).select(
-        "run_id", F.when(review, "REVIEW_REQUIRED").otherwise("WARNING").alias("state"),
+    rows = events.select(
+        of_run, F.when(review, "REVIEW_REQUIRED").otherwise("WARNING").alias("state"),
         large.alias("blocking"))
     runs = events.select("run_id").distinct().select(
         "run_id", F.when(F.col("run_id") % 10 == 0, "FAILED").otherwise("COMPLETE")
@@ -666,22 +670,24 @@ def s1_load(spark: SparkSession, path: str) -> DataFrame:
 
 
 @register("s2_codebook", """
-WITH b AS (SELECT 'P' || p_partkey AS variable, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS label,
-    p_partkey FROM part WHERE p_partkey % 5 <> 4),
-o AS (SELECT 'P' || l_partkey AS variable, CASE WHEN count(DISTINCT l_linenumber) = 1 THEN CAST(min(l_linenumber)
-    AS VARCHAR) ELSE '' END AS label FROM lineitem WHERE l_quantity < 5 GROUP BY l_partkey)
+WITH b AS (SELECT CASE WHEN p_partkey % 5 = 4 THEN 'Q' ELSE 'P' END || p_partkey AS variable,
+    CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS label FROM part),
+l AS (SELECT l_partkey, CASE WHEN l_quantity < 5 THEN l_linenumber END AS n FROM lineitem),
+o AS (SELECT 'P' || l_partkey AS variable, CASE WHEN count(DISTINCT n) = 1 THEN CAST(min(n) AS VARCHAR) ELSE '' END AS label
+      FROM l GROUP BY l_partkey)
 SELECT b.variable, CASE WHEN b.label = '' THEN coalesce(o.label, '') ELSE b.label END AS label
 FROM b LEFT JOIN o USING (variable) UNION ALL
 SELECT o.variable, o.label FROM o WHERE variable NOT IN (SELECT variable FROM b)""")
 def s2_codebook(spark: SparkSession, path: str) -> DataFrame:
     """A main sheet, and one that names variables in a list cell."""
-    main = r.table(spark, path, "part").filter("p_partkey % 5 <> 4").select(
-        F.lit("s").alias("study_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    letter = F.when(F.col("p_partkey") % 5 == 4, "Q").otherwise("P")
+    main = r.table(spark, path, "part").select(
+        F.lit("s").alias("study_id"), F.concat(letter, F.col("p_partkey").cast("string"))
         .alias("variable"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name")).alias("label"))
-    listed = r.table(spark, path, "lineitem").filter("l_quantity < 5").select(
+    listed = r.table(spark, path, "lineitem").select(
         F.lit("s").alias("study_id"), F.concat(F.lit("1) P"), F.col("l_partkey").cast("string"),
                                                F.lit(";")).alias("names"),
-        F.col("l_linenumber").cast("string").alias("label"))
+        F.when(F.col("l_quantity") < 5, F.col("l_linenumber").cast("string")).otherwise("").alias("label"))
     merged = src.load_codebook([("main", main), ("list", listed)], {"list": "names"})
     return merged.select("variable", "label")
 

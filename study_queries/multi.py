@@ -225,37 +225,39 @@ dedup AS (
     PARTITION BY study_id, respondent_id, question_id, code ORDER BY pos) = 1)"""
 
 
+MARKED_SQL = f"""{RM_LONG_SQL},
+marked AS (
+  SELECT *, contains(lower(response), 'ninguna') AS ex,
+    max(CASE WHEN contains(lower(response), 'ninguna') THEN 0 ELSE 1 END)
+      OVER (PARTITION BY study_id, respondent_id, question_id) AS other FROM dedup)"""
+
+
+def rm_long(spark: SparkSession, path: str) -> DataFrame:
+    cells, codebook, labels = rm_mentions(spark, path)
+    encodings = s.multi_response_encodings(cells, codebook, labels)
+    return s.build_multi_response(cells, encodings, codebook, labels)
+
+
 @register("d3_multi_long", f"""
-WITH {RM_LONG_SQL}
+WITH {MARKED_SQL}
 SELECT study_id, question_id, variable, code, response, format_rm, CAST(count(*) AS BIGINT) AS n
-FROM dedup WHERE question_id <> 'MEN' GROUP BY ALL""")
+FROM marked WHERE NOT (ex AND other = 1) GROUP BY ALL""")
 def d3_multi_long(spark: SparkSession, path: str) -> DataFrame:
-    """The 0/1 and code-per-option encodings."""
-    cells, codebook, labels = rm_mentions(spark, path)
-    encodings = s.multi_response_encodings(cells, codebook, labels)
-    long = s.build_multi_response(cells, encodings, codebook, labels)
-    return long.filter("question_id <> 'MEN'").groupBy(
+    """The 0/1, code-per-option and mention encodings."""
+    return rm_long(spark, path).groupBy(
         "study_id", "question_id", "variable", "code", "response", "format_rm"
     ).agg(F.count("*").alias("n"))
 
 
 @register("d5_exclusive", f"""
-WITH {RM_LONG_SQL},
-marked AS (
-  SELECT *, contains(lower(response), 'ninguna') AS ex,
-    max(CASE WHEN contains(lower(response), 'ninguna') THEN 0 ELSE 1 END)
-      OVER (PARTITION BY study_id, respondent_id, question_id) AS other
-  FROM dedup WHERE question_id = 'MEN')
-SELECT study_id, variable, code, response, CAST(count(*) AS BIGINT) AS n
-FROM marked WHERE NOT (ex AND other = 1) GROUP BY ALL""")
+WITH {MARKED_SQL}
+SELECT study_id, question_id, code, CAST(count(DISTINCT respondent_id) AS BIGINT) AS respondents,
+  CAST(count(*) AS BIGINT) AS n FROM marked WHERE NOT (ex AND other = 1) GROUP BY ALL""")
 def d5_exclusive(spark: SparkSession, path: str) -> DataFrame:
-    """Mentions with duplicates and exclusive conflicts removed."""
-    cells, codebook, labels = rm_mentions(spark, path)
-    encodings = s.multi_response_encodings(cells, codebook, labels)
-    long = s.build_multi_response(cells, encodings, codebook, labels)
-    return long.filter("question_id = 'MEN'").groupBy(
-        "study_id", "variable", "code", "response"
-    ).agg(F.count("*").alias("n"))
+    """Mentions with duplicates and exclusive conflicts removed (D4, D5): a respondent has a code once."""
+    people = rm_long(spark, path).groupBy("study_id", "question_id", "code", "respondent_id").agg(F.count("*").alias("n"))
+    return people.groupBy("study_id", "question_id", "code").agg(
+        F.count("*").alias("respondents"), F.sum("n").alias("n"))
 
 
 @register("d4_dedupe", f"""
