@@ -797,3 +797,71 @@ def j6_identity(spark: SparkSession, path: str) -> DataFrame:
     people = with_banner_cells(evaluation, "segment")
     return identity_rows(r.priority_facts(evaluation), people, ["segment"]).select(
         "study_id", "banner", "response", "code", "banner_variable", "banner_raw_value")
+
+
+@register("p13_base_text", f"""
+WITH {r.EVALUATIONS_SQL},
+c AS (SELECT study_id, wave, count(*) AS n FROM evaluations GROUP BY ALL),
+w AS (SELECT study_id, string_agg(CASE wave WHEN 0 THEN 'Inicial' WHEN 1 THEN 'Media'
+    WHEN 2 THEN '2' ELSE 'Sin respuesta' END || ' n=' || format('{{:,}}', n), '; ' ORDER BY wave NULLS LAST) AS d FROM c GROUP BY ALL)
+SELECT study_id, 'wave' AS variable, d AS base_distribution,
+  'Ola se recomienda como banner porque permite comparar segmentos relevantes de forma clara y accionable.' AS justification FROM w
+UNION ALL SELECT study_id, 'amount', 'Código 3 n=1,200', 'Bueno para comparar' FROM w
+UNION ALL SELECT study_id, 'gone', 'Código 1 n=20; Código 2 n=30', 'Sin archivo' FROM w
+UNION ALL SELECT study_id, 'factor', 'queda igual', '1: 20; 2: 30' FROM w""")
+def p13_base_text(spark: SparkSession, path: str) -> DataFrame:
+    """Fresh counts for a variable fit for breakdowns, rewritten texts for one that is not or is gone."""
+    evaluation = r.evaluations(spark, path)
+    cells = s.unpivot_cells(evaluation, ["study_id"], ["wave", "amount"])
+    studies = r.studies(spark, path)
+    rows = [("wave", "banner_filtro", "Ola", "1: 20; 2: 30", "viejo"), ("amount", "banner_filtro", "", "Bueno para comparar", "3: 1200"),
+            ("gone", "banner_filtro", "", "Sin archivo", "1: 20; 2: 30"), ("factor", "factor_score", "", "1: 20; 2: 30", "queda igual")]
+    names = ("variable", "kind", "label", "justification", "base_distribution")
+    advice = studies.select("study_id", F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row)]) for row in rows]))).withColumns({
+        "is_banner_recommended": F.lit(True), "is_filter_recommended": F.lit(False), "use": F.lit(None).cast("string")})
+    safety = pf.variable_safety(cells, advice.select("study_id", "variable"))
+    found = pf.with_base_distribution(advice, cells, r.wave_labels(spark, path), safety)
+    return found.select("study_id", "variable", "base_distribution", "justification")
+
+
+@register("u4_missing_variables", f"""
+WITH {SHEET_SQL},
+file AS (SELECT 'st' || (p_partkey % 4) AS study_id, 'V' || p_partkey AS variable FROM part UNION
+         SELECT 'st' || (s_suppkey % 4), 'S' || s_suppkey FROM supplier UNION ALL
+         SELECT 'st' || (s_suppkey % 4), 'S' || s_suppkey FROM supplier)
+SELECT DISTINCT study_id, variable, 'Sin clasificar' AS question_type, 'Frecuencia' AS calculation
+FROM file WHERE variable NOT IN (SELECT variable FROM sheet)
+UNION ALL SELECT study_id, '(listed)', CAST(count(*) AS VARCHAR), '' FROM sheet GROUP BY study_id""")
+def u4_missing_variables(spark: SparkSession, path: str) -> DataFrame:
+    """A file with the suppliers as further variables, twice, which the sheet of parts does not list."""
+    def variables(name: str, key: str, letter: str) -> DataFrame:
+        return r.table(spark, path, name).select(
+            F.concat(F.lit("st"), (F.col(key) % 4).cast("string")).alias("study_id"),
+            F.concat(F.lit(letter), F.col(key).cast("string")).alias("variable"))
+    suppliers = variables("supplier", "s_suppkey", "S")
+    file = variables("part", "p_partkey", "V").unionByName(suppliers).unionByName(suppliers)
+    whole = cb.add_missing_variables(sheet(spark, path), file)
+    new = F.col("variable").startswith("S")
+    listed = whole.filter(~new).groupBy("study_id").agg(F.count("*").cast("string").alias("question_type")).select(
+        "study_id", F.lit("(listed)").alias("variable"), "question_type", F.lit("").alias("calculation"))
+    return whole.filter(new).select("study_id", "variable", "question_type", "calculation").unionByName(listed)
+
+
+@register("p16_types", """
+WITH x AS (SELECT event_id, lower(event_type) AS e, user_id % 9 AS k FROM events),
+m AS (SELECT *, CASE k WHEN 0 THEN 'Grid RM' WHEN 1 THEN 'grid escala de ' WHEN 2 THEN 'loop ru ' WHEN 3 THEN 'Loop numérico '
+    WHEN 4 THEN 'NPS de ' WHEN 5 THEN 'top2box ' WHEN 6 THEN 'Multiple ' ELSE '' END || e AS text FROM x)
+SELECT k, CASE k WHEN 0 THEN 'GRID_RM/LOOP_RM' WHEN 1 THEN 'GRID_ESCALA' WHEN 2 THEN 'LOOP_RU' WHEN 3 THEN 'LOOP_NUMERICO'
+    WHEN 4 THEN 'NPS' WHEN 5 THEN 'Escala' WHEN 6 THEN CASE e WHEN 'click' THEN 'Escala' ELSE 'RM' END ELSE
+      CASE WHEN e = 'click' THEN 'Escala' WHEN e = 'view' THEN 'RM' WHEN e = 'error' THEN 'RM' WHEN e = 'signup' THEN 'RU'
+           WHEN k = 7 THEN 'Abierta' ELSE 'Requiere validación' END END AS inferred_type, CAST(count(*) AS BIGINT) AS n
+FROM m GROUP BY ALL""")
+def p16_types(spark: SparkSession, path: str) -> DataFrame:
+    """Types from texts, and for texts that say nothing from the tables with rows."""
+    kind, event = F.col("user_id") % 9, F.lower("event_type")
+    words = F.element_at(F.array(*[F.lit(x) for x in (
+        "Grid RM", "grid escala de ", "loop ru ", "Loop numérico ", "NPS de ", "top2box ", "Multiple ", "", "")]), (kind + 1).cast("int"))
+    is_event = lambda name: event == name
+    inferred = cb.infer_type(F.concat(words, event), is_event("signup"), is_event("view"), is_event("click"),
+                             (kind == 7) & is_event("purchase"), is_event("error"))
+    return r.table(spark, path, "events").groupBy(kind.alias("k"), inferred.alias("inferred_type")).agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from study_queries.inference import letters_sql
 from study_queries.multi import grid_rows
 from tabuloom.operators import bands as b
 from tabuloom.operators import metrics as m
+from tabuloom.operators import profile as pf
 from tabuloom.operators import quality as q
 from tabuloom.operators import reshape as s
 from tabuloom.operators import significance as z
@@ -92,6 +93,39 @@ def d1_respondents(spark: SparkSession, path: str) -> DataFrame:
         F.min("respondent_id").alias("first_id"))
 
 
+ATTRIBUTES = (
+    # column, class, weight: F4 refuses the folio and the amount, a plain question is no attribute.
+    ("segment", "Banner", False), ("status", "Filtro", False), ("folio", "Control de calidad", False),
+    ("amount", "Derivada", False), ("nation", "Pregunta analizable", False), ("factor", "Ponderador", True),
+    ("half", "Variable técnica", True))
+
+
+@register("d1_attributes", f"""
+WITH {r.EVALUATIONS_SQL},
+x AS (SELECT study_id, unnest(['segment', 'status', 'factor', 'half']) AS variable,
+        unnest([segment, status, CAST(CAST(factor AS DOUBLE) AS VARCHAR), CAST(respondent_id % 2 AS VARCHAR)]) AS v FROM evaluations)
+SELECT study_id, variable, CAST(count(v) AS BIGINT) AS n, CAST(count(DISTINCT v) AS BIGINT) AS n_values, min(v) AS lowest
+FROM x GROUP BY ALL""")
+def d1_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """Attributes by class and by what F4 says of the data."""
+    wide = r.evaluations(spark, path).select(
+        "study_id", F.col("respondent_id").alias("row_index"), F.col("person_id").alias("folio"), "segment",
+        "status", "amount", "nation", F.col("factor").cast("double").alias("factor"), (F.col("respondent_id") % 2).alias("half"))
+    names = [a[0] for a in ATTRIBUTES]
+    studies = r.table(spark, path, "region").select(F.col("r_name").alias("study_id"))
+    book = studies.select("study_id", F.inline(F.array(*[F.struct(
+        F.lit(v).alias("variable"), F.lit(c).alias("analytic_class"), F.lit(w).alias("is_weight")) for v, c, w in ATTRIBUTES])))
+    cells = s.unpivot_cells(wide, ["study_id"], names)
+    safety = pf.variable_safety(cells, book)
+    people = s.build_respondents(wide, [], declared_ids=["folio"])
+    attributes = s.with_attributes(people, wide, names, book, safety)
+    values = attributes.select("study_id", F.explode("attributes").alias("variable", "v"))
+    counts = values.groupBy("study_id", "variable", "v").agg(F.count("*").alias("same"))
+    return counts.groupBy("study_id", "variable").agg(
+        F.sum(F.when(F.col("v").isNotNull(), F.col("same")).otherwise(0)).alias("n"),
+        F.count("v").alias("n_values"), F.min("v").alias("lowest"))
+
+
 @register("d2_single_choice", f"""
 WITH {r.CUSTOMERS_SQL}
 SELECT study_id, 'SEG' AS question_id, segment AS code, segment AS response, CAST(count(*) AS BIGINT) AS n
@@ -390,7 +424,8 @@ fc AS (SELECT *, 'Total' AS banner FROM f UNION ALL SELECT *, segment FROM f),
 c AS (SELECT study_id, question_id, banner, response, count(*) AS n FROM fc GROUP BY ALL),
 s AS (SELECT sc.study_id, sc.question_id, sc.value, e.segment, sc.respondent_id FROM scales sc
       JOIN evaluations e USING (study_id, respondent_id) WHERE e.status IN ('F', 'O')),
-sb AS (SELECT *, 'Total' AS banner FROM s UNION ALL SELECT *, segment FROM s)
+answers AS (SELECT * FROM s UNION ALL SELECT study_id, question_id, CAST(code AS DOUBLE), segment, respondent_id FROM f),
+sb AS (SELECT *, 'Total' AS banner FROM answers UNION ALL SELECT *, segment FROM answers)
 SELECT study_id, question_id, response, banner, 'n' AS metric, CAST(n AS DOUBLE) AS value FROM c UNION ALL
 SELECT study_id, question_id, response, banner, 'pct', round(n / sum(n) OVER (PARTITION BY study_id, banner) * 100, 6)
 FROM c UNION ALL
@@ -398,8 +433,14 @@ SELECT study_id, question_id, '', banner, 'mean', round(avg(value), 6) FROM sb G
 SELECT study_id, question_id, '', banner, 'nps', round((count(*) FILTER (WHERE value >= 9)
   - count(*) FILTER (WHERE value <= 6)) / count(*) * 100, 6) FROM sb WHERE question_id = 'NPS' GROUP BY ALL""")
 def tabulate_book(spark: SparkSession, path: str) -> DataFrame:
-    """All questions of all studies by segment under a filter, in one plan."""
-    tables = {**small_study(spark, path), "scales": scale_facts(spark, path)}
+    """All questions of all studies by segment under a filter, in one plan.
+
+    The priority has bounds but no scale rows, so its mean comes from its single choices.
+    """
+    study = small_study(spark, path)
+    bounds = study["questions"].filter("question_id = 'PRIORITY'").select(
+        "study_id", "question_id", F.lit(1.0).alias("scale_min"), F.lit(5.0).alias("scale_max"), F.lit(False).alias("nps"))
+    tables = {**study, "scales": scale_facts(spark, path), "scale_bounds": bounds}
     report = tabulate(tables, Request(banners=["segment"], filters={"status": ["F", "O"]}))
     return report_cells(report, ["n", "pct", "mean", "nps"]).select(
         "study_id", "question_id", "response", "banner", "metric", r6("value"))

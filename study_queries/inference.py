@@ -592,6 +592,32 @@ def z7_mcnemar(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("p_value", F.lit(-1.0)), 9).alias("p_value"), "result")
 
 
+SELECTION_SQL = f"""{r.EVENT_DAYS_SQL},
+x AS (SELECT study_id, person_id, day > 15 AS late, max(CAST(code = 'click' AS INTEGER)) AS v FROM event_days GROUP BY ALL),
+k AS (SELECT a.study_id, count(*) AS n, avg(a.v) AS ma, avg(b.v) AS mb,
+    count(*) FILTER (WHERE a.v = 1 AND b.v = 0) AS yn, count(*) FILTER (WHERE a.v = 0 AND b.v = 1) AS ny
+  FROM x a JOIN x b USING (study_id, person_id) WHERE NOT a.late AND b.late GROUP BY ALL)"""
+
+
+@register("z7_selection", f"""
+WITH {SELECTION_SQL}
+SELECT study_id, CAST(n AS BIGINT) AS pairs, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b,
+  CAST(yn AS BIGINT) AS yes_no, CAST(ny AS BIGINT) AS no_yes FROM k""")
+def z7_selection(spark: SparkSession, path: str) -> DataFrame:
+    """Did a user choose the option in the first and in the second half of the month?"""
+    days = r.event_days(spark, path)
+    half = (F.col("day") > 15).cast("long")
+    visits = days.select("study_id", "question_id", (F.col("person_id") * 2 + half).alias("respondent_id"), "person_id",
+                         half.alias("half"), F.when(F.col("code") == "click", "1").otherwise("2").alias("code"))
+    base = visits.select("study_id", "question_id", "respondent_id").distinct()
+    people = visits.select("study_id", "respondent_id", "person_id", "half").distinct()
+    facts = p.selection_facts(base, visits, 1)
+    pairs = p.person_pairs(p.condition_side(facts, people, "value", F.col("half") == 0),
+                           p.condition_side(facts, people, "value", F.col("half") == 1))
+    stats = p.paired_proportions(pairs, min_pairs=1, with_p=False)
+    return stats.select("study_id", big("pairs"), r6("mean_a"), r6("mean_b"), big("yes_no"), big("no_yes"))
+
+
 # --- weights ----------------------------------------------------------------
 
 @register("a20_kish", f"""

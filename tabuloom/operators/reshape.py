@@ -189,6 +189,39 @@ def build_respondents(wide: DataFrame, role_columns: Sequence[str], id_column: s
     )
 
 
+def role_variables(codebook: DataFrame, safety: DataFrame) -> DataFrame:
+    """(study_id, variable) of the attributes that respondents carry.
+
+    A variable needs a class of respondents or a role, and unless it is a weight it
+    must be fit for breakdowns and filters: `safety` is what F4 says of it.
+    """
+    role = F.lit(False)
+    for flag in ("is_banner", "is_filter", "is_weight"):
+        if flag in codebook.columns:
+            role = role | F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
+    weight = F.coalesce(F.col("is_weight").cast("boolean"), F.lit(False)) if "is_weight" in codebook.columns else F.lit(False)
+    named = F.coalesce(F.col("analytic_class").isin(*RESPONDENT_CLASSES), F.lit(False)) | role
+    wanted = codebook.filter(named).groupBy("study_id", "variable").agg(F.bool_or(weight).alias("weight"))
+    reasons = safety.select("study_id", "variable", "reason")
+    return wanted.join(reasons, ["study_id", "variable"], "left").filter(
+        F.col("weight") | (F.col("reason") == "")).select("study_id", "variable")
+
+
+def with_attributes(people: DataFrame, wide: DataFrame, names: Sequence[str], codebook: DataFrame,
+                    safety: DataFrame) -> DataFrame:
+    """Respondents with a map of the attributes that their own study's codebook and data allow.
+
+    Studies share one plan and columns cannot depend on data, so a study's choice
+    is which of the file's columns `names` its map holds; its values are texts.
+    """
+    allowed = role_variables(codebook, safety).groupBy("study_id").agg(F.collect_set("variable").alias("__allowed"))
+    every = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`").cast("string") for n in names]))
+    values = wide.select("study_id", "row_index", every.alias("__every"))
+    joined = people.join(values, ["study_id", "row_index"]).join(allowed, "study_id", "left")
+    kept = F.map_filter("__every", lambda k, v: F.array_contains(F.coalesce("__allowed", F.array().cast("array<string>")), k))
+    return joined.withColumn("attributes", kept).drop("__every", "__allowed")
+
+
 # --- D2 ---------------------------------------------------------------------
 
 def _labels(labels: DataFrame) -> DataFrame:
@@ -557,7 +590,23 @@ def scale_fallback(single_choice: DataFrame, bounds: DataFrame) -> DataFrame:
     rows = single_choice.filter(F.col("value").isNotNull()).join(
         bounds, ["study_id", "question_id"]
     )
-    return score_scale(rows, F.col("nps")).drop("nps")
+    outside = ~F.col("value").between(F.col("scale_min"), F.col("scale_max"))
+    inside = rows.filter(F.when(outside, fails(F.concat(
+        F.lit("values outside the declared scale of question "), "question_id"))).otherwise(True))
+    return score_scale(inside, F.col("nps")).drop("nps")
+
+
+def scales_of(scales: DataFrame | None, single_choice: DataFrame | None, bounds: DataFrame | None) -> DataFrame | None:
+    """Scale rows of a report: of questions with bounds but no such rows, their single-choice rows."""
+    if bounds is None or single_choice is None:
+        return scales
+    keys = ["study_id", "question_id"]
+    if "value" not in single_choice.columns:
+        single_choice = single_choice.withColumn("value", F.col("code").try_cast("double"))
+    lacking = bounds if scales is None else bounds.join(scales.select(*keys).distinct(), keys, "left_anti")
+    columns = [*keys, "respondent_id", "value", "top2box", "bottombox", "nps_group"]
+    found = scale_fallback(single_choice, lacking).select(*columns)
+    return found if scales is None else scales.select(*columns).unionByName(found)
 
 
 # --- D11 --------------------------------------------------------------------

@@ -18,6 +18,7 @@ from tabuloom.operators import significance as z
 from tabuloom.operators import units as u
 from tabuloom.operators.breakdown import CELL_COLUMNS, respondent_dimension
 from tabuloom.operators.quality import PERSON_UNITS
+from tabuloom.operators.reshape import scales_of
 from tabuloom.operators.tables import long_cells, order_responses
 
 KEYS = m.KEYS
@@ -111,7 +112,9 @@ def tabulate(tables: Mapping[str, DataFrame], request: Request) -> Report:
     """Summaries of every question in `tables`.
 
     `tables`: respondents and any of responses, multi_responses, multi_bases,
-    grid_responses, scales, options, questions.
+    grid_responses, scales, options, questions, scale_bounds.  A question of
+    scale_bounds (scale_min, scale_max, nps) that has no scale rows is scored from
+    its single-choice rows.
     """
     options = tables.get("options")
     frequency, multi, grid, moments, nps, bases = [], [], [], [], [], []
@@ -130,8 +133,9 @@ def tabulate(tables: Mapping[str, DataFrame], request: Request) -> Report:
             multi.append(m.multi_response(part["multi_responses"], dimension, base))
         if "grid_responses" in part:
             grid.append(m.grid_multi_response(part["grid_responses"], dimension))
-        if "scales" in part:
-            moments.append(m.cell_moments(part["scales"], dimension))
+        scales = scales_of(part.get("scales"), part.get("responses"), tables.get("scale_bounds"))
+        if scales is not None:
+            moments.append(m.cell_moments(scales, dimension))
             nps.append(m.nps_of(moments[-1], nps_scale=request.nps_scale))
         selected = respondents.filter(filter_condition(respondents, filters))
         answered = [part[n].select(*KEYS, "respondent_id") for n in
