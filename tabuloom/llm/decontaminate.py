@@ -5,9 +5,10 @@ in a text where its word edit distance to a passage is at most (1 - similarity)
 an item's size are mapped to Hamming space by random walks (the CGK embedding: repeat a symbol or step to
 the next as a random function of symbol and step says); a few sampled positions of a walk are a key, and
 repeated walks give enough keys to reach the target recall. The share of walks that agree falls with an
-item's length, so items of more than WALKED words are cut into one piece more than they may have edits:
-one piece is in the text unchanged, and the first words of pieces are the keys, which loses nothing. Keys
-of texts and items are joined; every candidate is verified by exact edit distance.
+item's length, so items of more than WALKED words are walked in segments of at most so many: if all segments
+were further from their passage than the similarity allows, so were the item, hence one is not, and is found
+like an item of its length. Keys of texts and items are joined; every candidate is verified by the exact edit
+distance of the whole item.
 
 Windows are only taken where enough runs of a few words occur in some item: with so few edits an item
 must keep that many runs unbroken, so this leaves out no window that could be verified.
@@ -35,9 +36,10 @@ SIMILARITY = 0.8
 SAMPLED = 3
 AGREE = 0.085
 RECALL = 0.97
-#: Most words of an item that is found by walks, and most words of a longer item's key.
+#: Most words that are walked at once.
 WALKED = 30
-PIECE = 4
+#: Sets the keys of segments apart from those of items of the same length.
+SEGMENT = np.uint64(1)
 #: Most bits of a filter (128 MB), enough for 50 million hashes; how many one has follows from their number.
 FILTER_BITS = 1 << 30
 #: Words of 64 bits that come to the driver in a row.
@@ -81,15 +83,11 @@ def runs(words: np.ndarray, q: int) -> np.ndarray:
     return found
 
 
-def piece_length(n: int, similarity: float) -> int:
-    """Words of a key of an item of n words: one of its pieces, one more than edits, is unchanged."""
-    return int(min(PIECE, max(1, n // (int(edits(n, similarity)) + 1))))
-
-
-def piece_keys(words: np.ndarray, n: int, similarity: float) -> np.ndarray:
-    """The keys of an item of n words."""
-    number = int(edits(n, similarity)) + 1
-    return hashing.pairs(runs(words, piece_length(n, similarity))[np.arange(number) * (n // number)], np.full(number, n, dtype=np.uint64))
+def segments(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the segments that an item of n words is walked in, of nearly equal length."""
+    number = -(-n // WALKED)
+    edges = np.arange(number + 1) * n // number
+    return edges[:-1], np.diff(edges)
 
 
 class Walks:
@@ -147,7 +145,9 @@ def prepared(items: DataFrame, key: str, text: str, walk: Walks, similarity: flo
                 if len(words):
                     n = np.array([len(words)])
                     found = runs(words, int(run_length(n)[0]))
-                    keys = walk.keys(words, np.array([0]), n, n)[0] if len(words) <= WALKED else piece_keys(words, len(words), similarity)
+                    start, length = segments(len(words))
+                    keys = walk.keys(words, start, length, length)
+                    keys = keys if len(words) <= WALKED else hashing.pairs(keys, np.full(keys.shape, SEGMENT))
                     rows.append((name, xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63), len(words), words.tobytes(), np.unique(found).view(np.int64).tolist(), np.unique(keys).view(np.int64).tolist()))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [batch.schema.types[0], pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -201,7 +201,20 @@ class Finder:
     """Windows of texts that share a key with an item."""
 
     def __init__(self, sizes: list[int], walk: Walks, run_bits: np.ndarray, key_bits: np.ndarray, similarity: float):
-        self.sizes, self.walk, self.run_bits, self.key_bits, self.similarity = np.array(sizes), walk, run_bits, key_bits, similarity
+        """`sizes`: words of the items."""
+        self.walk, self.run_bits, self.key_bits, self.similarity = walk, run_bits, key_bits, similarity
+        #: Words before and after a segment of each length that its item may take up.
+        self.before, self.after = np.zeros(WALKED + 1, dtype=np.int64), np.zeros(WALKED + 1, dtype=np.int64)
+        self.short = np.zeros(WALKED + 1, dtype=bool)
+        for n in sizes:
+            if n <= WALKED:
+                self.short[n] = True
+                continue
+            slack = int(edits(n, similarity)) + 3
+            for at, length in zip(*segments(n)):
+                self.before[length] = max(self.before[length], at + slack)
+                self.after[length] = max(self.after[length], n - at - length + slack)
+        self.sizes = np.flatnonzero(self.short | (self.before > 0))
 
     def windows(self, texts: list[bytes]) -> Iterator[tuple[int, list[int], bytes]]:
         """(number of the text, keys, words of the region) for each window."""
@@ -210,8 +223,6 @@ class Finder:
         edges = np.searchsorted(at, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
         text_of = np.repeat(np.arange(len(texts)), np.diff(edges))
         start, n = self._candidates(words, text_of, edges)
-        yield from self._regions(words, text_of, edges, start[n > WALKED], n[n > WALKED])
-        start, n = start[n <= WALKED], n[n <= WALKED]
         if not len(start):
             return
         end = edges[text_of[start] + 1]
@@ -219,26 +230,28 @@ class Finder:
         same = self._contents(words, start, limit, n)
         _, first, back = np.unique(same, return_index=True, return_inverse=True)
         keys = self.walk.keys(words, start[first], limit[first], n[first])
-        hit = _in(keys, self.key_bits)
+        hit = _in(keys, self.key_bits) & self.short[n[first]][:, None]
         slack = edits(n, self.similarity) + 3
         for i in np.flatnonzero(hit.any(axis=1)[back]):
             own = back[i]
             low, high = max(edges[text_of[start[i]]], start[i] - slack[i]), min(end[i], start[i] + n[i] + slack[i])
             yield int(text_of[start[i]]), keys[own][hit[own]].view(np.int64).tolist(), words[low:high].tobytes()
+        keys = hashing.pairs(keys, np.full(keys.shape, SEGMENT))
+        hit = _in(keys, self.key_bits) & (self.before > 0)[n[first]][:, None]
+        at = np.flatnonzero(hit.any(axis=1)[back])
+        lows = np.maximum(edges[text_of[start[at]]], start[at] - self.before[n[at]])
+        highs = np.minimum(end[at], start[at] + n[at] + self.after[n[at]])
+        yield from self._regions(words, text_of, at, lows, highs, lambda i: keys[back[i]][hit[back[i]]])
 
-    def _regions(self, words: np.ndarray, text_of: np.ndarray, edges: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, list[int], bytes]]:
-        """As `windows`, for long items: windows of a size that overlap are one region, which holds all that they may be part of."""
-        for size in np.unique(n).tolist():
-            own, most, width = np.sort(start[n == size]), int(edits(size, self.similarity)), piece_length(size, self.similarity)
-            fresh = np.append(True, (np.diff(own) > size) | (np.diff(text_of[own]) > 0))
-            # Before the first run that is left, an edit takes up as many words as a run has, at most.
-            lows = np.maximum(own[fresh] - most * int(run_length(size)), edges[text_of[own[fresh]]])
-            highs = np.minimum(own[np.append(np.flatnonzero(fresh)[1:], len(own)) - 1] + size + most, edges[text_of[own[fresh]] + 1])
-            for low, high in zip(lows.tolist(), highs.tolist()):
-                keys = np.unique(hashing.pairs(runs(words[low:high], width), np.full(max(0, high - low - width + 1), size, dtype=np.uint64)))
-                keys = keys[_in(keys, self.key_bits)]
-                if len(keys):
-                    yield int(text_of[low]), keys.view(np.int64).tolist(), words[low:high].tobytes()
+    @staticmethod
+    def _regions(words: np.ndarray, text_of: np.ndarray, at: np.ndarray, lows: np.ndarray, highs: np.ndarray, keys_of) -> Iterator[tuple[int, list[int], bytes]]:
+        """As `windows`, for segments: stretches that overlap, as those of one long item do, are one region."""
+        order = np.argsort(lows, kind="stable")
+        lows, highs, at = lows[order], np.maximum.accumulate(highs[order]), at[order]
+        fresh = np.flatnonzero(np.append(True, lows[1:] >= highs[:-1]) if len(lows) else np.zeros(0, dtype=bool))
+        for a, b in zip(fresh, np.append(fresh[1:], len(lows))):
+            keys = np.unique(np.concatenate([keys_of(i) for i in at[a:b]]))
+            yield int(text_of[lows[a]]), keys.view(np.int64).tolist(), words[lows[a]:highs[b - 1]].tobytes()
 
     def _candidates(self, words: np.ndarray, text_of: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and sizes of the windows that hold enough runs; a window starts at any run and two words before it."""
@@ -261,8 +274,7 @@ class Finder:
                 stop = np.minimum(begin + n, end)
                 inside = total[np.maximum(stop - q + 1, begin)] - total[begin]
                 good = inside >= least_runs(n, self.similarity)
-                if n <= WALKED:
-                    good &= stop - begin >= n - edits(n, self.similarity)
+                good &= stop - begin >= n - edits(n, self.similarity)
                 starts.append(begin[good])
                 sizes.append(np.full(int(good.sum()), n))
         return np.concatenate(starts), np.concatenate(sizes)
