@@ -22,7 +22,7 @@ CHUNK_BYTES = 4 << 20
 #: Codes that are turned into values at a time, so that a very long document needs no large arrays.
 BLOCK = 1 << 18
 #: Text whose words are looked up together, by their hashes: a part of the dictionary, which one task holds.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 LEAST_PARTS = 8
 
 
