@@ -35,7 +35,7 @@ FEATURES = COLUMNS + 10
 
 
 def features(text: bytes) -> np.ndarray:
-    """Shares of bytes, and of words that are short, long, in capitals, repeated or without letters."""
+    """Shares of bytes, and of words that are short, in capitals, repeated, without letters or end in none; their lengths."""
     counts, sums, start = np.zeros(256), np.zeros(8), 0
     data = np.frombuffer(text, dtype=np.uint8)
     while start < len(data):
@@ -46,13 +46,12 @@ def features(text: bytes) -> np.ndarray:
         counts += np.bincount(block, minlength=256)
         h, a, b = hashing.words(block, IS_WORD)
         if len(h):
-            edges = np.append(a, len(block))
             letters = np.add.reduceat(LETTER[block], a, dtype=np.int64)
             upper = np.add.reduceat(UPPER[block], a, dtype=np.int64)
             lower = np.add.reduceat(LOWER[block], a, dtype=np.int64)
             sums += [
                 len(h), (b - a).sum(), (h[1:] == h[:-1]).sum(), len(np.unique(h)), (letters == 0).sum(),
-                ((upper > 1) & (lower == 0)).sum(), ((b - a) <= 2).sum(), (~LETTER[block[edges[1:] - 1]] & ~IS_WORD[block[edges[1:] - 1]]).sum()]
+                ((upper > 1) & (lower == 0)).sum(), ((b - a) <= 2).sum(), (~LETTER[block[b - 1]]).sum()]
         start = stop
     n, m = max(len(data), 1), max(sums[0], 1)
     shares = np.append(counts[:128], counts[128:].sum()) / n
@@ -137,7 +136,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of `docs` with a score of at least `least`, with all their columns; nothing is shuffled."""
+    """The rows of `docs` with a score of at least `least`, with all their columns; nothing is shuffled.
+
+    Null texts are scored as empty ones; null and repeated keys, and any other columns, are kept as they
+    are; an empty table gives an empty one.
+    """
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -283,6 +284,51 @@ def test_ranking_threshold_is_the_quantile():
     assert model.weights[0] > 5 * abs(model.weights[1]) and model.weights[2] == 0
 
 
+def plain_features(text):
+    """The features word by word and byte by byte."""
+    space = " \t\n\x0b\x0c\r"
+    letter = lambda b: b > 127 or chr(b).isalpha()
+    words = [w for w in re.split(f"[{space}]+".encode(), text) if w]
+    m, n = max(len(words), 1), max(len(text), 1)
+    shares = [text.count(bytes([i])) / n for i in range(128)] + [sum(b > 127 for b in text) / n]
+    upper = lambda w: [b for b in w if 65 <= b <= 90]
+    counts = [
+        sum(map(len, words)), sum(x == y for x, y in zip(words, words[1:])), len(set(words)), sum(not any(map(letter, w)) for w in words),
+        sum(len(upper(w)) > 1 and not any(97 <= b <= 122 for b in w) for w in words), sum(len(w) <= 2 for w in words), sum(not letter(w[-1]) for w in words)]
+    return [math.sqrt(x) for x in shares] + [math.log1p(len(text)), math.log1p(len(words)), *[c / m for c in counts], len(upper(text)) / max(sum(map(letter, text)), 1)]
+
+
+def plain_model(rows, good, steps=4000):
+    """Weights of the same loss by gradient descent over the same pairs, and the threshold by sorting."""
+    spread = rows.std(axis=0)
+    used = spread >= 1e-9
+    scaled = (rows[:, used] - rows[:, used].mean(axis=0)) / spread[used]
+    draw = np.random.default_rng(1)
+    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
+    x = scaled[draw.choice(better, quality.PAIRS)] - scaled[draw.choice(worse, quality.PAIRS)]
+    w, moved, rate = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 4 / (np.linalg.norm(x, 2) ** 2 / len(x) + 4 * quality.RIDGE)
+    for i in range(steps):
+        ahead = w + i / (i + 3) * moved
+        new = ahead + rate * (x.T @ (1 / (1 + np.exp(np.clip(x @ ahead, -500, 500)))) / len(x) - quality.RIDGE * ahead)
+        w, moved = new, new - w
+    scores = scaled @ w
+    ranked = sorted(scores)
+    return scores - (ranked[len(worse) - 1] + ranked[len(worse)]) / 2
+
+
+def test_quality_against_a_plain_version(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for text in [*list(docs.values())[:25], b"", b"A", "\u00c9A b! 12 12 \t||".encode()]:
+        assert np.allclose(quality.features(text), plain_features(text), atol=1e-12)
+    marks = {r.doc_id: r.quality == 1 for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect() if r.doc_id in docs}
+    keys = sorted(marks)
+    rows, good = np.array([plain_features(docs[k]) for k in keys]), np.array([marks[k] for k in keys])
+    model = quality.learn(rows, good)
+    mine = rows @ model.weights + model.shift
+    want = plain_model(rows, good)
+    assert ((mine >= 0) == (want >= 0)).mean() > 0.98 and np.corrcoef(mine, want)[0, 1] > 0.999
+
+
 def test_long_text_features_in_blocks(monkeypatch):
     text = " ".join(["Some words", "AND MORE", "12 | 3!"] * 300).encode()
     whole = quality.features(text)
