@@ -52,7 +52,7 @@ def passages(messages: DataFrame) -> DataFrame:
     at = lambda i: F.get("lines", i)
     fresh = lambda i: (i == 0) | (at(i - 1)["passage"] == "") | (at(i - 1)["level"] != at(i)["level"])
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (at(i)["passage"] != "") & fresh(i))
-    placed = messages.select("c", "t", "lines", starts.alias("starts")).where(F.size("starts") > 0)
+    placed = messages.select("c", "t", "lines", starts.alias("starts"))
     ends = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
     cut = F.transform("starts", lambda i, k: F.struct(at(i)["level"].alias("level"), F.transform(
         F.filter(F.slice("lines", i + 1, ends(k) - i), lambda x: x["passage"] != ""), lambda x: x["passage"]).alias("lines")))
