@@ -515,6 +515,21 @@ def s3_stored_question(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("study_id", "response").agg(F.count("*").alias("n"))
 
 
+@register("s4_buckets", f"""
+WITH {r.EVALUATIONS_SQL}, {r.PRIORITY_SQL},
+x AS (SELECT study_id, response, factor, 'Total' AS banner FROM priority UNION ALL SELECT study_id, response, factor, segment FROM priority),
+c AS (SELECT study_id, banner, response, count(*) AS n, sum(factor) AS nw FROM x GROUP BY ALL)
+SELECT study_id, banner, response, CAST(n AS BIGINT) AS n, round(nw, 6) AS n_weighted,
+  round(n / sum(n) OVER (PARTITION BY study_id, banner), 6) AS pct FROM c""")
+def s4_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """A study stored by respondent, and its frequencies without a shuffle below the cells."""
+    target = shared_folder(spark, "study")
+    src.write_study(small_study(spark, path), target, buckets=8)
+    respondents, responses = (src.read_table(spark, target, n) for n in ("respondents", "responses"))
+    cells = m.frequency(responses, respondent_dimension(respondents, "segment", weight="factor"))
+    return cells.select("study_id", "banner", "response", big("n"), r6("n_weighted"), r6("pct"))
+
+
 @register("s8_export_rows", f"""
 WITH {r.EVALUATIONS_SQL}, {r.PRIORITY_SQL}
 SELECT 'REVIEW' AS export_path, false AS release_releasable, 'REVIEW_REQUIRED' AS qa_release_status,

@@ -7,19 +7,21 @@ replaced whole and a failed write is never seen.
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from tabuloom.functions.text import code_text
 from tabuloom.operators.codebook import explode_variables, merge_by_variable
 from tabuloom.operators.ordering import first_rows, unused
 
 STUDY = "study_id"
-LOG_SCHEMA = "version bigint, tables array<string>"
+LOG_SCHEMA = "version bigint, tables array<string>, buckets int"
 # Tables a study must have, and tables of which it needs one.
 REQUIRED_TABLES = ("respondents", "questions", "variables", "options", "configuration")
 RESPONSE_TABLES = ("responses", "multi_responses", "scales", "grid_responses")
@@ -79,31 +81,73 @@ def load_codebook(sheets: Sequence[tuple[str, DataFrame]], list_columns: Mapping
 
 # --- S4, S3, S5 -------------------------------------------------------------
 
+#: Tables with a row per respondent or answer, and what the stored rows of a bucket are sorted by.
+BUCKET_KEYS = (STUDY, "respondent_id")
+BUCKET_ORDER = ("question_id", STUDY, "respondent_id")
+
+
 def write_study(tables: Mapping[str, DataFrame], path: str,
-                partition_by: Sequence[str] = ("question_id",)) -> int:
+                partition_by: Sequence[str] = ("question_id",), buckets: int | None = None) -> int:
     """Write all tables as one new version of the study.
 
     Fact tables are range-partitioned down to the respondent, so that a large
     question is spread over several tasks, and sorted, which keeps row-group
     statistics selective.
+
+    With `buckets`, facts and respondents are dealt by study and respondent into
+    so many buckets instead, and sorted by question inside.  A tabulation then
+    joins and reduces answers where they lie: nothing is shuffled below its cells.
     """
     version = time.time_ns() // 1000
     spark = next(iter(tables.values())).sparkSession
     for name, frame in tables.items():
         target = f"{path}/versions/{version}/{name}"
-        if name in SCHEMAS:
+        if buckets and set(BUCKET_KEYS) <= set(frame.columns):
+            _write_buckets(frame, target, buckets)
+        elif name in SCHEMAS:
             order = [STUDY, "question_id", "respondent_id"]
             parts = [c for c in partition_by if c in frame.columns]
             arranged = frame.repartitionByRange(*order).sortWithinPartitions(*parts, *order)
             arranged.write.partitionBy(*parts).parquet(target)
         else:
             frame.write.parquet(target)
-    log = spark.createDataFrame([(version, sorted(tables))], LOG_SCHEMA)
+    log = spark.createDataFrame([(version, sorted(tables), buckets)], LOG_SCHEMA)
     log.coalesce(1).write.mode("append").parquet(f"{path}/log")
     return version
 
 
+def _bucket_order(columns: Sequence[str]) -> list[str]:
+    return [c for c in BUCKET_ORDER if c in columns]
+
+
+def _write_buckets(frame: DataFrame, target: str, buckets: int) -> None:
+    """One file per bucket.  Spark writes buckets of tables only, so one is named for the writing."""
+    table = f"study_{uuid.uuid4().hex}"
+    dealt = frame.repartition(buckets, *BUCKET_KEYS)
+    dealt.write.bucketBy(buckets, *BUCKET_KEYS).sortBy(*_bucket_order(frame.columns)).option("path", target).saveAsTable(table)
+    # The files stay: a table with a path is external.
+    frame.sparkSession.sql(f"DROP TABLE {table}")
+
+
+def _read_buckets(spark: SparkSession, target: str, buckets: int) -> DataFrame:
+    """The stored rows as a table of this session, so that joins know how they are dealt."""
+    table = f"study_{hashlib.sha256(target.encode()).hexdigest()[:32]}"
+    if not spark.catalog.tableExists(table):
+        files = spark.read.parquet(target)
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+        keys, order = ", ".join(BUCKET_KEYS), ", ".join(_bucket_order(files.columns))
+        spark.sql(f"CREATE TABLE {table} ({fields}) USING parquet CLUSTERED BY ({keys}) "
+                  f"SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{target}'")
+    return spark.table(table)
+
+
 def current_version(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Newest version and its tables."""
+    row = _newest(spark, path)
+    return row["version"], list(row["tables"])
+
+
+def _newest(spark: SparkSession, path: str) -> Row:
     try:
         log = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log")
     except AnalysisException as error:
@@ -113,17 +157,20 @@ def current_version(spark: SparkSession, path: str) -> tuple[int, list[str]]:
     newest = log.orderBy(F.col("version").desc()).limit(1).collect()
     if not newest:
         raise StudyError(f"no study at {path}")
-    return newest[0]["version"], list(newest[0]["tables"])
+    return newest[0]
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the current version; an absent fact table is empty (S3)."""
-    version, names = current_version(spark, path)
+    newest = _newest(spark, path)
+    version, names, buckets = newest["version"], list(newest["tables"]), newest["buckets"]
     if name not in names:
         if name not in SCHEMAS:
             raise StudyError(f"unknown table: {name}")
         return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.parquet(f"{path}/versions/{version}/{name}")
+    target = f"{path}/versions/{version}/{name}"
+    files = spark.read.parquet(target)
+    return _read_buckets(spark, target, buckets) if buckets and set(BUCKET_KEYS) <= set(files.columns) else files
 
 
 def scan_question(spark: SparkSession, path: str, name: str, question_id: str,

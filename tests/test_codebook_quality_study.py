@@ -177,3 +177,29 @@ def test_derived_variable(frame):
     assert again["options"].filter("variable = 'band'").count() == 1
     gone = b.remove_derived(again, ["band"])
     assert "band" not in gone["respondents"].columns and gone["responses"].count() == 120
+
+
+def test_stored_buckets_need_no_shuffle_below_the_cells(spark, frame, tmp_path):
+    """Above the scans the plan exchanges cells and totals only, also with a join that is not broadcast."""
+    from tabuloom.operators.breakdown import respondent_dimension
+    from tabuloom.operators.metrics import frequency
+
+    people = frame("study_id string, respondent_id string, seg string", [("s", str(i), "ab"[i % 2]) for i in range(40)])
+    facts = frame("study_id string, respondent_id string, question_id string, response string",
+                  [("s", str(i % 40), f"Q{i % 3}", str(i % 5)) for i in range(400)])
+    want = {tuple(r) for r in frequency(facts, respondent_dimension(people, "seg")).select("question_id", "banner", "response", "n", "base").collect()}
+    src.write_study({"respondents": people, "responses": facts}, str(tmp_path / "study"), buckets=4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stored = {n: src.read_table(spark, str(tmp_path / "study"), n) for n in ("respondents", "responses")}
+        cells = frequency(stored["responses"], respondent_dimension(stored["respondents"], "seg"))
+        assert {tuple(r) for r in cells.select("question_id", "banner", "response", "n", "base").collect()} == want
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange hash" in line]
+        assert exchanges and all("banner" in line for line in exchanges)
+        assert "Join" in plan and src.scan_question(spark, str(tmp_path / "study"), "responses", "Q1").count() == 133
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

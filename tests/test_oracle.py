@@ -18,7 +18,7 @@ from study_queries.registry import QUERIES  # noqa: E402
 DATA = Path("/root/testdata/sf0.001")
 NAMES = sorted(driver.oracle_sql())
 # These write to the shared folder, which is what they show.
-SINKS = ("s1_load", "s3_stored_question", "s8_export_rows", "s9_canonical_order")
+SINKS = ("s1_load", "s3_stored_question", "s4_buckets", "s8_export_rows", "s9_canonical_order")
 
 
 @pytest.fixture(scope="module")
