@@ -13,14 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tabuloom.llm.common import cut
 from tabuloom.llm.graph import components
 
 COSINE = 0.93
-#: Vectors of a label for each pivot, and the most pivots of a label.
+#: Vectors of a label for each pivot, as long as there are no more pivots than PIVOTS or a quarter of the
+#: root of the label's vectors: every block of vectors meets all pivots of its label.
 CELL = 2000
-MAX_PIVOTS = 256
+PIVOTS = 256
 #: Vectors of one side of a block join.
 BLOCK = 2048
 #: Distances are compared with this slack; links are decided by the cosine itself.
@@ -59,7 +61,7 @@ def _grouped(frame: DataFrame, size: int) -> DataFrame:
 
 def _pivots(nodes: DataFrame, cell: int) -> DataFrame:
     """(space, cell, pivot): one vector of each of so many hash groups of a space."""
-    sizes = nodes.groupBy("space").agg(F.least(F.ceil(F.count("*") / cell), F.lit(MAX_PIVOTS)).cast("int").alias("cells"))
+    sizes = nodes.groupBy("space").agg(F.least(F.ceil(F.count("*") / cell), F.greatest(F.lit(PIVOTS), F.ceil(F.sqrt(F.count("*")) / 4))).cast("int").alias("cells"))
     own = nodes.join(sizes, "space").withColumn("cell", F.expr("cast(pmod(xxhash64(node, 2), cells) as int)"))
     return own.groupBy("space", "cell").agg(F.min_by("v", "node").alias("pivot"))
 
@@ -130,8 +132,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     marks the row with that key. Rows without a label, and vectors that are null, empty, zero or hold a
     null or a component that is not finite, link with nothing and are kept. Equal vectors are joined once
     for all of them; rows that repeat a key count as one vector of the component. Rows with a null key
-    have no links. Other columns are not read; an empty table gives an empty one.
+    have no links. Keys are whole numbers. Other columns are not read; an empty table gives an empty one.
     """
+    if not isinstance(vectors.schema[key].dataType, IntegralType):
+        raise TypeError(f"keys of vectors must be whole numbers: {key}")
     rows = spaces(vectors, key, embedding, label)
     nodes = cut(rows.where("space is not null").groupBy("space", "v").agg(F.min(F.col("k").cast("long")).alias("node"), F.count("*").alias("n")))
     radius = float(np.sqrt(2 - 2 * cosine))

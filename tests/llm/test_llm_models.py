@@ -337,3 +337,8 @@ def test_long_text_features_in_blocks(monkeypatch):
     # The spaces at which blocks are cut and the words repeated across a cut are all that differs.
     same = [i for i in range(quality.FEATURES) if i not in (quality.COLUMNS + 3, quality.COLUMNS + 4)]
     assert np.allclose(whole[same], blocks[same], atol=0.03)
+
+
+def test_keys_of_vectors_are_whole_numbers(frame):
+    with pytest.raises(TypeError, match="whole numbers"):
+        metric_join.near_duplicates(frame("vec_id string, embedding array<float>, label int", [("a", [1.0], 1)]))
