@@ -63,6 +63,33 @@ VARIABLE_PATTERN = r"[A-Za-z@#$][A-Za-z0-9_@#$]*(?:\.[A-Za-z0-9_@#$]+)*"
 # Fixed value: the form of one `code: count` entry of a base distribution.
 COUNT_ENTRY = r"(-?[0-9]+(?:\.[0-9]+)?)\s*:\s*([0-9,]+)"
 
+# Fixed value: the form of a variable name without separators, prefix with number and item.
+SHORT_NAME = r"^([A-Za-z]+[0-9]+)_?([0-9]+|[A-Za-z])$"
+
+# Parts of a label, in lower case, that mark the iterations of a loop.
+LOOP_LABELS = ("looplabel", "looptime")
+
+# Fixed value: where an entry of a base distribution begins inside a text.
+ENTRY_START = r"(?:^|;|\s)"
+
+# Parts of a question type, in normal form, and the calculation each implies.
+MULTI_TYPE_PARTS = ("rm", "multiple")
+MEAN_TYPE_PARTS = ("escala", "grid", "numerica")
+NPS_TYPE_PART = "nps"
+
+# Parts of a grid's texts, in normal form, that say which kind it is.
+GRID_PARTS = ("grid", "loop")
+GRID_MULTI_PARTS = ("grid_rm", "loop_rm")
+GRID_SCALE_PARTS = ("grid_escala", "grid escala")
+LOOP_NUMBER_PARTS = ("loop_numerico", "loop numerico")
+OPTION_PARTS = ("loop", "opcion")
+
+# Parts of a question's texts, in lower case, that decide its inferred type.
+ACCENTED_OPTION_PARTS = ("loop", "opcion", "opción")
+ACCENTED_NUMBER_PARTS = ("loop_numerico", "loop_numérico")
+SCALE_TEXT_PARTS = ("escala", "grid", "media", "top2box", "bottombox")
+MULTI_TEXT_PARTS = ("multirrespuesta", "multiple", " rm")
+
 # Categories up to which a variable is offered as a filter.
 MAX_FILTER_CATEGORIES = 50
 MIN_CANONICAL_BASE = 30

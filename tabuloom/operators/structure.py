@@ -247,6 +247,8 @@ def category_shares(records: DataFrame, by: Sequence[str], categories: DataFrame
     )
     if categories is not None:
         shared = [c for c in by if c in categories.columns]
+        if not shared:
+            raise ValueError("categories need a column of `by`, such as study_id")
         groups = records.select(*by).distinct()
         frame = groups.join(categories, shared)
         counts = frame.join(counts, [*by, "category_id"], "left")

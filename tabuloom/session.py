@@ -15,6 +15,8 @@ def local_session(cpus: int | None = None, name: str = "tabuloom") -> SparkSessi
         SparkSession.builder.master(f"local[{cpus}]").appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # A join splits a hot key even when the next step then needs one more shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         # Small files: split them over the cores of this machine.
         .config("spark.sql.files.openCostInBytes", str(256 * 1024))
@@ -28,12 +30,6 @@ def local_session(cpus: int | None = None, name: str = "tabuloom") -> SparkSessi
     return spark
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let a join split a hot key even when the next step then needs one more shuffle."""
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    return spark
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder `name` under the shared one that the cluster names in spark.checkpoint.dir.
 
