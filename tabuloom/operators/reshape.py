@@ -219,7 +219,7 @@ def with_attributes(people: DataFrame, wide: DataFrame, names: Sequence[str], co
     values = wide.select("study_id", "row_index", every.alias("__every"))
     joined = people.join(values, ["study_id", "row_index"]).join(allowed, "study_id", "left")
     kept = F.map_filter("__every", lambda k, v: F.array_contains(F.coalesce("__allowed", F.array().cast("array<string>")), k))
-    return joined.withColumn("attributes", kept).drop("__every", "__allowed")
+    return joined.select(*people.columns, kept.alias("attributes"))
 
 
 # --- D2 ---------------------------------------------------------------------
