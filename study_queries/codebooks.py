@@ -10,7 +10,7 @@ from tabuloom.operators import codebook as cb
 from tabuloom.operators import detect as dt
 from tabuloom.operators import profile as pf
 from tabuloom.operators import reshape as s
-from tabuloom.operators.tables import identity_rows
+from tabuloom.operators.tables import identity_rows, with_lookups
 from tabuloom.operators.breakdown import with_banner_cells
 
 QUERIES, SQL = {}, {}
@@ -865,3 +865,24 @@ def p16_types(spark: SparkSession, path: str) -> DataFrame:
     inferred = cb.infer_type(F.concat(words, event), is_event("signup"), is_event("view"), is_event("click"),
                              (kind == 7) & is_event("purchase"), is_event("error"))
     return r.table(spark, path, "events").groupBy(kind.alias("k"), inferred.alias("inferred_type")).agg(F.count("*").alias("n"))
+
+
+@register("j9_lookups", f"""
+WITH {GRID_BOOK_SQL}, i AS (SELECT * FROM items WHERE grid_structure <> '' OR k = 4),
+g AS (SELECT study_id, grid_id AS question_id, count(*) AS n_items, arg_min(grid_structure, position) AS grid_type FROM i GROUP BY ALL),
+q AS (SELECT 'st' || (p_partkey % 4) AS study_id, p_brand AS question_id, min(p_name) AS first_label FROM part GROUP BY ALL),
+x AS (SELECT 'st' || (p_partkey % 4) AS study_id, p_brand AS question_id, l_returnflag AS response, count(*) AS n
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT study_id, question_id, response, CAST(n AS BIGINT) AS n, first_label, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, grid_type
+FROM x LEFT JOIN q USING (study_id, question_id) LEFT JOIN g USING (study_id, question_id)""")
+def j9_lookups(spark: SparkSession, path: str) -> DataFrame:
+    """Answers of brands with what the sheet and the grids say of them; some brands have no grid."""
+    study = F.concat(F.lit("st"), (F.col("p_partkey") % 4).cast("string")).alias("study_id")
+    parts = r.table(spark, path, "part").select("p_partkey", study, F.col("p_brand").alias("question_id"))
+    cells = r.table(spark, path, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        "study_id", "question_id", F.col("l_returnflag").alias("response")).agg(F.count("*").alias("n"))
+    # Several rows for a question: the least label counts.
+    labels = sheet(spark, path).select("study_id", "question_id", F.col("label").alias("first_label"))
+    grids = cb.build_grids(cb.grid_items(grid_book(spark, path))).select(
+        "study_id", F.col("grid_id").alias("question_id"), "n_items", "grid_type")
+    return with_lookups(cells, labels, grids).fillna(0, ["n_items"])

@@ -68,6 +68,20 @@ def grid_rank(grid: DataFrame, by: str = "entity", banner: Column | None = None,
     return chosen.withColumn("rank", F.dense_rank().over(order))
 
 
+def with_lookups(cells: DataFrame, *tables: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """`cells` with what question-level tables say of their question.
+
+    Of a table with several rows for a question the least counts, so cells are
+    never multiplied; a question that a table does not have gets nulls.  Columns
+    that the cells have already are not replaced.
+    """
+    for table in tables:
+        more = [c for c in table.columns if c not in cells.columns]
+        one = table.groupBy(*keys).agg(F.min(F.struct(*more)).alias("__found"))
+        cells = cells.join(one, list(keys), "left").select(*cells.columns, "__found.*")
+    return cells
+
+
 def long_cells(cells: DataFrame, metrics: Sequence[str], keys: Sequence[str] = KEYS,
                label: str = "response") -> DataFrame:
     """One row per (response, banner, metric); percentages are multiplied by 100 here."""

@@ -101,3 +101,14 @@ def test_mentions_of_all_scopes(frame):
 def test_categories_need_a_shared_column(frame):
     with pytest.raises(ValueError, match="study_id"):
         st.category_shares(frame(COLUMNS, []), ["study_id"], frame("category_id string", [("c",)]))
+
+
+def test_lookups_never_multiply_cells(frame):
+    from tabuloom.operators.tables import with_lookups
+
+    cells = frame("study_id string, question_id string, n int", [("s", "a", 1), ("s", "a", 2), ("s", "b", 3)])
+    kinds = frame("study_id string, question_id string, n int, kind string", [("s", "a", 9, "y"), ("s", "a", 9, "x"), ("t", "b", 9, "z")])
+    grids = frame("study_id string, question_id string, grid string", [("s", "b", "g")])
+    got = with_lookups(cells, kinds, grids)
+    assert got.columns == ["study_id", "question_id", "n", "kind", "grid"]
+    assert values(got.fillna("-"), "n", "kind", "grid") == [(1, "x", "-"), (2, "x", "-"), (3, "-", "g")]
