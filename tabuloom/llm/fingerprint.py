@@ -15,7 +15,8 @@ only: both texts share the sum of the paragraphs before it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,6 +146,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return found.select(F.col("key").alias(key), "fingerprint")
 
 
+def _place(array: Callable[[list], Column], bounds: list, key: Column) -> Column:
+    """How many of the sorted bounds are below the key: by the last ones of blocks first, then within a block."""
+    step = max(1, isqrt(len(bounds)))
+    below = lambda found: F.size(F.filter(found, lambda b: b < key))
+    whole = below(array(bounds[step - 1::step])) * step
+    return whole + below(F.slice(array(bounds), whole + 1, step))
+
+
 def edits(docs: DataFrame, key: str = "doc_id", text: str = "text", run_rows: int | None = None) -> DataFrame:
     """Every text's fingerprint, and that of the text with its last half taken from the next document.
 
@@ -162,8 +171,9 @@ def edits(docs: DataFrame, key: str = "doc_id", text: str = "text", run_rows: in
     ends = rows.select("key").filter(F.pmod(F.xxhash64("key"), F.lit(run_rows)) == 0).filter("key IS NOT NULL").distinct().collect()
     largest = rows.agg(F.max("key").alias("key")).first().key
     kind = docs.schema[key].dataType
-    bounds = F.lit(sorted(r.key for r in ends)).cast(f"array<{kind.simpleString()}>") if ends else F.array().cast(f"array<{kind.simpleString()}>")
-    run = F.size(F.filter(bounds, lambda b: b < F.col("key")))
+    listed = sorted(r.key for r in ends)
+    array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind.simpleString()}>")
+    bounds, run = array(listed), _place(array, listed, F.col("key"))
     # A run ends, by descending key, with the last bound below it; the first run with the largest key of all.
     guest = lambda at, order: F.struct(at.alias("run"), F.lit(order).alias("guest"))
     places = F.array(guest(F.col("own"), 0), F.when(F.get(bounds, F.col("own")) == F.col("key"), guest(F.col("own") + 1, 1)),
