@@ -47,6 +47,8 @@ FILTER_ROW = 1 << 14
 #: Bytes of texts searched at a time; the arrays for them take some sixty times as much.
 BLOCK_BYTES = 1_000_000
 HISTORY = 1 << 22
+#: Words of regions by words of items that are compared at a time.
+CELLS = 1 << 22
 PAD = np.uint64(0)
 
 # Bytes of words: ASCII letters and digits, and whatever is not ASCII.
@@ -305,6 +307,45 @@ def edit_distance(item: list[int], region: list[int]) -> int:
     return best
 
 
+def edit_distances(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
+    """`edit_distance` of each item and its region; items of up to 63 words in blocks of pairs, a number of 64 bits each."""
+    out = np.zeros(len(items), dtype=np.int32)
+    sizes, widths = np.array([len(x) for x in items]), np.array([len(x) for x in regions])
+    for i in np.flatnonzero(sizes > 63):
+        out[i] = edit_distance(items[i].tolist(), regions[i].tolist())
+    own = np.flatnonzero(sizes <= 63)
+    own = own[np.argsort(widths[own], kind="stable")]
+    while len(own):
+        # As many pairs as CELLS words of regions by words of items allow, the longest region last.
+        room = np.arange(1, len(own) + 1) * np.maximum.accumulate(widths[own]) * np.maximum.accumulate(sizes[own])
+        number = max(1, int(np.searchsorted(room, CELLS, side="right")))
+        block, own = own[:number], own[number:]
+        out[block] = _block_distances([items[i] for i in block], [regions[i] for i in block])
+    return out
+
+
+def _block_distances(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
+    sizes, widths = np.array([len(x) for x in items]), np.array([len(x) for x in regions])
+    longest = int(sizes.max())
+    item, region = np.zeros((len(items), longest), dtype=np.uint64), np.zeros((len(items), int(widths.max(initial=0))), dtype=np.uint64)
+    for i, (x, y) in enumerate(zip(items, regions)):
+        item[i, :len(x)], region[i, :len(y)] = x, y
+    one, bit = np.uint64(1), np.uint64(1) << np.arange(longest, dtype=np.uint64)
+    used = np.where(np.arange(longest) < sizes[:, None], bit, np.uint64(0))
+    full, top = np.bitwise_or.reduce(used, axis=1), one << (sizes - 1).astype(np.uint64)
+    up, down = full.copy(), np.zeros(len(items), dtype=np.uint64)
+    score, best = sizes.copy(), sizes.copy()
+    for j in range(region.shape[1]):
+        eq = np.where(item == region[:, j, None], used, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        diagonal = ((((eq & up) + up) ^ up) | eq | down) & full
+        right, left = (down | ~(diagonal | up)) & full, up & diagonal
+        score = score + ((right & top) > 0) - ((left & top) > 0)
+        best = np.where(j < widths, np.minimum(best, score), best)
+        right, left = (right << one) & full, (left << one) & full
+        up, down = (left | ~(diagonal | right)) & full, right & diagonal
+    return best
+
+
 def _pieces(text: bytes, overlap: int, block: int) -> Iterator[bytes]:
     """A very long text in pieces that overlap by more than an item."""
     start = 0
@@ -372,9 +413,8 @@ def found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = edits(batch.column(2).to_numpy(), similarity)
-            distance = np.array([
-                edit_distance(np.frombuffer(i, dtype=np.uint64).tolist(), np.frombuffer(r, dtype=np.uint64).tolist())
-                for i, r in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())], dtype=np.int32)
+            item, region = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in (3, 4))
+            distance = edit_distances(item, region)
             good = pa.array(distance <= most)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(distance)], ["region", "passage", "n", "distance"]).filter(good)
 

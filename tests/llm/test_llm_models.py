@@ -204,6 +204,22 @@ def edited(rng, words, k):
     return words
 
 
+def test_edit_distances_of_many_pairs(monkeypatch):
+    rng = random.Random(4)
+    for cells in (1 << 22, 3000):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        items, regions = [], []
+        for n in [1, 2, 5, 17, 31, 40, 62, 63, 64, 100] * 12:
+            item = [rng.randrange(1, 9) for _ in range(n)]
+            region = edited(rng, item, n // 4) if rng.random() < .5 else [rng.randrange(1, 9) for _ in range(rng.randrange(0, 2 * n + 2))]
+            region = [x if isinstance(x, int) else 77 for x in region]
+            items.append(np.array(item, dtype=np.uint64))
+            regions.append(np.array([1] * rng.choice([0, 30]) + region, dtype=np.uint64))
+        want = [decontaminate.edit_distance(i.tolist(), r.tolist()) for i, r in zip(items, regions)]
+        assert decontaminate.edit_distances(items, regions).tolist() == want
+    assert decontaminate.edit_distances([], []).tolist() == []
+
+
 def test_decontamination(frame):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(60)]
