@@ -42,9 +42,9 @@ def without_quotes(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(own, "\n"), r"\A[\x09-\x0D\x20]+|[\x09-\x0D\x20]+\z", "")
 
 
-def _hash(text: Column, name: str) -> list[Column]:
+def _hash(text: Column) -> Column:
     """128 bits."""
-    return [F.xxhash64(text).alias(f"{name}h"), F.xxhash64(F.lit(1), text).alias(f"{name}g")]
+    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -66,18 +66,20 @@ def links(messages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     before, else, for passages of `least_words` or more, the first message of all, by conversation and
     turn, if that comes before.
     """
-    found = passages(messages).withColumn("whole", F.array_join("lines", " "))
-    wrote = found.where("level = 0").select("c", "t", F.explode(F.array_union(F.array("whole"), "lines")).alias("x")).select("c", "t", *_hash(F.col("x"), ""))
-    inside = wrote.groupBy("h", "g", "c").agg(F.min("t").alias("first"))
-    everywhere = inside.groupBy("h", "g").agg(F.min(F.struct("c", F.col("first").alias("t"))).alias("origin"))
-    quoted = found.where("level > 0").withColumns({"n": F.size("lines"), "words": F.size(F.split("whole", " "))}).select(
-        "c", "t", "level", "lines", "n", *_hash(F.col("whole"), ""), (F.col("words") >= least_words).alias("long"))
-    near = quoted.join(inside, ["h", "g", "c"], "left").withColumn("to", F.when(F.col("first") < F.col("t"), F.struct("c", F.col("first").alias("t")))).drop("first")
+    whole = passages(messages).withColumn("whole", F.array_join("lines", " "))
+    # Messages are parsed once; from here on there are hashes only.
+    found = cut(whole.select("c", "t", "level", F.size("lines").alias("n"), (F.size(F.split("whole", " ")) >= least_words).alias("long"),
+                             _hash(F.col("whole")).alias("x"), F.transform("lines", _hash).alias("lines")))
+    wrote = found.where("level = 0").select("c", "t", F.explode(F.array_union(F.array("x"), "lines")).alias("x"))
+    inside = wrote.groupBy("x", "c").agg(F.min("t").alias("first"))
+    everywhere = inside.groupBy("x").agg(F.min(F.struct("c", F.col("first").alias("t"))).alias("origin"))
+    before = F.when(F.col("first") < F.col("t"), F.struct("c", F.col("first").alias("t")))
+    near = found.where("level > 0").join(inside, ["x", "c"], "left").withColumn("to", before).drop("first")
     here, rest = near.where("to is not null"), near.where("to is null").drop("to")
-    far = rest.where("long").join(everywhere, ["h", "g"], "left").withColumn("to", F.when(F.col("origin") < F.struct("c", "t"), F.col("origin")))
+    far = rest.where("long").join(everywhere, "x", "left").withColumn("to", F.when(F.col("origin") < F.struct("c", "t"), F.col("origin")))
     there, rest = far.where("to is not null"), rest.where("not long").unionByName(far.where("to is null").drop("to", "origin"))
-    lines = rest.select("c", "t", "level", F.explode("lines").alias("x")).groupBy("c", "t", "level", *_hash(F.col("x"), "")).agg(F.count("*").alias("n"))
-    single = lines.join(inside, ["h", "g", "c"], "left").withColumn("to", F.when(F.col("first") < F.col("t"), F.struct("c", F.col("first").alias("t"))))
+    lines = rest.select("c", "t", "level", F.explode("lines").alias("x")).groupBy("c", "t", "level", "x").agg(F.count("*").alias("n"))
+    single = lines.join(inside, ["x", "c"], "left").withColumn("to", before)
     columns = ["c", "t", "level", "n", "to"]
     every = here.select(columns).unionByName(there.select(columns)).unionByName(single.select(columns))
     counted = every.groupBy("c", "t", "level", "to").agg(F.sum("n").alias("n"))
