@@ -1,8 +1,9 @@
 """Byte-level BPE by a table of distinct words.
 
 Texts are split into the tokenizer's words; each distinct word is encoded once for the whole corpus and
-its ids are joined back to the texts by position. Decoding joins ids with the table of pieces, which
-has one entry for each id of the tokenizer.
+its ids are joined back to the texts by position. Decoding looks each id up in the table of pieces, which
+has one entry for each id of the tokenizer and is loaded where the ids are; a join in Spark would shuffle a
+row for every token.
 """
 
 from __future__ import annotations
