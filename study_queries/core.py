@@ -147,6 +147,12 @@ def scale_facts(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
+def status_dimension(spark: SparkSession, path: str, weight: str | None = "factor") -> DataFrame:
+    """Evaluations by status, dealt so that facts of many respondents join in as many tasks."""
+    dimension = respondent_dimension(r.evaluations(spark, path), "status", weight=weight)
+    return r.dealt(spark, path, dimension, "study_id", "respondent_id")
+
+
 SCALE_CELLS = """scored AS (
   SELECT s.*, e.factor, e.segment, e.status,
     CASE WHEN value >= hi - 1 THEN 1 ELSE 0 END AS top2,
@@ -165,7 +171,7 @@ SELECT study_id, question_id, banner, CAST(count(DISTINCT respondent_id) AS BIGI
   round(avg(top2), 6) AS top2box, round(avg(low2), 6) AS bottombox
 FROM cells GROUP BY ALL""")
 def a4_scale(spark: SparkSession, path: str) -> DataFrame:
-    dimension = respondent_dimension(r.evaluations(spark, path), "status", weight="factor")
+    dimension = status_dimension(spark, path)
     moments = m.cell_moments(scale_facts(spark, path), dimension)
     return m.scale_summary(moments).select(
         "study_id", "question_id", "banner", big("n"), r6("mean"), r6("sd"),
@@ -180,7 +186,7 @@ SELECT study_id, question_id, banner, round(avg(value + 1e9), 4) AS mean,
 FROM cells GROUP BY ALL""")
 def a4_large_values(spark: SparkSession, path: str) -> DataFrame:
     """The same scales a billion higher: the spread stays."""
-    dimension = respondent_dimension(r.evaluations(spark, path), "status", weight="factor")
+    dimension = status_dimension(spark, path)
     facts = scale_facts(spark, path).withColumn("value", F.col("value") + 1e9)
     return m.scale_summary(m.cell_moments(facts, dimension)).select(
         "study_id", "question_id", "banner", F.round("mean", 4).alias("mean"),
@@ -198,7 +204,7 @@ SELECT study_id, question_id, banner, CAST(n AS BIGINT) AS n, round(p / w, 6) AS
   round(q / w, 6) AS passives, round(d / w, 6) AS detractors,
   round((p - d) / w * 100, 6) AS nps FROM s""")
 def a5_nps(spark: SparkSession, path: str) -> DataFrame:
-    dimension = respondent_dimension(r.evaluations(spark, path), "status", weight="factor")
+    dimension = status_dimension(spark, path)
     facts = scale_facts(spark, path).filter("question_id = 'NPS'")
     return m.nps_summary(facts, dimension).select(
         "study_id", "question_id", "banner", big("n"), r6("promoters"), r6("passives"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from study_queries import roles as r
-from study_queries.core import SCALE_CELLS, SEGMENT_CELLS, big, r6, scale_facts
+from study_queries.core import SCALE_CELLS, SEGMENT_CELLS, big, r6, scale_facts, status_dimension
 from tabuloom.functions import pvalues as pv
 from tabuloom.operators import metrics as m
 from tabuloom.operators import paired as p
@@ -129,8 +129,7 @@ t AS (SELECT a.study_id, a.question_id, a.banner AS banner_l, b.banner AS banner
 
 
 def status_moments(spark: SparkSession, path: str) -> DataFrame:
-    dimension = respondent_dimension(r.evaluations(spark, path), "status")
-    return m.cell_moments(scale_facts(spark, path), dimension)
+    return m.cell_moments(scale_facts(spark, path), status_dimension(spark, path, weight=None))
 
 
 @register("z2_welch_stat", f"""

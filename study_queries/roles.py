@@ -11,10 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Tasks of a dealt frame for each task that reads `lineitem`, whose files are cut at a size that the session sets.
+DEALT = 32
+
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, path: str, frame: DataFrame, *keys: str) -> DataFrame:
+    """The frame dealt by its keys into tasks whose number grows with `lineitem`, so that their memory does not.
+
+    Joins and reductions by the same keys then use these tasks.  A respondent lies in one of them.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reads = table(spark, path, "lineitem").select("l_orderkey").rdd.getNumPartitions()
+    return frame.repartition(max(parts, DEALT * reads) if reads > 1 else parts, *keys)
+
+
 def customers(spark: SparkSession, path: str) -> DataFrame:
     """Respondents of the independent design."""
     geography = table(spark, path, "nation").join(
@@ -98,8 +112,12 @@ PRIORITY_SQL = """priority AS (
 
 def line_scales(spark: SparkSession, path: str) -> DataFrame:
     """Two scale questions per order line: recommendation 0-10 and ease 1-7."""
+    studies = evaluations(spark, path).select("study_id", "respondent_id")
     lines = table(spark, path, "lineitem").select(
-        F.col("l_orderkey").alias("respondent_id"),
+        F.col("l_orderkey").alias("respondent_id"), "l_discount", "l_linenumber")
+    # Joined before they become two rows each.
+    return lines.join(dealt(spark, path, studies, "respondent_id"), "respondent_id").select(
+        "study_id", "respondent_id",
         F.explode(F.array(
             F.struct(F.lit("NPS").alias("question_id"),
                      F.round(F.col("l_discount") * 100).alias("value"),
@@ -108,9 +126,7 @@ def line_scales(spark: SparkSession, path: str) -> DataFrame:
                      F.col("l_linenumber").cast("double").alias("value"),
                      F.lit(1.0).alias("scale_min"), F.lit(7.0).alias("scale_max")),
         )).alias("item"),
-    ).select("respondent_id", "item.*")
-    studies = evaluations(spark, path).select("study_id", "respondent_id")
-    return lines.join(studies, "respondent_id")
+    ).select("respondent_id", "item.*", "study_id")
 
 
 LINES_SQL = """scales AS (
@@ -165,15 +181,17 @@ def entity_grid(spark: SparkSession, path: str) -> DataFrame:
 
     An order without lines of a flag has no cells there with a value.
     """
-    cells = table(spark, path, "lineitem").groupBy(
-        F.col("l_orderkey").alias("respondent_id"), F.col("l_returnflag").alias("entity"),
-        F.col("l_linestatus").alias("option"),
-    ).agg(F.count("*").alias("n_lines"))
+    lines = table(spark, path, "lineitem").select(
+        F.col("l_orderkey").alias("respondent_id"), "l_returnflag", "l_linestatus")
+    names = [(e, o) for e in "ANR" for o in "FO"]
+    counts = dealt(spark, path, lines, "respondent_id").groupBy("respondent_id").agg(*[
+        F.count_if((F.col("l_returnflag") == e) & (F.col("l_linestatus") == o)).alias(f"n_{e}_{o}") for e, o in names])
     studies = evaluations(spark, path).select("study_id", "respondent_id")
-    frame = studies.select(
-        "*", F.explode(F.array(*[F.lit(e) for e in "ANR"])).alias("entity")
-    ).select("*", F.explode(F.array(*[F.lit(o) for o in "FO"])).alias("option"))
-    return frame.join(cells, ["respondent_id", "entity", "option"], "left").select(
+    # One row per order up to the join, and its six cells after it.
+    frame = dealt(spark, path, studies, "respondent_id").join(counts, "respondent_id", "left").select(
+        "study_id", "respondent_id", F.inline(F.array(*[F.struct(
+            F.lit(e).alias("entity"), F.lit(o).alias("option"), F.col(f"n_{e}_{o}").alias("n_lines")) for e, o in names])))
+    return frame.select(
         "study_id", F.lit("GRID").alias("question_id"), F.lit("GRID").alias("grid_id"),
         "respondent_id", "entity", "option", F.lit("1").alias("option_code"),
         # Two lines or more is a 'no' (0), one line a 'yes' (1).
