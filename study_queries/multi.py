@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from study_queries import roles as r
-from study_queries.core import big, r6
+from study_queries.core import big, r6, status_dimension
 from study_queries.inference import letters_sql
 from tabuloom.operators import metrics as m
 from tabuloom.operators import reshape as s
@@ -343,7 +343,7 @@ SELECT study_id, banner, entity, option, CAST(mentions AS BIGINT) AS mentions,
   round(mw / base_weighted, 6) AS pct_respondents_weighted
 FROM c JOIN b USING (study_id, banner) WINDOW w AS (PARTITION BY study_id, banner)""")
 def a3_grid_multi(spark: SparkSession, path: str) -> DataFrame:
-    dimension = respondent_dimension(r.evaluations(spark, path), "status", weight="factor")
+    dimension = status_dimension(spark, path)
     table = m.grid_multi_response(grid_cells(spark, path), dimension)
     return table.select(
         "study_id", "banner", "entity", "option", big("mentions"), big("base"),
@@ -361,7 +361,7 @@ SELECT study_id, entity, option,
     AS rank_in_option
 FROM c JOIN b USING (study_id, banner) WHERE banner = 'Total'""")
 def w2_rank(spark: SparkSession, path: str) -> DataFrame:
-    dimension = respondent_dimension(r.evaluations(spark, path), None)
+    dimension = r.dealt(spark, path, respondent_dimension(r.evaluations(spark, path), None), "study_id", "respondent_id")
     table = m.grid_multi_response(grid_cells(spark, path), dimension)
     first = grid_rank(table, "entity").withColumnRenamed("rank", "rank_in_entity")
     both = grid_rank(first, "option").withColumnRenamed("rank", "rank_in_option")
