@@ -278,10 +278,12 @@ loops AS (SELECT study_id, status AS slice_id, respondent_id, factor, l_returnfl
 
 
 def loop_records(spark: SparkSession, path: str) -> DataFrame:
-    lines = r.table(spark, path, "lineitem").groupBy(
-        F.col("l_orderkey").alias("respondent_id"), F.col("l_returnflag").alias("loop_id")).agg(
+    lines = r.table(spark, path, "lineitem").select(
+        F.col("l_orderkey").alias("respondent_id"), F.col("l_returnflag").alias("loop_id"), "l_linenumber", "l_quantity")
+    loops = r.dealt(spark, path, lines, "respondent_id").groupBy("respondent_id", "loop_id").agg(
         F.min("l_linenumber").alias("category"), F.avg("l_quantity").alias("number"))
-    return lines.join(status_slices(spark, path), "respondent_id").select(
+    slices = r.dealt(spark, path, status_slices(spark, path), "respondent_id")
+    return loops.join(slices, "respondent_id").select(
         "study_id", "slice_id", "respondent_id", "weight", "loop_id", "number",
         F.lit(True).alias("applicable"), F.lit("L").alias("structure_id"),
         F.col("category").cast("string").alias("category_id"))
