@@ -473,22 +473,25 @@ ENTITIES = {"A": "E1", "N": "E1", "R": "E2"}
 
 def kind_records(spark: SparkSession, path: str) -> DataFrame:
     evaluation = r.evaluations(spark, path)
-    lines = r.table(spark, path, "lineitem").groupBy(
-        F.col("l_orderkey").alias("respondent_id"), F.col("l_returnflag").alias("loop_id")).agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("l_linestatus") == o).alias(f"n_{o}") for o in "FO"])
-    loops = evaluation.select("study_id", "respondent_id", F.explode(F.array(*map(F.lit, "ANR"))).alias("loop_id"))
-    counted = loops.join(lines, ["respondent_id", "loop_id"], "left")
-    number = F.when(F.col("n") == 2, "two").otherwise(F.col("n").cast("string"))
+    lines = r.table(spark, path, "lineitem").select(
+        F.col("l_orderkey").alias("respondent_id"), "l_returnflag", "l_linestatus")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    counts = r.dealt(spark, path, lines, "respondent_id").groupBy("respondent_id").agg(
+        *[F.count_if(flag == a).alias(f"n_{a}") for a in "ANR"],
+        *[F.count_if((flag == a) & (status == o)).alias(f"n_{a}_{o}") for a in "ANR" for o in "FO"])
+    # One row per order up to the join, and all its cells after it: they lie dealt by respondent.
+    people = evaluation.select("study_id", "respondent_id", "o_orderpriority")
+    counted = r.dealt(spark, path, people, "respondent_id").join(counts, "respondent_id", "left")
+    number = lambda n: F.when(n == 2, "two").when(n > 0, n.cast("string"))
     mark = lambda n: F.when(n == 1, "1").when(n == 2, "0").when(n > 2, "7")
-    skipped = (F.col("respondent_id") % 11 == 0) & (F.col("loop_id") == "R")
+    applies = lambda a: F.lit(True) if a != "R" else F.col("respondent_id") % 11 != 0
     cell = lambda variable, value, applies: F.struct(
         variable.alias("variable"), value.alias("value"), applies.alias("applicable"))
-    looped = counted.select("study_id", "respondent_id", F.inline(F.array(
-        cell(F.concat(F.lit("N_"), "loop_id"), number, ~skipped),
-        *[cell(F.concat(F.lit("L_"), "loop_id", F.lit(f"_{o}")), mark(F.col(f"n_{o}")), F.lit(True)) for o in "FO"])))
     priority = F.when(F.col("respondent_id") % 7 == 0, " ").otherwise(F.substring("o_orderpriority", 1, 1))
-    single = evaluation.select("study_id", "respondent_id", F.lit("P").alias("variable"),
-                               priority.alias("value"), F.lit(True).alias("applicable"))
+    cells = counted.select("study_id", "respondent_id", F.inline(F.array(
+        cell(F.lit("P"), priority, F.lit(True)),
+        *[cell(F.lit(f"N_{a}"), number(F.col(f"n_{a}")), applies(a)) for a in "ANR"],
+        *[cell(F.lit(f"L_{a}_{o}"), mark(F.col(f"n_{a}_{o}")), F.lit(True)) for a in "ANR" for o in "FO"])))
     none = F.lit(None).cast("string")
 
     def binding(structure, kind, variable, option=None, loop=None, entity=None, unanswered=False):
@@ -509,7 +512,7 @@ def kind_records(spark: SparkSession, path: str) -> DataFrame:
         for i, (structure, code, role, category) in enumerate((
             ("P", "1", "category", "c1"), ("P", "2", "category", "c2"), ("P", "3", "category", "c3"),
             ("P", "5", "missing", None), ("L", "1", "selected", None), ("L", "0", "not_selected", None)))])))
-    return st.response_records(typed_cells(single.unionByName(looped)), bindings, rules)
+    return st.response_records(typed_cells(cells), bindings, rules)
 
 
 @register("a11_kinds", f"""
@@ -539,7 +542,7 @@ SELECT study_id, structure_id, unit, CAST(d AS BIGINT) AS denominator_n,
 FROM u""")
 def a12_units(spark: SparkSession, path: str) -> DataFrame:
     """Ledgers that count respondents, instances and options."""
-    ledger = st.denominator_ledger(kind_records(spark, path))
+    ledger = st.denominator_ledger(kind_records(spark, path), dealt=True)
     return ledger.select("study_id", "structure_id", "unit", *[big(c) for c in (
         "denominator_n", "valid_n", "selected_n", "not_selected_n", "ordinary_missing_n",
         "structural_missing_n", "invalid_n")], "repeated_dependency")

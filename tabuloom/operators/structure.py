@@ -94,11 +94,13 @@ def _per_option(records: DataFrame, keys: Sequence[str]) -> DataFrame:
 COUNTS = ("n_selected", "n_not_selected", "n_missing", "n_structural", "n_invalid")
 
 
-def _people(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _people(records: DataFrame, keys: Sequence[str], dealt: bool = False) -> DataFrame:
     """One row per respondent and structure, with whether it repeats a loop."""
-    # From here on a respondent has at most one row per declared option key, so
-    # one shuffle by respondent serves the two reductions that follow.
-    options = _per_option(records, keys).repartition(*keys, "respondent_id")
+    options = _per_option(records, keys)
+    if not dealt:
+        # From here on a respondent has at most one row per declared option key, so
+        # one shuffle by respondent serves the two reductions that follow.
+        options = options.repartition(*keys, "respondent_id")
     decided = (F.col("n_selected") + F.col("n_not_selected")) > 0
     person = [*keys, "structure_type", "respondent_id"]
     instances = options.groupBy(*person, "loop_id", "instance").agg(
@@ -116,13 +118,14 @@ def _people(records: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def denominator_ledger(records: DataFrame, duplicates: str = "error",
-                       keys: Sequence[str] = STRUCTURE) -> DataFrame:
+                       keys: Sequence[str] = STRUCTURE, dealt: bool = False) -> DataFrame:
     """Unit, denominator and state counts per structure.
 
     Multiple response counts explicit yes/no keys; categories count respondents;
-    numeric loops count (respondent, instance).
+    numeric loops count (respondent, instance).  `dealt` says that records lie
+    dealt by respondent, so that all reductions run where they are.
     """
-    return _ledger(_people(records, keys), duplicates, keys)
+    return _ledger(_people(records, keys, dealt), duplicates, keys)
 
 
 def slice_ledgers(records: DataFrame, slices: DataFrame, duplicates: str = "error",
